@@ -36,7 +36,7 @@ class PerfectHash:
 
     def __init__(self, keys: list[bytes]) -> None:
         n = len(keys)
-        self.n, self.buckets = n, max(1, n // 3)
+        self.n, self.buckets = n, max(1, n)
         hashes = self._hash(keys)
         order = np.argsort(hashes % np.uint64(self.buckets), kind="stable")
         bounds = np.searchsorted((hashes % np.uint64(self.buckets))[order], np.arange(self.buckets + 1))
