@@ -122,11 +122,18 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, lo
     return Words(starts, ends, first, span_hashes(data, starts, ends) if hashed else np.zeros(0, _U))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    up, down = _POWERS.get(len(data) + 1)
+def running_sums(data: np.ndarray) -> np.ndarray:
+    up, _ = _POWERS.get(len(data) + 1)
     sums = np.zeros(len(data) + 1, _U)
     np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
+    if sums is None:
+        sums = running_sums(data)
+    _, down = _POWERS.get(len(data) + 1)
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 

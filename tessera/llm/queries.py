@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, substring, tiling, url_cascade
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, pu_quality, substring, tiling, url_cascade, weighted_minhash
 from tessera.llm.common import prepare, read
 
 
@@ -20,6 +22,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, digest_only=True)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.classes(read(spark, sf_dir, "documents"))
+
+
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = pu_quality.score(docs, labels, train=~pu_quality.held_out())
+    return found.select("doc_id", pu_quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
@@ -29,7 +41,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(url_cascade.urls_of(read(spark, sf_dir, "pages"))).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op6_byte_bpe, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op10_url_filter)}
 
 
 ORACLES: dict[str, str] = {
