@@ -6,7 +6,7 @@
    none is lost.  They are grouped exactly, by 95 bits of two independent hashes of the whole window.
 3. Words under a window that also starts in a document with a smaller doc_id are removed.
 
-Scale: the sketch has a fixed size (64 MB as bits), so what tasks receive is bounded; beyond about
+Scale: the sketch has a fixed size (128 MB as bits), so what tasks receive is bounded; beyond about
 one window a cell it passes more windows to step 2, which is exact and distributed at any load.  In
 step 2 a run of windows is first reduced to one row a distinct window, that of its smallest doc_id,
 and other documents of the run are decided at once; so a window that a third of all documents hold
@@ -30,7 +30,8 @@ from tessera.llm.common import arrow_map, merge_stripes, prepare
 #: Words of a window.
 WIDTH = 13
 #: Cells of the sketch, and the stripes in which it is merged.
-CELLS, STRIPES = 1 << 29, 64
+CELL_BITS, STRIPES = 30, 64
+CELLS = 1 << CELL_BITS
 _STRIPE = CELLS // STRIPES
 #: Windows that a run gathers before it is reduced.
 RUN = 1 << 20
@@ -88,7 +89,7 @@ def repeated_cells(docs: DataFrame, width: int = WIDTH, text_col: str = "text")
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for _, _, h1, _ in _text_windows(batch.column(0), width):
-                held.append((h1 >> np.uint64(64 - 29)).astype(np.uint32))
+                held.append((h1 >> np.uint64(64 - CELL_BITS)).astype(np.uint32))
             if sum(map(len, held)) > 4 * RUN:
                 yield from flush()
 
@@ -141,7 +142,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", t
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, text, h1, h2 in _text_windows(batch.column(1), width):
-                cell = (h1 >> np.uint64(64 - 29)).astype(np.int64)
+                cell = (h1 >> np.uint64(64 - CELL_BITS)).astype(np.int64)
                 hit = np.flatnonzero(bits[cell >> 3] & (0x80 >> (cell & 7)).astype(np.uint8))
                 if len(hit):
                     held.append((h1[hit], (h2[hit] >> np.uint64(33)), ids[lo + text[hit]].astype(np.int64)))
