@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, pu_quality, substring, tiling, url_cascade, weighted_minhash
+from tessera.llm import ann, bpe, pu_quality, substring, tiling, toxicity, url_cascade, weighted_minhash
 from tessera.llm.common import prepare, read
 
 
+def op1_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -37,11 +41,17 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op9_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    found = toxicity.score(docs, labels, train=~toxicity.held_out())
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(url_cascade.urls_of(read(spark, sf_dir, "pages"))).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_ann, op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op9_knn_toxicity, op10_url_filter)}
 
 
 ORACLES: dict[str, str] = {
