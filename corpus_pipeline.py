@@ -1,8 +1,62 @@
-"""The corpus pipeline; stages are added as they are built."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
+
+1. quality: documents that the positive-unlabelled classifier rejects go.
+2. near_dedup: one document of each near-duplicate class stays, that of the smallest id.
+3. substring_dedup: words of windows that an earlier document holds go from the text.
+4. decontaminate: documents that contain a benchmark item go.
+5. encode: the texts that are left, as byte-level BPE ids.
+
+All stages but the last return the columns of ``documents``; SQL can't express the learned and
+hashed stages, so the tests hold each stage against a brute-force version.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, pu_quality, substring, tiling, weighted_minhash
+from tessera.llm.common import prepare, read, write_table
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pu_quality.keep_good(docs, read(spark, sf_dir, "labels"), train=~pu_quality.held_out())
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return weighted_minhash.keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return tiling.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(prepare(spark), sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = write_table(stage(spark, docs, sf_dir), name)
+    return docs

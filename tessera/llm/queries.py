@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, arc, bpe, pu_quality, substring, tiling, toxicity, url_cascade, weighted_minhash
+from tessera.llm import ann, arc, bpe, gru_lm, pu_quality, substring, tiling, toxicity, url_cascade, weighted_minhash
 from tessera.llm.common import prepare, read
 
 
@@ -41,6 +41,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_ids=False)
 
 
+def op7_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = gru_lm.score(read(spark, sf_dir, "documents"), ~gru_lm.held_out())
+    return found.select("doc_id", gru_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = arc.archive(read(spark, sf_dir, "pages"))
     return found.select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
@@ -56,7 +61,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(url_cascade.urls_of(read(spark, sf_dir, "pages"))).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_ann, op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op8_arc_to_warc, op9_knn_toxicity, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_ann, op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op7_gru_lm, op8_arc_to_warc, op9_knn_toxicity, op10_url_filter)}
 
 
 ORACLES: dict[str, str] = {
