@@ -1 +1 @@
-
+"""Readers, parsers and sinks."""

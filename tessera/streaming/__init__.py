@@ -1 +1,18 @@
+"""Streaming forms of the mergeable aggregations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.pairs import accumulate
+
+
+def pair_sums(weights: DataFrame) -> DataFrame:
+    """Running (i, j, sum, cnt) over a stream of (sample, i, j, w): sums and counts merge, so no watermark is needed."""
+    return accumulate(weights)
+
+
+def windowed_counts(events: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
+    """Events by type and tumbling window, late ones accepted up to ``late`` (an extra beside the batch counts)."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
