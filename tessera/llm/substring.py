@@ -6,7 +6,7 @@
    none is lost.  They are grouped exactly, by 95 bits of two independent hashes of the whole window.
 3. Words under a window that also starts in a document with a smaller doc_id are removed.
 
-Scale: the sketch has a fixed size (128 MB as bits), so what tasks receive is bounded; beyond about
+Scale: the sketch has a fixed size (128 MB as bits, less as sent), so what tasks receive is bounded; beyond about
 one window a cell it passes more windows to step 2, which is exact and distributed at any load.  In
 step 2 a run of windows is first reduced to one row a distinct window, that of its smallest doc_id,
 and other documents of the run are decided at once; so a window that a third of all documents hold
@@ -65,8 +65,29 @@ def _add(part: bytes, counts: np.ndarray) -> None:
     counts[cells] = np.minimum(counts[cells] + 1 + twice, 2)
 
 
-def repeated_cells(docs: DataFrame, width: int = WIDTH, text_col: str = "text") -> np.ndarray:
-    """The merged sketch as packed bits: whether windows of a cell were met at least twice."""
+class Sketch:
+    """The merged sketch: a bit a cell, whether its windows were met at least twice; sent compressed."""
+
+    def __init__(self, stripes: dict[int, bytes]) -> None:
+        self.stripes = stripes
+        self.bits = None
+
+    def __getstate__(self) -> dict[int, bytes]:
+        return self.stripes
+
+    def __setstate__(self, stripes: dict[int, bytes]) -> None:
+        self.__init__({})
+        self.bits = np.zeros(CELLS // 8, np.uint8)
+        for stripe, part in stripes.items():
+            self.bits[stripe * _STRIPE // 8 : (stripe + 1) * _STRIPE // 8] = np.frombuffer(zlib.decompress(part), np.uint8)
+
+    def repeated(self, h: np.ndarray) -> np.ndarray:
+        """The places of the window hashes whose cell was met at least twice."""
+        cell = (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+        return np.flatnonzero(self.bits[cell >> 3] & (0x80 >> (cell & 7)).astype(np.uint8))
+
+
+def merged_sketch(docs: DataFrame, width: int = WIDTH, text_col: str = "text") -> Sketch:
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         held: list[np.ndarray] = []
@@ -97,21 +118,16 @@ def repeated_cells(docs: DataFrame, width: int = WIDTH, text_col: str = "text")
         return step
 
     parts = arrow_map(docs.select(text_col), "stripe int, part binary", start)
-    found = merge_stripes(parts, _add, lambda counts: zlib.compress(np.packbits(counts > 1).tobytes(), 1), _STRIPE, "uint8", STRIPES)
-    bits = np.zeros(CELLS // 8, np.uint8)
-    for stripe, part in found.items():
-        bits[stripe * _STRIPE // 8 : (stripe + 1) * _STRIPE // 8] = np.frombuffer(zlib.decompress(part), np.uint8)
-    return bits
+    return Sketch(merge_stripes(parts, _add, lambda counts: zlib.compress(np.packbits(counts > 1).tobytes(), 1), _STRIPE, "uint8", STRIPES))
 
 
 def later_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, hashes): for each document the first hashes of its windows that also start in one with a smaller id."""
     spark: SparkSession = docs.sparkSession
-    sketch = spark.sparkContext.broadcast(repeated_cells(docs, width, text_col))
+    sketch = spark.sparkContext.broadcast(merged_sketch(docs, width, text_col))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        bits = sketch.value
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -142,8 +158,7 @@ def later_windows(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", t
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, text, h1, h2 in _text_windows(batch.column(1), width):
-                cell = (h1 >> np.uint64(64 - CELL_BITS)).astype(np.int64)
-                hit = np.flatnonzero(bits[cell >> 3] & (0x80 >> (cell & 7)).astype(np.uint8))
+                hit = sketch.value.repeated(h1)
                 if len(hit):
                     held.append((h1[hit], (h2[hit] >> np.uint64(33)), ids[lo + text[hit]].astype(np.int64)))
             if sum(len(x[0]) for x in held) > RUN:
