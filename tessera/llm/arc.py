@@ -10,7 +10,7 @@ smallest id is a ``response``; the others are ``revisit`` records that refer to
 Scale: archives are built and read where their rows are; the only shuffle is one row a digest and task
 (a map-side minimum), joined back by digest, so a payload that a third of all pages share makes one
 row.  WARC files are written by Spark to the shared folder (each row a record, the record separator
-the line separator) in parts of at most ``PART_BYTES``, and read back as whole binary files.
+the line separator) of at most ``PART_RECORDS`` records, and read back as whole binary files.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import arrow_map, prepare
 from tessera.sources.tables import shared_dir
 
-#: Payload bytes of one WARC file, about.
-PART_BYTES = 8 << 20
+#: Records of one WARC file at most.
+PART_RECORDS = 5000
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 0
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -166,9 +166,11 @@ def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
         return step
 
     arc = arrow_map(kept, "key long, url string, date string, type string, payload binary, digest string", start)
-    first = arc.where(F.length("payload") >= least_revisit).groupBy("digest").agg(F.min("key").alias("first"))
-    refers = F.when((F.col("first") < F.col("key")) & (F.length("payload") >= least_revisit), F.col("first"))
-    joined = arc.join(first, "digest", "left").select("key", "url", "date", "type", "payload", "digest", refers.alias("refers_to"))
+    # Digests alone are compared; payloads move once, to meet what they refer to.
+    sums = arc.select("key", "digest", F.length("payload").alias("n")).where(F.col("n") >= least_revisit)
+    first = sums.groupBy("digest").agg(F.min("key").alias("refers_to"))
+    later = sums.join(first, "digest").where("refers_to < key").select("key", "digest", "refers_to").distinct()
+    joined = arc.join(later, ["key", "digest"], "left").select("key", "url", "date", "type", "payload", "digest", "refers_to")
 
     def record(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = [write_warc(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
@@ -180,7 +182,7 @@ def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
 def write_archives(records: DataFrame, path: str) -> None:
     """Write the records of ``convert`` as gzipped WARC files."""
     text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PART_RECORDS).option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -207,7 +209,5 @@ def archive(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
     """Convert ``pages``, write the WARC files to ``path`` (by default in the shared folder), and read them back."""
     spark = prepare(pages.sparkSession)
     path = path or f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}"
-    total = pages.select(F.sum(F.length(payload_col)).alias("n")).first().n or 0
-    records = convert(pages, key_col, url_col, payload_col, least_revisit)
-    write_archives(records.repartition(max(1, -(-total // PART_BYTES)), "key"), path)
+    write_archives(convert(pages, key_col, url_col, payload_col, least_revisit), path)
     return read_archives(spark, path)
