@@ -100,8 +100,19 @@ class Block:
         self.ids = ids
         self.words = [w.hashes[a:b] for a, b in zip(w.first[:-1], w.first[1:])]
         self.seeds, self.items = seeds[order], kernel.owner(w.first)[at][order]
+        self._make_filter()
+
+    def _make_filter(self) -> None:
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[(seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        self.filter[(self.seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+
+    def __getstate__(self) -> dict:
+        """The filter is made anew where the block arrives."""
+        return {k: v for k, v in self.__dict__.items() if k != "filter"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._make_filter()
 
     def judge(self, words: np.ndarray, at: np.ndarray, seeds: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
         """(item id, coverage, tiles, matched words) of the items that this text covers to the threshold."""
