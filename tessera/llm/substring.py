@@ -187,9 +187,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     prepare(docs.sparkSession)
     made = ["n_words", "n_removed", "kept_sha256"]
     rest = [f for f in docs.schema if f.name not in made and not (digest_only and f.name == text_col)]
-    late = later_windows(docs, width, id_col, text_col).withColumnRenamed(id_col, "__doc")
+    late = later_windows(docs, width, id_col, text_col).select(F.col(id_col).alias("__doc"), F.col("hashes").alias("__hashes"), F.col("runs").alias("__runs"))
     joined = docs.join(late, F.col(id_col).cast("long") == F.col("__doc"), "left")
-    inputs = [*(f.name for f in rest if f.name != text_col), text_col, "hashes", "runs"]
+    inputs = [*(f.name for f in rest if f.name != text_col), text_col, "__hashes", "__runs"]
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = {c: batch.column(i) for i, c in enumerate(inputs)}
@@ -200,7 +200,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             bounds = np.searchsorted(at, w.first)
             for i in range(hi - lo):
                 a, b = w.first[i], w.first[i + 1]
-                own, runs = column["hashes"][lo + i].as_py(), column["runs"][lo + i].as_py()
+                own, runs = column["__hashes"][lo + i].as_py(), column["__runs"][lo + i].as_py()
                 gone = np.zeros(b - a, bool)
                 if own or runs:
                     bad = np.concatenate([np.array(own, np.int64).view(np.uint64), *(np.frombuffer(x, np.uint64) for x in runs)])
