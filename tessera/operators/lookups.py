@@ -58,9 +58,9 @@ def one_sided_nodes(edges: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def missing_vectors(features: DataFrame, vectors: DataFrame, key: str, show: int = 10) -> DataFrame:
-    """(n_missing, first): how many features lack a vector, and the first of them in order."""
+    """(n_missing, first): how many features lack a vector, and the first of them in order (null where none does)."""
     gone = features.select(key).distinct().join(vectors.select(key), key, "left_anti")
-    first = gone.orderBy(key).limit(show).agg(F.array_join(F.sort_array(F.collect_list(key)), ",").alias("first"))
+    first = gone.orderBy(key).limit(show).agg(F.nullif(F.array_join(F.sort_array(F.collect_list(key)), ","), F.lit("")).alias("first"))
     return gone.agg(F.count("*").alias("n_missing")).crossJoin(first)
 
 

@@ -19,21 +19,23 @@ def duck():
     return con
 
 
-def rows(frame):
+def rows(columns, found):
     def plain(v):
         if v is None or v != v:
             return "null"
-        return repr(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+        return repr(round(float(v), 5) + 0.0) if isinstance(v, (int, float)) else str(v)
 
-    return sorted(tuple(plain(v) for v in r) for r in frame[sorted(frame.columns)].itertuples(index=False))
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    return sorted(tuple(plain(r[i]) for i in order) for r in found)
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, duck, name):
-    mine = queries.QUERIES[name](spark, DATA).toPandas()
-    theirs = duck.execute(queries.ORACLES[name]).df()
-    assert sorted(mine.columns) == sorted(theirs.columns)
-    assert rows(mine) == rows(theirs)
+    mine = queries.QUERIES[name](spark, DATA)
+    theirs = duck.execute(queries.ORACLES[name])
+    names = [d[0] for d in theirs.description]
+    assert sorted(mine.columns) == sorted(names)
+    assert rows(mine.columns, mine.collect()) == rows(names, theirs.fetchall())
 
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
