@@ -135,7 +135,7 @@ def canonical_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(lo.alias("a"), hi.alias("b")).distinct()
 
 
-def top_k_per_row(scores: DataFrame, k: int) -> DataFrame:
-    """The k largest scores s of each i (nulls last, ties to smaller j), diagonal excluded, with their place k."""
-    place = F.row_number().over(Window.partitionBy("i").orderBy(F.col("s").desc_nulls_last(), "j"))
+def top_k_per_row(scores: DataFrame, k: int, *by: str) -> DataFrame:
+    """The k largest scores s of each (by..., i), nulls last and ties to smaller j, diagonal excluded, with their place k."""
+    place = F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.col("s").desc_nulls_last(), "j"))
     return scores.where("i <> j").withColumn("k", place).where(F.col("k") <= k)

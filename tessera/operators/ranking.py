@@ -8,19 +8,19 @@ from pyspark.sql import functions as F
 from tessera.operators.pairs import top_k_per_row
 
 
-def enrichment_curve(scored: DataFrame, k: int) -> DataFrame:
-    """(k, enr, n_used) from (i, j, s, y): at each place, the mean over rows with a positive of precision so far
-    over the row's own rate of positives.
+def enrichment_curve(scored: DataFrame, k: int, *by: str) -> DataFrame:
+    """(by..., k, enr, n_used) from (by..., i, j, s, y): at each place, the mean over rows with a positive of precision
+    so far over the row's own rate of positives.
 
     The top k are taken first, labelled or not; unlabelled ones then count neither way.
     """
-    rate = scored.where("i <> j").groupBy("i").agg(F.sum("y").alias("pos"), F.count("y").alias("lab")).where("pos >= 1")
-    upto = Window.partitionBy("i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    top = top_k_per_row(scored, k).withColumn("p", F.coalesce(F.sum("y").over(upto), F.lit(0))).withColumn("n", F.count("y").over(upto))
+    rate = scored.where("i <> j").groupBy(*by, "i").agg(F.sum("y").alias("pos"), F.count("y").alias("lab")).where("pos >= 1")
+    upto = Window.partitionBy(*by, "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    top = top_k_per_row(scored, k, *by).withColumn("p", F.coalesce(F.sum("y").over(upto), F.lit(0))).withColumn("n", F.count("y").over(upto))
     enr = F.try_divide(F.try_divide(F.col("p").cast("double"), F.col("n").cast("double")), F.col("pos").cast("double") / F.col("lab"))
-    curve = top.join(rate, "i").groupBy("k").agg(F.round(F.avg(enr), 6).alias("enr"))
-    used = rate.agg(F.count("*").alias("n_used"))
-    return curve.crossJoin(F.broadcast(used))
+    curve = top.join(rate, [*by, "i"]).groupBy(*by, "k").agg(F.round(F.avg(enr), 6).alias("enr"))
+    used = rate.groupBy(*by).agg(F.count("*").alias("n_used"))
+    return curve.join(used, list(by)) if by else curve.crossJoin(F.broadcast(used))
 
 
 def area(curve: DataFrame, *by: str) -> DataFrame:
