@@ -13,10 +13,13 @@ shingle frequencies keep a large group of copies from lowering the weight of its
    of a text and its altered copies, the text itself, for an alteration breaks bands.  Samples can't
    tell it from a copy with few changes, so the hub then moves to the member nearest to it, ``CLIMBS``
    times, each time with all its pairs.  Verified links make components.  Then the two-band buckets that still hold several components get other hubs, round
-   after round, until a round finds no new link.  No bucket is ever expanded into all pairs.
+   after round, until a round finds no new link.
+4. Every pair that shares a bucket and is still of two components is measured, unless it was or its
+   total weights rule it out, so a near-duplicate is missed only where no bucket holds both texts.
 
 Scale: a row a document and band is shuffled, never a shingle.  Hubs are found by map-side minima, and
-hub joins are ordinary sort-merge joins that adaptive execution can split when a bucket is hot.
+hub joins are ordinary sort-merge joins that adaptive execution can split when a bucket is hot.  The
+last pairs are dealt in salted blocks; those of a bucket of n unlinked texts are n * n / 2.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ BANDS, ROWS = 10, 3
 SPREAD = 0.5
 #: Times that a bucket's hub moves to the text nearest to it.
 CLIMBS = 2
+#: Members of a bucket that a task compares with as many others.
+BLOCK = 1024
 WORD_CELLS, STRIPES = 1 << 20, 16
 _STRIPE = WORD_CELLS // STRIPES
 _CELL_SHIFT = np.uint64(64 - 20)
@@ -139,10 +144,11 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int) -> np
 
 
 def band_keys(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, exact, bands): each document with a digest of its text and its band keys (none without words)."""
+    """(doc, exact, bands, total): each document with a digest of its text, its band keys (none without words) and its shingles' weight."""
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys: list = [None] * batch.num_rows
+        total = np.zeros(batch.num_rows)
         for lo, _, data, offsets in kernel.chunks(batch.column(2)):
             text, h, weight = shingles(data, offsets, idf.value)
             if not len(h):
@@ -154,10 +160,11 @@ def band_keys(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "tex
                 key = kernel.mix(key * np.uint64(31) + drawn[:, :, j] + np.uint64(1))
             for i, own in zip(text[starts].tolist(), key.view(np.int64)):
                 keys[lo + i] = own
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["doc", "exact", "bands"])
+            total[lo + text[starts]] = np.add.reduceat(weight.astype(np.float64), starts)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(total)], ["doc", "exact", "bands", "total"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.sha2(F.col(text_col), 256).alias("exact"), text_col)
-    return arrow_map(source, "doc long, exact string, bands array<long>", lambda: step)
+    return arrow_map(source, "doc long, exact string, bands array<long>, total double", lambda: step)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -212,6 +219,28 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return write_table(every.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
+def _unmeasured(buckets: DataFrame, label: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): every pair that shares a bucket, is of two components, isn't in ``known`` and could be similar by its total weights.
+
+    In each bucket the members outside its largest component meet all members, in blocks of about
+    ``BLOCK`` by ``BLOCK``.  The similarity is at most the ratio of the total weights.
+    """
+    own = buckets.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
+    mixed = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
+    cuts = mixed.select("band", "key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("x"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("y"))
+    within = write_table(own.join(cuts, ["band", "key"]), "mixed")
+    part, every = (lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    right = within.withColumn("i", part(F.col("x"))).withColumn("j", every("y")).select("band", "key", "i", "j", "doc", "component", "main", "total")
+    outside = within.where("component <> main").withColumn("j", part(F.col("y"))).withColumn("i", every("x"))
+    left = outside.select("band", "key", "i", "j", F.col("doc").alias("a"), F.col("component").alias("of"), F.col("total").alias("weight"))
+    apart = F.expr("component <> of and (component = main or a < doc)")
+    near = F.least("total", "weight") >= F.greatest("total", "weight") * (threshold - 1e-4)
+    found = right.join(left, ["band", "key", "i", "j"]).where(apart & near).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
+    return found.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id), a row a document row: the class is the smallest id among its near-duplicates.
 
@@ -224,8 +253,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     idf = spark.sparkContext.broadcast(word_idf(docs, text_col))
     keyed = write_table(band_keys(docs, idf, id_col, text_col, bands, rows), "bands")
     smallest = keyed.where(F.col("exact").isNotNull()).groupBy("exact").agg(F.min("doc").alias("same"))
-    stands = write_table(keyed.join(smallest, "exact", "left").select("doc", F.coalesce("same", "doc").alias("same"), "bands"), "stands")
-    single = stands.where((F.col("doc") == F.col("same")) & F.col("bands").isNotNull()).select("doc", "bands")
+    stands = write_table(keyed.join(smallest, "exact", "left").select("doc", F.coalesce("same", "doc").alias("same"), "bands", "total"), "stands")
+    single = stands.where((F.col("doc") == F.col("same")) & F.col("bands").isNotNull()).select("doc", "bands", "total")
     one = single.select("doc", F.posexplode("bands").alias("band", "key"))
     shared = one.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     alone = write_table(one.join(shared, ["band", "key"]), "buckets")
@@ -260,10 +289,15 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("o"), F.col("doc").alias("a"), F.col("component").alias("of"))
         chosen = own.groupBy("band", "key").agg(F.min(order).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
         pairs = own.join(chosen, ["band", "key"]).where("component <> hub.of").select(F.col("hub.a").alias("a"), F.col("doc").alias("b")).distinct()
-        new = write_table(measured(pairs, texts, idf).where(F.col("s") >= threshold).select("a", "b"), "links")
+        fresh = write_table(measured(pairs, texts, idf), "pairs")
+        known = known.union(fresh)
+        new = fresh.where(F.col("s") >= threshold).select("a", "b")
         if new.isEmpty():
             break
         label = _joined(label, new)
+    sized = buckets.where(F.col("band") < bands).join(single.select("doc", "total").dropDuplicates(["doc"]), "doc")
+    rest = write_table(_unmeasured(sized, label, known, threshold), "rest")
+    label = _joined(label, write_table(measured(rest, texts, idf).where(F.col("s") >= threshold).select("a", "b"), "links"))
     found = stands.join(label, stands["same"] == label["node"], "left").select(F.col("doc").alias(id_col), F.coalesce("component", "same").alias("class_id"))
     missing = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(missing)

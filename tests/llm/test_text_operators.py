@@ -222,6 +222,23 @@ def test_star_of_copies_joins_through_its_centre(spark):
     assert {r.class_id for r in found} == {0}
 
 
+def test_pairs_that_share_a_template_are_all_measured(spark):
+    """Pairs of near-duplicates behind one template: each that shares a bucket is found, though the bucket's hubs link to neither."""
+    rng = random.Random(12)
+    template = prose(rng, 300, 10**6)
+    docs = []
+    for g in range(120):
+        own = prose(rng, 60, 10**6)
+        docs += [(2 * g + k, f"{template} {own} {prose(rng, 28, 10**6)}") for k in range(2)]
+    frame = table(spark, docs).repartition(4)
+    idf = weighted_minhash.word_idf(frame)
+    keys = {r.doc: r.bands for r in weighted_minhash.band_keys(frame, spark.sparkContext.broadcast(idf)).collect()}
+    sets = {i: weighted_minhash._one(t, idf) for i, t in docs}
+    wanted = [i for i in range(0, 240, 2) if any(a == b for a, b in zip(keys[i], keys[i + 1])) and weighted_minhash.similarity(sets[i], sets[i + 1]) >= 0.8]
+    found = {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()}
+    assert len(wanted) > 100 and [i for i in wanted if found[i + 1] != found[i]] == []
+
+
 def test_classes_of_odd_tables(spark):
     docs = table(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (3, "a b c d e f")])
     assert sorted(((r.doc_id, r.class_id) for r in weighted_minhash.classes(docs).collect()), key=str) == [(1, 1), (1, 1), (3, 1), (None, None)]
