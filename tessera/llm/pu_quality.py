@@ -10,8 +10,9 @@ texts that a positive-versus-unlabelled discriminator ranks highest, the share o
 positive mass falls to pi.
 
 Scale: features are computed where the text is read, in one pass over all documents, and written as a
-narrow table; the fit uses at most ``SAMPLE`` labelled training rows (the smallest hashes of their
-ids), a bounded collection; scoring is a map over the feature table.
+narrow table; the fit uses at most ``SAMPLE`` positives and ``SAMPLE`` documents of the training fold
+whatever their label (those of the smallest hashes of their ids), a bounded collection; scoring is a
+map over the feature table.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernel
 from tessera.llm.common import arrow_map, fold, prepare, write_table
 
-#: Labelled training rows that a fit collects.
+#: Positives, and documents of the training fold, that a fit collects.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 16, 30, 512, 0.01, 1e-4
 CUT = 0.3
@@ -172,20 +173,22 @@ class Model:
 
 
 def fit(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, train: F.Column, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most ``sample`` labelled rows of the training fold; None where there is no positive."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("__y"))
-    rows = table.join(known, id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample).select("features", "__y").toArrow()
-    if not rows.num_rows:
-        return None
-    x = np.stack(rows.column("features").to_numpy(zero_copy_only=False)).astype(np.float64)
-    good = np.array(rows.column("__y").to_pylist()) == 1
-    return Model(x[good], x) if good.any() else None
+    """Fit on at most ``sample`` positives and ``sample`` documents of the training fold, whatever their label; None where there is no positive."""
+    good = labels.where(F.col(id_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("__y")).where(F.col("__y") == 1).select(id_col)
+    fold_rows = table.where(F.col(id_col).isNotNull() & train)
+
+    def least(rows: DataFrame) -> np.ndarray:
+        found = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample).select("features").toArrow().column(0)
+        return np.stack(found.to_numpy(zero_copy_only=False)).astype(np.float64) if len(found) else np.zeros((0, N_FEATURES))
+
+    positive = least(fold_rows.join(good, id_col, "left_semi"))
+    return Model(positive, least(fold_rows)) if len(positive) else None
 
 
 def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """(id, score, predicted), a row a document row; predicted is 1 where the score is at least ``cut``.
 
-    ``train`` says which ids a label may be learned from.  A null or empty text is scored like any
+    ``train`` says which ids the fit may use, labelled or not.  A null or empty text is scored like any
     other (all its features are those of no text).  Labels that contradict each other count as good.
     Without a single positive label every score is 0.5.  Repeated rows get equal scores.
     """

@@ -30,6 +30,14 @@ def test_quality_learns_from_positives_only(spark):
     assert 0.75 < pu_quality.Model(x[good][:900], x).prior < 0.95
 
 
+def test_quality_from_a_table_of_positives_only(spark):
+    """Without a single label of 0 the unlabelled documents still count: bad ones get low scores."""
+    labels = read(spark, "labels").where("quality = 1")
+    found = pu_quality.score(read(spark, "documents"), labels, ~pu_quality.held_out())
+    both = found.join(read(spark, "labels"), "doc_id").where(pu_quality.held_out()).toPandas()
+    assert (both.predicted == both.quality).mean() > 0.9 and (both[both.quality == 0].predicted == 0).mean() > 0.8
+
+
 def test_class_prior():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, 5000)
