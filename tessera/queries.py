@@ -180,17 +180,23 @@ def w_softmax(spark: SparkSession, d: str) -> DataFrame:
     return fx.attention(spark, d).withColumn("w", F.round("w", 6))
 
 
+#: Features of a sample that the model takes, as the reference's ``input_features``.
+MODEL_BUDGET = 1024
+
+
+def _weights(spark: SparkSession, d: str) -> model.Weights:
+    return model.Weights(read(spark, d, "part").count())
+
+
 def _packed(spark: SparkSession, d: str) -> tuple[DataFrame, model.Weights]:
     bins = fx.binned(spark, d)
-    split = sampling.context_split(sampling.subsample(bins, 100), 0.85)
-    return model.pack(split.join(bins, ["sample", "feature"])), model.Weights(read(spark, d, "part").count())
+    split = sampling.context_split(sampling.subsample(bins, MODEL_BUDGET), 0.85)
+    return model.pack(split.join(bins, ["sample", "feature"])), _weights(spark, d)
 
 
 @query(None)
 def m_sst_embed(spark: SparkSession, d: str) -> DataFrame:
-    packed, weights = _packed(spark, d)
-    every = packed.withColumn("role", F.transform("role", lambda x: F.lit(1)))
-    return model.embed(every, weights)
+    return model.embed(model.pack(fx.binned(spark, d).withColumn("role", F.lit(1))), _weights(spark, d))
 
 
 @query(None)

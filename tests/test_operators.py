@@ -197,3 +197,19 @@ def test_plan_shapes(spark):
     assert "Cartesian" not in pairs.comembership(members, 4)._jdf.queryExecution().toString()
     scores = spark.createDataFrame([(1, 2, 0.5)], "i long, j long, s double")
     assert "WindowGroupLimit" in pairs.top_k_per_row(scores, 3)._jdf.queryExecution().toString()
+
+
+def test_model_queries_take_all_detected_features(spark):
+    from tessera import queries
+    from tessera.plans import fixtures as fx
+    from tessera.plans import model
+
+    d = "/root/testdata/sf0.001"
+    bins = fx.binned(spark, d)
+    detected = {r["sample"]: r["count"] for r in bins.groupBy("sample").count().collect()}
+    packed, weights = queries._packed(spark, d)
+    assert max(detected.values()) > 100
+    assert {r["sample"]: len(r["feature"]) for r in packed.collect()} == {k: min(n, 1024) for k, n in detected.items()}
+    want = {r["sample"]: r["emb"] for r in model.embed(model.pack(bins.selectExpr("sample", "feature", "bin", "1 AS role")), weights).collect()}
+    found = {r["sample"]: r["emb"] for r in queries.m_sst_embed(spark, d).collect()}
+    assert found.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(want[k], found[k]))
