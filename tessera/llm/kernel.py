@@ -1,12 +1,15 @@
 """Vectorised text kernels: words, word hashes and word windows straight from Arrow buffers.
 
 All functions work on a run of whole texts laid end to end (``data``, bytes of UTF-8) with the
-``offsets`` of each text, so that a task never builds a Python string per word.  Hashes are
-polynomial (Karp-Rabin) sums modulo 2**64 taken from one running sum, then mixed.
+``offsets`` of each text, so that a task never builds a Python string per word.  A word's hash chains
+its 8-byte pieces through a bijection of 64-bit values (so words of up to 8 bytes never collide);
+words of over ``LONG`` bytes get a BLAKE2 digest.  A long text is cut at gaps between words, so what is
+held per byte is bounded, whatever its length; the rest is a few numbers a word.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -14,11 +17,12 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of a text that are looked at together, and bytes of a word beyond which it is digested whole.
+PIECE, LONG = 4 << 20, 64
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_WINDOW_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+_FACTORS = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
+_MASKS = np.array([(1 << (8 * n)) - 1 for n in range(9)], _U)
 
 
 def _table(chars: bytes | range) -> np.ndarray:
@@ -56,29 +60,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of the base and of its inverse, extended on demand and kept for the worker."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 1)
-            powers = []
-            for base in (_BASE, _INVERSE):
-                x = np.full(size, base, _U)
-                x[0] = 1
-                powers.append(np.multiply.accumulate(x))
-            if size > 8 * CHUNK_BYTES:  # one huge text: don't keep its tables
-                return powers[0], powers[1]
-            self.up, self.down = powers
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) over a string column in runs of about max_bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,39 +83,68 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
 
 def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE, lower: bool = False, hashed: bool = True) -> Words:
     """The words of texts ``data[offsets[i]:offsets[i + 1]]``."""
-    n = len(data)
-    if not n:
+    starts, ends, hashes = [], [], []
+    for lo, hi in _pieces(data, offsets, between):
+        part = LOWER[data[lo:hi]] if lower else data[lo:hi]
+        inner = offsets[np.searchsorted(offsets, lo, "left") : np.searchsorted(offsets, hi, "left")] - lo
+        a, b = _spans(part, inner, between)
+        if hashed:
+            hashes.append(span_hashes(part, a, b))
+        starts.append(a + lo)
+        ends.append(b + lo)
+    if not starts:
         empty = np.zeros(0, np.int64)
         return Words(empty, empty, np.zeros(len(offsets), np.int64), np.zeros(0, _U))
-    if lower:
-        data = LOWER[data]
+    start, end = (np.concatenate(x) if len(x) > 1 else x[0] for x in (starts, ends))
+    h = (np.concatenate(hashes) if len(hashes) > 1 else hashes[0]) if hashed else np.zeros(0, _U)
+    return Words(start, end, np.searchsorted(start, offsets), h)
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of about ``PIECE`` bytes that no word crosses."""
+    lo, n = 0, len(data)
+    while lo < n:
+        hi = min(n, lo + PIECE)
+        while hi < n:
+            gap = np.flatnonzero(between[data[hi : hi + PIECE]])
+            at = int(np.searchsorted(offsets, hi, "left"))
+            hi = min(hi + (int(gap[0]) if len(gap) else PIECE), int(offsets[at]) if at < len(offsets) else n, n)
+            if len(gap) or hi == n or (at < len(offsets) and hi == offsets[at]):
+                break
+        yield lo, hi
+        lo = hi
+
+
+def _spans(data: np.ndarray, starts_of_texts: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last + 1 byte of each word; a word ends where a text starts."""
+    n = len(data)
     gap = between[data]
     before, after = np.empty(n, bool), np.empty(n, bool)
     before[1:], after[:-1] = gap[:-1], gap[1:]
     before[0] = after[-1] = True
-    full = offsets[:-1] < offsets[1:]
-    before[offsets[:-1][full]] = True
-    after[offsets[1:][full] - 1] = True
+    before[starts_of_texts] = True
+    after[starts_of_texts[starts_of_texts > 0] - 1] = True
     word = ~gap
-    starts = np.flatnonzero(word & before)
-    ends = np.flatnonzero(word & after) + 1
-    first = np.searchsorted(starts, offsets)
-    return Words(starts, ends, first, span_hashes(data, starts, ends) if hashed else np.zeros(0, _U))
-
-
-def running_sums(data: np.ndarray) -> np.ndarray:
-    up, _ = _POWERS.get(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum((data.astype(_U) + _U(1)) * up[: len(data)], out=sums[1:])
-    return sums
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand."""
-    if sums is None:
-        sums = running_sums(data)
-    _, down = _POWERS.get(len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+    return np.flatnonzero(word & before), np.flatnonzero(word & after) + 1
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span, equal for equal bytes wherever they stand; another one a seed."""
+    length = ends - starts
+    padded = np.empty(len(data) + 8, np.uint8)
+    padded[: len(data)], padded[len(data) :] = data, 0
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each byte on
+    h = mix(length.astype(_U) * _FACTORS[0] + _U(2 * seed + 1))
+    h = mix(h ^ (eight[starts] & _MASKS[np.minimum(length, 8)]))
+    more, at = np.flatnonzero(length > 8), 8
+    while len(more) and at < LONG:
+        piece = eight[starts[more] + at] & _MASKS[np.minimum(length[more] - at, 8)]
+        h[more] = mix(h[more] * _FACTORS[1] ^ piece)
+        at += 8
+        more = more[length[more] > at]
+    for i in more.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
 
 
 def owner(first: np.ndarray) -> np.ndarray:
@@ -142,16 +152,30 @@ def owner(first: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
 
 
-def windows(hashes: np.ndarray, first: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first word, hash) of every window of ``width`` words inside one text."""
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two neighbouring runs of words from theirs."""
+    out = a * _FACTORS[2]
+    out += b
+    out ^= out >> _U(32)
+    out *= _FACTORS[3]
+    return out
+
+
+def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the first word, hash) of every window of ``width`` words inside one text.
+
+    Runs of 1, 2, 4, ... words are joined to the width, so a window takes few steps.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    base = _U(_WINDOW_BASES[which])
-    out = hashes[:n].copy()
-    for k in range(1, width):
-        out *= base
-        out += hashes[k : k + n]
+    out, done, run, size = None, 0, hashes, 1
+    while True:
+        if width & size:
+            out, done = run[:n] if out is None else _join(out, run[done : done + n]), done + size
+        if done == width:
+            break
+        run, size = _join(run[:-size], run[size:]), size * 2
     text = owner(first)
     at = np.flatnonzero(text[:n] == text[width - 1 :])
     return at, mix(out[at])

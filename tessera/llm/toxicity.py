@@ -41,12 +41,11 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     low = kernel.LOWER[data]
     w = kernel.words(low, offsets, kernel.NOT_ALNUM)
     of = kernel.owner(w.first)
-    sums = kernel.running_sums(low)
     all_of, all_h = [of], [w.hashes]
     for n in _PREFIXES:
         longer = np.flatnonzero(w.ends - w.starts > n)
         all_of.append(of[longer])
-        all_h.append(kernel.span_hashes(low, w.starts[longer], w.starts[longer] + n, sums))
+        all_h.append(kernel.span_hashes(low, w.starts[longer], w.starts[longer] + n))
     return np.concatenate(all_of), np.concatenate(all_h)
 
 

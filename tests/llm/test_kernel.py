@@ -58,3 +58,39 @@ def test_case_and_punctuation():
 def test_covered(at):
     expected = [any(a <= i < a + 3 for a in at) for i in range(7)]
     assert kernel.covered(7, np.array(at, np.int64), 3).tolist() == expected
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(i).count("1") % 2 == 0 else b for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 128, 1024, 4096])
+def test_words_that_defeat_polynomial_hashes(n):
+    one, other = thue_morse(n), thue_morse(n, "b", "a")
+    (found,) = spans([f"{one} {other}"])
+    assert found[0][1] != found[1][1]
+
+
+def test_windows_of_words_that_defeat_polynomial_hashes():
+    one, other = (" ".join(thue_morse(16, *x)) for x in ("ab", "ba"))
+    data = np.frombuffer(f"{one} {other}".encode(), np.uint8)
+    w = kernel.words(data, np.array([0, len(data)]))
+    assert len(set(kernel.windows(w.hashes, w.first, 16)[1].tolist())) == len(set(zip(*[f"{one} {other}".split()[i:] for i in range(16)])))
+
+
+@settings(max_examples=60, deadline=None)
+@given(TEXTS, st.integers(1, 9))
+def test_long_texts_are_cut_at_gaps(texts, piece):
+    """Words, spans and hashes don't depend on where a long text is cut."""
+    whole = spans(texts)
+    old, kernel.PIECE = kernel.PIECE, piece
+    try:
+        assert spans(texts) == whole
+    finally:
+        kernel.PIECE = old
+
+
+def test_second_hash_is_another():
+    data = np.frombuffer(b"abc " + b"x" * 100, np.uint8)
+    w = kernel.words(data, np.array([0, len(data)]))
+    assert (w.hashes != kernel.span_hashes(data, w.starts, w.ends, 1)).all()

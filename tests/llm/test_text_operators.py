@@ -64,6 +64,29 @@ def test_remove_repeats_keeps_columns_and_spacing(spark):
     assert substring.remove_repeats(docs.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("words", [64, 1024])
+def test_windows_that_differ_in_a_word_stay(spark, words):
+    """Two windows alike but for a word of the Thue-Morse sequence, which defeats polynomial hashes modulo 2**64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(words))
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = [(i, " ".join(f"w{k}" for k in range(6)) + f" {x} " + " ".join(f"v{k}" for k in range(6))) for i, x in enumerate((one, other, one))]
+    found = {r.doc_id: r.n_removed for r in substring.remove_repeats(table(spark, docs), digest_only=True).collect()}
+    assert found == {0: 0, 1: 0, 2: 13}
+
+
+def test_passes_over_shares_of_the_hashes_and_without_broadcast(spark, monkeypatch):
+    rng = random.Random(3)
+    common = [prose(rng, 40) for _ in range(5)]
+    docs = [(i, f"{prose(rng, rng.randrange(50))} {rng.choice(common)}") for i in range(80)]
+    monkeypatch.setattr(substring, "CELL_BITS", 8)
+    monkeypatch.setattr(substring, "PASSES", 3)
+    monkeypatch.setattr(substring, "IDS", 2)
+    frame = table(spark, docs).repartition(3)
+    assert substring.plan(frame, "text") == (8, 3)
+    found = substring.remove_repeats(frame, 6, digest_only=True).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in found), key=str) == brute_repeats(docs, 6)
+
+
 def test_sketch_parts_round_trip():
     rng = np.random.default_rng(0)
     cells = np.unique(rng.integers(0, 1 << 20, 5000))
