@@ -187,3 +187,41 @@ def covered(n_words: int, at: np.ndarray, width: int) -> np.ndarray:
     np.add.at(edge, at, 1)
     np.add.at(edge, at + width, -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+class Lookup:
+    """Places of 64-bit hashes in a sorted array, found through buckets of their highest bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        """``hashes``: sorted and distinct."""
+        self.hashes = hashes
+        self._make_buckets()
+
+    def _make_buckets(self) -> None:
+        self.bits = int(np.clip(len(self.hashes).bit_length() + 2, 4, 22))
+        edges = np.arange((1 << self.bits) + 1, dtype=np.uint64)
+        self.bucket = np.searchsorted(self.hashes >> _U(64 - self.bits), edges).astype(np.int32)
+        self.deepest = int(np.diff(self.bucket).max()) if len(self.hashes) else 0
+
+    def __getstate__(self) -> np.ndarray:
+        """The buckets are made anew where the table arrives."""
+        return self.hashes
+
+    def __setstate__(self, hashes: np.ndarray) -> None:
+        self.__init__(hashes)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        b = (h >> _U(64 - self.bits)).astype(np.int64)
+        lo, hi = self.bucket[b].astype(np.int64), self.bucket[b + 1]
+        open_ = np.flatnonzero(lo < hi)
+        for _ in range(self.deepest):
+            right = self.hashes[lo[open_]] == h[open_]
+            out[open_[right]] = lo[open_[right]]
+            open_ = open_[~right]
+            lo[open_] += 1
+            open_ = open_[lo[open_] < hi[open_]]
+            if not len(open_):
+                break
+        return out

@@ -54,7 +54,7 @@ def op8_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_knn_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     found = toxicity.score(docs, labels, train=~toxicity.held_out())
-    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "neighbours")
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

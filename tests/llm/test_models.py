@@ -60,30 +60,102 @@ def test_toxicity_on_held_out_rows(spark):
     assert found.count() == 1000 and (both.predicted == both.toxic).mean() > 0.9
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("frequent", [0.05, 2.0])
+def test_index_is_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(7)
-    idf = rng.uniform(1, 4, 12)
+    weight = rng.uniform(0.1, 4, 40)
 
     def vector():
-        t = np.sort(rng.choice(12, rng.integers(0, 5), replace=False))
+        t = np.sort(rng.choice(40, rng.integers(0, 6), replace=False))
         return t, rng.integers(1, 4, len(t))
 
-    rows = [vector() for _ in range(500)]
-    index = toxicity.Index(list(range(500)), rows, rng.integers(0, 2, 500).tolist(), idf)
-    dense = np.zeros((500, 12))
+    rows = [vector() for _ in range(900)]
+    index = toxicity.Index(list(range(900)), rows, rng.integers(0, 2, 900).tolist(), weight)
+    dense = np.zeros((900, 40))
     for i, (t, c) in enumerate(rows):
         dense[i, t] = index.unit(t, c)[1]
-    for _ in range(40):
-        t, c = vector()
-        q = np.zeros(12)
+    queries = [vector() for _ in range(60)]
+    for (t, c), got in zip(queries, index.nearest(queries)):
+        q = np.zeros(40)
         q[t] = index.unit(t, c)[1]
         cosine = np.round(np.minimum(dense @ q, 1), 12)
-        want = [(cosine[i], i) for i in np.lexsort((np.arange(500), -cosine))[:15] if cosine[i] > 0]
-        got = index.nearest(t, c)
-        assert [i for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-11)
+        want = [(cosine[i], i) for i in np.lexsort((np.arange(900), -cosine))[:15] if cosine[i] > 0]
+        assert [index.ids[i] for _, i in got] == [i for _, i in want] or np.allclose([s for s, _ in got], [s for s, _ in want], atol=1e-11)
         assert len(got) == len(want)
 
 
+def test_toxicity_equals_brute_force(spark):
+    """The whole query: term weights, neighbours and votes from dense vectors of all terms."""
+    import collections
+    import re
+
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    found = {r.doc_id: r for r in toxicity.score(docs, labels, ~toxicity.held_out()).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    y = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts}
+
+    def terms(text):
+        out = collections.Counter()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").encode().lower()):
+            out[w] += 1
+            for n in (4, 5):
+                if len(w) > n:
+                    out[w[:n]] += 1
+        return out
+
+    counts = {i: terms(t) for i, t in texts.items()}
+    vocabulary = sorted({t for i in y for t in counts[i]})
+    place = {t: k for k, t in enumerate(vocabulary)}
+    df = np.zeros(len(vocabulary))
+    yes, held = np.zeros(len(vocabulary)), np.zeros(len(vocabulary))
+    for i, c in counts.items():
+        at = [place[t] for t in c if t in place]
+        df[at] += 1
+        if i in y:
+            held[at] += 1
+            yes[at] += y[i]
+    expected = held * sum(y.values()) / len(y)
+    strength = np.clip(((yes - expected) / np.sqrt(expected + 1) - toxicity.FROM) / toxicity.OVER, 0, 1)
+    weight = (np.log((len(texts) + 1) / (df + 1)) + 1) * (toxicity.FLOOR + strength)
+
+    def unit(c):
+        v = np.zeros(len(vocabulary))
+        for t, n in c.items():
+            if t in place:
+                v[place[t]] = (1 + math.log(n)) * weight[place[t]]
+        return v / (np.sqrt((v * v).sum()) or 1)
+
+    examples = sorted(y)
+    matrix = np.stack([unit(counts[i]) for i in examples])
+    for i in list(texts)[::17]:
+        cosine = matrix @ unit(counts[i])
+        cosine[[k for k, e in enumerate(examples) if e == i]] = 0
+        best = np.sort(cosine)[::-1][:15]
+        got = found[i].neighbours
+        assert np.allclose([n.cosine for n in got], best[best > 1e-12], atol=1e-9)
+        assert all(n.cosine == pytest.approx(cosine[examples.index(n.doc_id)], abs=1e-9) and n.label == y[n.doc_id] for n in got)
+
+
+def test_isotonic():
+    x = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6])
+    at, values = toxicity.isotonic(x, np.array([0, 1, 0, 0, 1, 1]))
+    assert (np.diff(at) > 0).all() and (np.diff(values) >= 0).all()
+
+
+def test_toxicity_is_calibrated(spark):
+    """Held-out rows of a larger table: in each range of scores about that share is toxic."""
+    big = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{big}/labels.parquet")
+    found = toxicity.score(spark.read.parquet(f"{big}/documents.parquet"), labels, ~toxicity.held_out())
+    both = found.join(labels, "doc_id").where(toxicity.held_out()).select("score", "predicted", "toxic").toPandas()
+    assert (both.predicted == both.toxic).mean() > 0.97 and both.predicted[both.toxic == 1].mean() > 0.9
+    for low, high in ((0, 0.1), (0.1, 0.6), (0.6, 1.01)):
+        mine = both[(both.score >= low) & (both.score < high)]
+        if len(mine) >= 15:
+            assert abs(mine.score.mean() - mine.toxic.mean()) < 0.15
+
+
 def test_toxicity_odd_tables(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "bad word"), (3, "bad word"), (None, "bad")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
