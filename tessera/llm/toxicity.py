@@ -29,11 +29,11 @@ from tessera.llm import kernel
 from tessera.llm.common import arrow_map, fold, merge_stripes, prepare
 
 #: Labelled training rows that serve as examples, neighbours, examples of a block.
-EXAMPLES, K, BLOCK = 4096, 15, 128
+EXAMPLES, K, BLOCK = 3072, 15, 512
 #: Weight of a term that doesn't speak for the label, and the excess (in standard deviations) from which and over which it rises to 1 more.
 FLOOR, FROM, OVER = 0.08, 2.0, 5.0
 #: Share of the examples from which on a term's postings are a matrix row; texts scored together; blocks scored before any is skipped.
-FREQUENT, TOGETHER, FIRST = 0.1, 64, 4
+FREQUENT, TOGETHER, FIRST = 0.1, 64, 2
 CUT = 0.3
 STRIPES = 16
 _PREFIXES = (4, 5)
@@ -166,11 +166,12 @@ class Index:
         term, self.example, self.value = term[~dense], self.example[~dense], self.value[~dense]
         # An entry is a term's postings in one block.
         key = term * self.blocks + self.example // BLOCK
-        self.start = np.flatnonzero(np.diff(key, prepend=-1))
-        self.end = np.append(self.start[1:], len(key))
-        self.block = (key[self.start] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.value, self.start) if len(key) else np.zeros(0)
-        self.first = np.searchsorted(key[self.start] // self.blocks, np.arange(size + 1))
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        self.start = np.append(start, len(key)).astype(np.int32)
+        self.block = (key[start] % self.blocks).astype(np.int16)
+        most = np.maximum.reduceat(self.value, start) if len(key) else np.zeros(0)
+        self.most = np.nextafter(most.astype(np.float32), np.float32(2))
+        self.first = np.searchsorted(key[start] // self.blocks, np.arange(size + 1)).astype(np.int32)
         none = np.flatnonzero(lengths == 0)
         self.rate = (self.labels.sum() + 0.5) / (n + 1)
         self.rate_empty = float((self.labels[none].sum() + 0.5 * self.rate) / (len(none) + 0.5))
@@ -209,7 +210,7 @@ class Index:
             mine = np.zeros(self.blocks, bool)
             mine[chosen] = True
             pick = np.flatnonzero(mine[of])
-            places, sizes = _ranges(self.start[entries[pick]], self.end[entries[pick]])
+            places, sizes = _ranges(self.start[entries[pick]], self.start[entries[pick] + 1])
             sums = known + np.bincount(self.example[places], np.repeat(weights[pick], sizes) * self.value[places], minlength=len(known))
             here = np.repeat(mine, BLOCK)
             scores[here] = sums[here]
