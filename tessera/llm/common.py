@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import read, write_table
 
-__all__ = ["arrow_map", "fold", "merge_stripes", "prepare", "read", "write_table"]
+__all__ = ["arrow_map", "fold", "keep_unmatched", "merge_stripes", "prepare", "read", "write_table"]
 
 #: Bytes of one Arrow batch sent to Python; a longer row makes a batch of its own.
 BATCH_BYTES = 4 << 20
+#: Keys (of up to 16 bytes) that may be broadcast.
+KEYS = 1 << 19
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -78,3 +80,14 @@ def merge_stripes(parts: DataFrame, decode: Callable[[bytes, np.ndarray], None],
 
     merged = parts.repartition(stripes, "stripe").mapInArrow(run, "stripe int, part binary").collect()
     return {r.stripe: bytes(r.part) for r in merged}
+
+
+def keep_unmatched(docs: DataFrame, key: F.Column, dropped: DataFrame, most: int = KEYS) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one column of ``dropped``; a null key stays.
+
+    The distinct keys are written and counted: up to ``most`` are broadcast, so that whole documents
+    aren't shuffled; beyond it both sides are.
+    """
+    keys = write_table(dropped.select(F.col(dropped.columns[0]).alias("__key")).distinct(), "dropped")
+    few = keys.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(keys) if few else keys, key == F.col("__key"), "left_anti")
