@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.sources.tables import read, write_table
 
@@ -38,7 +39,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def arrow_map(df: DataFrame, schema: str, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
+def arrow_map(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """Map the batches of each partition; ``start`` runs once a task and returns the batch function.
 
     Where that function has an attribute ``end``, it is called after the last batch and may yield more.

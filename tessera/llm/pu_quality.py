@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are labelled good; the labels of all others are never read, they are unlabelled web
-text.  A small network over surface features is fitted by the non-negative unbiased risk estimator
+text.  A small network over surface features and hashed words is fitted by the non-negative unbiased risk estimator
 
     pi * R_p(+) + max(0, R_u(-) - pi * R_p(-))
 
@@ -9,10 +9,10 @@ with logistic loss, so its output is a probability.  The class prior pi is estim
 texts that a positive-versus-unlabelled discriminator ranks highest, the share of unlabelled mass to
 positive mass falls to pi.
 
-Scale: features are computed where the text is read, in one pass over all documents, and written as a
-narrow table; the fit uses at most ``SAMPLE`` positives and ``SAMPLE`` documents of the training fold
-whatever their label (those of the smallest hashes of their ids), a bounded collection; scoring is a
-map over the feature table.
+Scale: the fit uses at most ``SAMPLE`` positives and ``SAMPLE`` documents of the training fold whatever
+their label (those of the smallest hashes of their ids): the ids are found without reading a text, and
+only the chosen texts are turned into features for the fit.  Scoring is one map where the text is
+read: no shuffle, and ``keep_good`` filters there.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.common import arrow_map, fold, prepare, write_table
+from tessera.llm.common import arrow_map, fold, prepare
 
 #: Positives, and documents of the training fold, that a fit collects.
 SAMPLE = 20_000
@@ -39,11 +39,13 @@ for _i, _group in enumerate(_GROUPS):
 _CLASS[192:] = len(_GROUPS) + 1
 _CLASS[128:192] = len(_GROUPS) + 2
 N_CLASSES = len(_GROUPS) + 3
-N_FEATURES = N_CLASSES + 12
+#: Cells of hashed words, and their weight among the inputs (there is little to learn from a cell, and much to overfit).
+CELLS, DAMP = 8, 0.3
+N_FEATURES = N_CLASSES + 12 + CELLS
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Surface features of each text: shares of byte classes, lengths, and how words repeat."""
+    """Features of each text: shares of byte classes, lengths, how words repeat, and shares of hashed words."""
     n = len(offsets) - 1
     size = np.diff(offsets)
     owner = np.repeat(np.arange(n), size)
@@ -79,17 +81,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     last = data[w.ends - 1] if len(of) else np.zeros(0, np.uint8)
     marks = np.isin(last, np.frombuffer(b"%&$#*!|", np.uint8))
     extra = np.stack([np.log1p(size) / 10, np.log1p(count) / 8, 1 / (1 + count), mean(length) / 10, mean(length <= 2), mean(length >= 12), mean(same), distinct, top, repeated, mean(upper_first), mean(marks)], 1)
-    return np.concatenate([shares, extra], 1)
+    cells = np.bincount(of * CELLS + (w.hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=n * CELLS).reshape(n, CELLS) / some[:, None]
+    return np.concatenate([shares, extra, cells], 1)
 
 
-def feature_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        parts = [features(data, offsets) for _, _, data, offsets in kernel.chunks(batch.column(1))]
-        flat = pa.array(np.concatenate(parts).astype(np.float32).ravel())
-        rows = pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float32()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), rows], [id_col, "features"])
-
-    return arrow_map(docs.select(id_col, text_col), f"{id_col} {docs.schema[id_col].dataType.simpleString()}, features array<float>", lambda: step)
+def all_features(column: pa.Array) -> np.ndarray:
+    return np.concatenate([features(data, offsets) for _, _, data, offsets in kernel.chunks(column)]).astype(np.float32)
 
 
 class Network:
@@ -98,6 +95,8 @@ class Network:
     def __init__(self, x: np.ndarray, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        if x.shape[1] == N_FEATURES:
+            self.scale[-CELLS:] /= DAMP
         d = x.shape[1]
         self.w = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
         self.moments = [(np.zeros_like(v), np.zeros_like(v)) for v in self.w]
@@ -172,17 +171,28 @@ class Model:
         return self.net.score(x)
 
 
-def fit(table: DataFrame, labels: DataFrame, id_col: str, label_col: str, train: F.Column, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train: F.Column, sample: int = SAMPLE) -> Model | None:
     """Fit on at most ``sample`` positives and ``sample`` documents of the training fold, whatever their label; None where there is no positive."""
     good = labels.where(F.col(id_col).isNotNull() & train).groupBy(id_col).agg(F.max(label_col).alias("__y")).where(F.col("__y") == 1).select(id_col)
-    fold_rows = table.where(F.col(id_col).isNotNull() & train)
+    ids = docs.where(F.col(id_col).isNotNull() & train).select(id_col)
+
+    def least(rows: DataFrame, positive: int) -> DataFrame:
+        return rows.orderBy(F.xxhash64(id_col), id_col).limit(sample).select(F.col(id_col).alias("__id"), F.lit(positive).alias("__p"), F.lit(1 - positive).alias("__u"))
 
-    def least(rows: DataFrame) -> np.ndarray:
-        found = rows.orderBy(F.xxhash64(id_col), id_col).limit(sample).select("features").toArrow().column(0)
-        return np.stack(found.to_numpy(zero_copy_only=False)).astype(np.float64) if len(found) else np.zeros((0, N_FEATURES))
+    chosen = least(ids.join(good, id_col, "left_semi"), 1).unionByName(least(ids, 0)).groupBy("__id").agg(F.max("__p").alias("__p"), F.max("__u").alias("__u"))
+    own = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("__id", "__p", "__u", text_col)
 
-    positive = least(fold_rows.join(good, id_col, "left_semi"))
-    return Model(positive, least(fold_rows)) if len(positive) else None
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        flat = pa.array(all_features(batch.column(3)).ravel())
+        rows = pa.FixedSizeListArray.from_arrays(flat, N_FEATURES).cast(pa.list_(pa.float32()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), rows], ["id", "p", "u", "x"])
+
+    found = arrow_map(own, f"id {docs.schema[id_col].dataType.simpleString()}, p int, u int, x array<float>", lambda: step).toArrow()
+    x = np.stack(found.column(3).to_numpy()).astype(np.float64) if len(found) else np.zeros((0, N_FEATURES))
+    # In an order of their own, so that the fit doesn't depend on partitions.
+    order = np.lexsort((*x.T, np.array(found.column(0).to_pylist()))) if len(found) else np.zeros(0, int)
+    x, p, u = x[order], found.column(1).to_numpy()[order], found.column(2).to_numpy()[order]
+    return Model(x[p == 1], x[u == 1]) if (p == 1).any() else None
 
 
 def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
@@ -193,21 +203,34 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
     Without a single positive label every score is 0.5.  Repeated rows get equal scores.
     """
     spark: SparkSession = prepare(docs.sparkSession)
-    table = write_table(feature_table(docs, id_col, text_col), "features")
-    model = spark.sparkContext.broadcast(fit(table, labels, id_col, label_col, train, sample))
+    docs = docs.select(id_col, text_col)
+    model = spark.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col, train, sample))
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, N_FEATURES).astype(np.float64)
-        s = model.value.score(x) if model.value else np.full(len(x), 0.5)
+        s = _scores(model.value, batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return arrow_map(table, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int", lambda: step)
+    return arrow_map(docs, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int", lambda: step)
+
 
+def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:
+    return model.score(all_features(texts).astype(np.float64)) if model else np.full(len(texts), 0.5)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", cut: float = CUT) -> DataFrame:
+    """``docs`` without the rows predicted bad, filtered where the text is read.
+
+    Each row goes by its own text, one with a null id or a null text too.  Columns are those of ``docs``,
+    whatever their names.
+    """
+    spark: SparkSession = prepare(docs.sparkSession)
+    model = spark.sparkContext.broadcast(fit(docs.select(id_col, text_col), labels, id_col, text_col, label_col, train))
+    at = docs.columns.index(text_col)
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield batch.filter(pa.array(_scores(model.value, batch.column(at)) >= cut))
 
-def keep_good(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "doc_id", text_col: str = "text", cut: float = CUT) -> DataFrame:
-    """``docs`` without those predicted bad; rows with a null id stay."""
-    bad = score(docs, labels, train, id_col, text_col, cut=cut).where(F.col("predicted") == 0).select(F.col(id_col).alias("__doc")).distinct()
-    return docs.join(bad, F.col(id_col) == F.col("__doc"), "left_anti")
+    return arrow_map(docs, docs.schema, lambda: step)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.common import arrow_map, merge_stripes, prepare, write_table
+from tessera.llm.common import arrow_map, keep_unmatched, merge_stripes, prepare, write_table
 from tessera.operators.graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -305,5 +305,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate class, that of the smallest id; null ids stay."""
-    drop = classes(docs, threshold, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__doc")).distinct()
-    return docs.join(drop, F.col(id_col).cast("long") == F.col("__doc"), "left_anti")
+    dropped = classes(docs, threshold, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(id_col)
+    return keep_unmatched(docs, F.col(id_col).cast("long"), dropped)

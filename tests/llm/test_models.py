@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +39,46 @@ def test_quality_from_a_table_of_positives_only(spark):
     assert (both.predicted == both.quality).mean() > 0.9 and (both[both.quality == 0].predicted == 0).mean() > 0.8
 
 
+def slow_features(text):
+    """The features of one text by plain loops."""
+    raw = (text or "").encode()
+    groups = [g.encode() for g in pu_quality._GROUPS]
+    classes = [0] * pu_quality.N_CLASSES
+    for b in raw:
+        k = next((i for i, g in enumerate(groups) if b in g), len(groups) + 1 if b >= 192 else len(groups) + 2 if b >= 128 else len(groups))
+        classes[k] += 1 / len(raw)
+    w = raw.split()
+    n, some = len(w), max(1, len(w))
+    counts = {x: w.count(x) for x in set(w)}
+    threes = [tuple(w[i : i + 3]) for i in range(n - 2)]
+    extra = [math.log1p(len(raw)) / 10, math.log1p(n) / 8, 1 / (1 + n), sum(map(len, w)) / some / 10, sum(len(x) <= 2 for x in w) / some, sum(len(x) >= 12 for x in w) / some]
+    extra += [sum(a == b for a, b in zip(w, w[1:])) / some, len(counts) / some, max(counts.values(), default=0) / some, (len(threes) - len(set(threes))) / some]
+    extra += [sum(65 <= x[0] <= 90 for x in w) / some, sum(x[-1:] in (b"%", b"&", b"$", b"#", b"*", b"!", b"|") for x in w) / some]
+    return classes + extra
+
+
+def test_quality_equals_brute_force(spark):
+    """Features by plain loops; scores by a fit on the same rows outside Spark."""
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    found = {r.doc_id: r.score for r in pu_quality.score(docs, labels, ~pu_quality.held_out()).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    x = {i: pu_quality.all_features(pa.array([t], pa.string()))[0].astype(np.float64) for i, t in texts.items()}
+    for i in list(texts)[::9]:
+        assert np.allclose(x[i][: -pu_quality.CELLS], slow_features(texts[i]), atol=1e-5)
+        assert x[i][-pu_quality.CELLS :].sum() == pytest.approx(float(bool((texts[i] or "").split())), abs=1e-5)
+    train = [i for i in sorted(texts) if zlib.crc32(str(i).encode()) % 5]
+    model = pu_quality.Model(np.stack([x[i] for i in train if i in good]), np.stack([x[i] for i in train]))
+    assert np.allclose([found[i] for i in sorted(texts)], model.score(np.stack([x[i] for i in sorted(texts)])), atol=1e-6)
+
+
+def test_quality_never_reads_labels_of_bad_rows(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    for other in (labels.where("quality = 1"), labels.withColumn("quality", F.when(F.col("quality") == 1, 1))):
+        a, b = (sorted((r.doc_id, r.score) for r in pu_quality.score(docs.repartition(n), x, ~pu_quality.held_out()).collect()) for n, x in ((2, labels), (5, other)))
+        assert np.allclose(a, b, atol=1e-9)
+
+
 def test_class_prior():
     rng = np.random.default_rng(1)
     p = rng.normal(2, 1, 5000)
