@@ -1,16 +1,18 @@
-"""URL filters by a Bloom filter cascade: exact membership in a list, without a join.
+"""URL filters by Bloom filter cascades: exact membership in lists, without a join.
 
 A url asks for *keys*: each suffix of its host at a label boundary, with each prefix of its path
 whose length some listed rule has.  The keys that all urls of the corpus ask for are the complete
-universe.  Level 1 of the cascade is a Bloom filter of the listed keys; level 2 holds the keys of
-the universe that level 1 wrongly passes; level 3 the listed keys that level 2 wrongly passes, and
-so on until a level passes nothing wrongly.  A key is listed if the first level that rejects it is
-an even one (counting from 1), so every answer about a key of the universe is exact.
+universe.  Each verdict has a list, and each list a cascade.  Level 1 of a cascade is a Bloom filter
+of the listed keys; level 2 holds the keys of the universe that level 1 wrongly passes; level 3 the
+listed keys that level 2 wrongly passes, and so on until a level passes nothing wrongly.  A key is
+listed if the first level that rejects it is an even one (counting from 1), so every answer about a
+key of the universe is exact.
 
 Scale: level 1 is sized so that its false positives over the universe are about as many as the
-listed keys.  The cascade therefore takes about ``1.44 * log2(universe / listed)`` bits a listed key:
-its size is bounded by the list, not by the corpus, and it is what the tasks receive.  The universe
-is never collected; each level is one distributed pass over it that returns only false positives.
+listed keys.  A cascade therefore takes about ``1.44 * log2(universe / listed)`` bits a listed key:
+its size is bounded by the list, not by the corpus, and it alone is broadcast; the keys of the lists
+stay on the driver.  The universe is written once and never collected; each level is one distributed
+pass over it that returns only false positives.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.common import arrow_map, prepare
+from tessera.llm.common import arrow_map, prepare, write_table
 
 
 class Rule(NamedTuple):
@@ -117,20 +119,22 @@ def keys_of(host: str, path: str, lengths: Iterable[int]) -> list[str]:
     return [k for _, _, k in sorted(found, key=lambda x: (-x[0], -x[1]))]
 
 
-def build(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> list[Bloom]:
-    """The cascade that tells the keys of ``rules`` from all other keys that ``urls`` ask for."""
-    lengths = sorted({len(r.path) for r in rules})
-    want = sorted({r.host + r.path for r in rules})
-    want_set = set(want)
-    inside = key_hashes(want)
+def universe(urls: DataFrame, url_col: str, lengths: list[int]) -> DataFrame:
+    """The distinct keys that ``urls`` ask for, written once."""
 
     def ask(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        keys = {k for u in batch.column(0).to_pylist() for k in keys_of(*split_url(u), lengths)} - want_set
+        keys = {k for u in batch.column(0).to_pylist() for k in keys_of(*split_url(u), lengths)}
         yield pa.RecordBatch.from_pydict({"key": pa.array(sorted(keys), pa.string())})
 
-    universe = arrow_map(urls.select(url_col), "key string", lambda: ask).distinct()
-    size = universe.count()
-    rate = min(0.5, max(len(want), 1) / max(size, 1))
+    return write_table(arrow_map(urls.select(url_col), "key string", lambda: ask).distinct(), "universe")
+
+
+def build(keys: DataFrame, size: int, want: list[str]) -> list[Bloom]:
+    """The cascade that tells the keys of the list from all others of the universe ``keys``, which has ``size``."""
+    own = kernel.Lookup(np.unique(key_hashes(sorted(set(want)))))
+    inside = own.hashes
+    rate = min(0.5, max(len(inside), 1) / max(size, 1))
+    sent = keys.sparkSession.sparkContext.broadcast(own)
     levels: list[Bloom] = []
     while True:
         i = len(levels)
@@ -141,16 +145,16 @@ def build(urls: DataFrame, url_col: str, rules: tuple[Rule, ...]) -> list[Bloom]
                     return levels
             levels.append(Bloom(inside, rate if i == 0 else 0.5, i + 1))
             continue
+        so_far = keys.sparkSession.sparkContext.broadcast(levels)
 
-        def wrong(batch: pa.RecordBatch, levels: list[Bloom] = levels) -> Iterator[pa.RecordBatch]:
-            keys = batch.column(0)
-            hashes = key_hashes(keys.to_pylist())
-            passed = np.ones(len(hashes), bool)
-            for level in levels:
+        def wrong(batch: pa.RecordBatch, so_far=so_far) -> Iterator[pa.RecordBatch]:
+            hashes = key_hashes(batch.column(0).to_pylist())
+            passed = sent.value.find(hashes) < 0
+            for level in so_far.value:
                 passed &= level.passes(hashes)
-            yield pa.RecordBatch.from_pydict({"key": keys.filter(pa.array(passed))})
+            yield pa.RecordBatch.from_pydict({"h": pa.array(hashes[passed].view(np.int64))})
 
-        false = key_hashes([r.key for r in arrow_map(universe, "key string", lambda: wrong).collect()])
+        false = arrow_map(keys, "h long", lambda: wrong).toArrow().column(0).to_numpy().view(np.uint64)
         if not len(false):
             return levels
         levels.append(Bloom(false, 0.5, i + 1))
@@ -160,33 +164,41 @@ def judge(urls: DataFrame, url_col: str = "url", rules: tuple[Rule, ...] = RULES
     """``urls`` with host, path, rule and verdict: the longest rule that fits decides, else ``otherwise``.
 
     A null url, or one without ``://``, has an empty host and path, no rule, and the verdict
-    ``otherwise`` (its key is not in the list).  Columns of those four names in the input are replaced.
-    Repeated rows get equal answers; an empty table gives an empty result.
+    ``otherwise`` (its key is not in a list).  Of rules with the same key the last counts.  Columns of
+    those four names in the input are replaced.  Repeated rows get equal answers; an empty table gives an empty result.
     """
-    prepare(urls.sparkSession)
-    verdicts = {r.host + r.path: r.verdict for r in rules}
+    spark = prepare(urls.sparkSession).sparkContext
+    verdict = {r.host + r.path: r.verdict for r in rules}
     lengths = sorted({len(r.path) for r in rules})
-    levels = build(urls, url_col, rules)
+    keys = universe(urls, url_col, lengths)
+    size = keys.count()
+    lists = {v: [k for k, own in verdict.items() if own == v] for v in sorted(set(verdict.values()))}
+    sent = spark.broadcast({v: build(keys, size, own) for v, own in lists.items()})
     rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     frame = urls.select(*rest) if url_col in rest else urls.select(*rest, url_col)
+    at_url, kept = frame.columns.index(url_col), [frame.columns.index(c) for c in rest]
 
     def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        pairs = [split_url(u) for u in batch.column(batch.schema.get_field_index(url_col)).to_pylist()]
+        pairs = [split_url(u) for u in batch.column(at_url).to_pylist()]
         asked = [keys_of(h, p, lengths) for h, p in pairs]
-        flat = [k for keys in asked for k in keys]
-        yes = listed(levels, key_hashes(flat)) if flat else np.zeros(0, bool)
-        found, at = [], 0
-        for keys in asked:
-            hits = np.flatnonzero(yes[at : at + len(keys)])
-            found.append(keys[hits[0]] if len(hits) else None)
-            at += len(keys)
-        columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-        columns += [pa.array([h for h, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string())]
-        columns += [pa.array(found, pa.string()), pa.array([verdicts[k] if k else otherwise for k in found], pa.string())]
+        flat = [k for own in asked for k in own]
+        hashes = key_hashes(flat)
+        of = np.full(len(flat), -1)
+        names = list(sent.value)
+        for n, name in enumerate(names):
+            of[listed(sent.value[name], hashes)] = n
+        found, verdicts, at = [], [], 0
+        for own in asked:
+            hits = np.flatnonzero(of[at : at + len(own)] >= 0)
+            found.append(own[hits[0]] if len(hits) else None)
+            verdicts.append(names[of[at + hits[0]]] if len(hits) else otherwise)
+            at += len(own)
+        columns = [batch.column(c) for c in kept]
+        columns += [pa.array([h for h, _ in pairs], pa.string()), pa.array([p for _, p in pairs], pa.string()), pa.array(found, pa.string()), pa.array(verdicts, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, [*rest, "host", "path", "rule", "verdict"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in rest)
-    return arrow_map(frame, f"{schema}, host string, path string, rule string, verdict string", lambda: apply)
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in frame.schema if f.name in rest)
+    return arrow_map(frame, f"{schema}host string, path string, rule string, verdict string", lambda: apply)
 
 
 def urls_of(pages: DataFrame) -> DataFrame:
