@@ -73,14 +73,27 @@ def test_judge_equals_brute_force(spark):
 
 def test_cascade_is_exact(spark):
     """Many listed keys and more others: every answer about the universe is right."""
-    rules = tuple(url_cascade.Rule("block", f"h{i}.com", "/") for i in range(0, 3000, 3))
+    want = [f"h{i}.com/" for i in range(0, 3000, 3)]
     urls = spark.createDataFrame([(f"http://h{i}.com/x",) for i in range(3000)], "url string")
-    levels = url_cascade.build(urls, "url", rules)
-    keys = [f"h{i}.com/" for i in range(3000)] + ["com/"]
-    assert url_cascade.listed(levels, url_cascade.key_hashes(keys)).tolist() == [i % 3 == 0 for i in range(3000)] + [False]
+    keys = url_cascade.universe(urls, "url", [1])
+    levels = url_cascade.build(keys, keys.count(), want)
+    asked = [f"h{i}.com/" for i in range(3000)] + ["com/"]
+    assert sorted(r.key for r in keys.collect()) == sorted(asked)
+    assert url_cascade.listed(levels, url_cascade.key_hashes(asked)).tolist() == [i % 3 == 0 for i in range(3000)] + [False]
     assert len(levels) > 1
 
 
+def test_two_long_lists(spark):
+    rules = tuple(url_cascade.Rule("block" if i % 3 else "allow", f"h{i}.com", "/a/" if i % 2 else "/") for i in range(600))
+    urls = [(i, f"http://{'x.' * (i % 2)}h{i % 700}.com/{'a/' * (i % 5)}") for i in range(2000)]
+    found = url_cascade.judge(spark.createDataFrame(urls, "page_id long, url string"), rules=rules, otherwise="unknown").collect()
+    for r in found:
+        host, path = url_cascade.split_url(urls[r.page_id][1])
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        want = max(fits, key=lambda x: len(x.host) + len(x.path), default=None)
+        assert (r.rule, r.verdict) == ((want.host + want.path, want.verdict) if want else (None, "unknown"))
+
+
 # Nearest neighbours ----------------------------------------------------------------------------
 
 
@@ -104,6 +117,31 @@ def test_recall_on_fixture(spark):
         assert r.score == pytest.approx(dict(want[r.query_id]).get(r.vec_id, r.score), abs=1e-12)
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_few_vectors_are_verified(clustered):
+    """At a recall of 0.9 or more, the collision threshold leaves less than a fifth of the vectors to verify."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(6000, 64))
+    if clustered:
+        v = rng.normal(size=(60, 64)).repeat(100, 0) + 0.5 * v
+    own = ann.Sorted(np.arange(6000), ann.scaled(v))
+    hits = verified = 0
+    for q in range(0, 6000, 100):
+        near, n = own.nearest(q, own.vectors[q], 5)
+        cosine = own.vectors @ own.vectors[q] / own.norms
+        cosine[q] = -2
+        hits += len({i for _, i in near} & set(np.argsort(-cosine)[:5].tolist()))
+        verified += n
+    assert hits / 300 >= 0.9 and verified / (60 * 6000) < 0.2
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(1, [1e-200, 0.0]), (2, [3e-180, 4e-180]), (3, [1e300, 0.0]), (4, [-1e300, 1e300]), (1, [2e-200, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r.query_id, r.vec_id): r.score for r in ann.search(table.repartition(3), F.lit(True), 5).collect()}
+    assert found[1, 3] == 1.0 and found[1, 2] == pytest.approx(0.6) and found[3, 4] == pytest.approx(-(0.5**0.5)) and len(found) == 12
+
+
 def test_search_odd_rows(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [float("inf"), 1.0]), (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 0.0]), (1, [2.0, 0.0]), (10, [-1.0, 0.1])]
@@ -120,4 +158,24 @@ def test_ties_go_to_smaller_ids(spark):
     v = rng.normal(size=8).tolist()
     table = spark.createDataFrame([(i, v) for i in range(300)] + [(1000 + i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
     found = ann.search(table, F.col("vec_id") == 7, 5, block=64).orderBy("rank").collect()
-    assert [r.vec_id for r in found] == [0, 1, 2, 3, 4]
+    assert [r.vec_id for r in found] == [0, 1, 2, 3, 4] and all(r.verified < 600 for r in found)
+
+
+def test_query_recall_on_a_larger_fixture(spark):
+    """The registered query against the exact nearest on sf0.1, and how many vectors it verified."""
+    from tessera.llm.queries import QUERIES
+
+    found = QUERIES["op1_collision_ann"](spark, "/root/testdata/sf0.1").collect()
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    ids, v = np.array([i for i, _ in rows]), np.array([x for _, x in rows], float)
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = {(r.query_id, r.vec_id) for r in found}
+    hits = n = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        cosine = unit @ unit[i]
+        cosine[i] = -2
+        want = {(ids[i], ids[j]) for j in np.argsort(-cosine)[:5]}
+        hits, n = hits + len(want & got), n + 5
+    assert len(found) == n and hits / n >= 0.9
+    verified = {r.query_id: r.verified for r in found}
+    assert sum(verified.values()) / (len(verified) * len(rows)) < 0.2
