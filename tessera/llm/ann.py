@@ -111,19 +111,20 @@ def search(table: DataFrame, is_query: F.Column, k: int = 5, id_col: str = "vec_
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-n_q // queries))
     place = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     q_place = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    data = rows.select("id", "v", "d", place.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("c"))
-    asked = rows.where("q").select("id", "v", "d", q_place.alias("c"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    data = rows.select("id", "v", "d", place.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("c"), F.lit(False).alias("asks"))
+    asked = rows.where("q").select("id", "v", "d", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), q_place.alias("c"), F.lit(True).alias("asks"))
 
-    def meet(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, float, int]] = []
+        left, right = rows[~rows["asks"]], rows[rows["asks"]]
         if len(left) and len(right):
             own = Sorted(left["id"].to_numpy(), scaled(np.stack(left["v"].to_numpy())))
-            for q, v in zip(right["id"].tolist(), scaled(np.stack(right["v"].to_numpy()).astype(np.float64))):
+            for q, v in zip(right["id"].tolist(), scaled(np.stack(right["v"].to_numpy()))):
                 near, verified = own.nearest(q, v, k)
                 out += [(q, i, s, 0 if n else verified) for n, (s, i) in enumerate(near)]
         return pd.DataFrame(out, columns=["query_id", "id", "score", "verified"]).astype({"query_id": "int64", "id": "int64", "score": "float64", "verified": "int64"})
 
-    near = data.groupBy("d", "b", "c").cogroup(asked.groupBy("d", "b", "c")).applyInPandas(meet, "query_id long, id long, score double, verified long")
+    near = data.unionByName(asked).groupBy("d", "b", "c").applyInPandas(meet, "query_id long, id long, score double, verified long")
     own = Window.partitionBy("query_id")
     rank = F.row_number().over(own.orderBy(F.desc("score"), "id"))
     ranked = near.withColumn("verified", F.sum("verified").over(own)).withColumn("rank", rank).where(F.col("rank") <= k)

@@ -7,10 +7,12 @@ a body of exactly the declared length, and a newline.  The converter synthesises
 record id, date, type, block and payload digests.  Of records with equal payloads that with the
 smallest id is a ``response``; the others are ``revisit`` records that refer to it and hold no payload.
 
-Scale: archives are built and read where their rows are; the only shuffle is one row a digest and task
-(a map-side minimum), joined back by digest, so a payload that a third of all pages share makes one
-row.  WARC files are written by Spark to the shared folder (each row a record, the record separator
-the line separator) of at most ``PART_RECORDS`` records, and read back as whole binary files.
+Scale: one pass makes and reads the ARC archives and writes their records as a table; digests alone are
+read from it to find equal payloads (a map-side minimum), and payloads move once, in a sort-merge
+join of two written tables, so adaptive execution can split a payload that a third of all pages
+share.  WARC files are written by Spark to the shared folder (each row a record, the record separator the
+line separator), each of at most ``PART_BYTES`` and one record, and read back by a stream, so a task
+holds one such file compressed and a batch of its records.
 """
 
 from __future__ import annotations
@@ -19,18 +21,19 @@ import base64
 import hashlib
 import io
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import arrow_map, prepare
+from tessera.llm.common import arrow_map, prepare, write_table
 from tessera.sources.tables import shared_dir
 
-#: Records of one WARC file at most.
-PART_RECORDS = 5000
+#: Bytes of the records of one WARC file, but for its last; bytes of a file that are unpacked at a time.
+PART_BYTES, PIECE = 64 << 20, 1 << 20
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 0
 V1 = "URL IP-address Archive-date Content-type Archive-length"
@@ -105,9 +108,10 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(key: object) -> str:
-    """A record identifier that depends on the record's key alone, so that a retried task makes the same."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}')}>"
+def record_id(key: object, url: str, payload_digest: str) -> str:
+    """A record identifier that depends on the record alone, so that a retried task makes the same; a page without a key is named by its url and digest."""
+    name = f"page:{key}" if key is not None else f"page:{payload_digest}:{url}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
 def warc_date(date: str) -> str:
@@ -115,42 +119,67 @@ def warc_date(date: str) -> str:
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def write_warc(key: int, url: str, date: str, content_type: str, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
+def write_warc(key: int | None, url: str, date: str, content_type: str, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
     """A WARC record without the two line ends that close it."""
     block = b"" if refers_to is not None else payload
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key)}", f"WARC-Date: {warc_date(date)}"]
-    lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Page-Id: {key}", f"X-Payload-Length: {len(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key, url, payload_digest)}", f"WARC-Date: {warc_date(date)}"]
+    lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload)}"]
+    if key is not None:
+        lines.append(f"X-Page-Id: {key}")
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, '', '')}", f"X-Refers-To-Page: {refers_to}"]
     lines += [f"Content-Type: {content_type}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + _END + block
 
 
-def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers in lower case, block) of each record, by declared lengths; verifies the block digest."""
-    at = 0
-    while at < len(data):
-        end = data.index(_END, at)
-        first, *rest = data[at:end].decode("utf-8", "replace").split("\r\n")
+def read_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers in lower case, block) of each record of a file that comes in pieces, by declared lengths; verifies the block digest."""
+    held, done = bytearray(), False
+
+    def more() -> bool:
+        nonlocal done
+        piece = next(pieces, None)
+        done = piece is None
+        held.extend(piece or b"")
+        return not done
+
+    while True:
+        while (end := held.find(_END)) < 0 and more():
+            pass
+        if end < 0:
+            if held.strip():
+                raise ValueError("the archive ends inside a record's head")
+            return
+        first, *rest = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
         if not first.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record where {first[:40]!r} is")
         head = {k.strip().lower(): v.strip() for k, v in (x.split(":", 1) for x in rest)}
-        start = end + 4
-        block = data[start : start + int(head["content-length"])]
+        start, size = end + 4, int(head["content-length"])
+        while len(held) < start + size + 4 and more():
+            pass
+        block = bytes(held[start : start + size])
+        if len(block) < size:
+            raise ValueError("the archive ends inside a record")
         if head.get("warc-block-digest", f"sha1:{digest(block)}") != f"sha1:{digest(block)}":
             raise ValueError(f"the digest of {head.get('warc-record-id')} doesn't fit its block")
         yield head, block
-        at = start + len(block) + 4
+        del held[: start + size + 4]
 
 
-def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """(key, digest, refers_to, record): the WARC record of each page, by way of ARC archives of both versions.
+def unpacked(content: bytes) -> Iterator[bytes]:
+    """A gzip file in pieces, member after member."""
+    while content:
+        unzip = zlib.decompressobj(31)
+        piece = unzip.decompress(content, PIECE)
+        while piece or unzip.unconsumed_tail:
+            yield piece
+            piece = unzip.decompress(unzip.unconsumed_tail, PIECE)
+        content = unzip.unused_data
 
-    A null payload is empty; a null url is written as ``-``.  Rows with a null key are left out (a record
-    has to be named).  Rows that repeat a key are records of their own; a key refers to another only if
-    that is smaller.
-    """
-    kept = pages.where(F.col(key_col).isNotNull()).select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+
+def arc_records(pages: DataFrame, key_col: str, url_col: str, payload_col: str) -> DataFrame:
+    """(key, url, date, type, payload, digest) of each page, by way of ARC archives of both versions, written once."""
+    kept = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         turn = [0]
@@ -165,42 +194,66 @@ def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
 
         return step
 
-    arc = arrow_map(kept, "key long, url string, date string, type string, payload binary, digest string", start)
+    return write_table(arrow_map(kept, "key long, url string, date string, type string, payload binary, digest string", start), "arc", compression="zstd")
+
+
+def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
+    """(file, key, digest, refers_to, record): the WARC record of each page, and the number of its file among those of its task.
+
+    A null payload is empty; a null url is written as ``-``.  A page without a key revisits the smallest
+    key of equal payload, and is a response where there is none.  Rows that repeat a key are records of
+    their own; a key refers to another only if that is smaller.
+    """
+    arc = arc_records(pages, key_col, url_col, payload_col)
     # Digests alone are compared; payloads move once, to meet what they refer to.
-    sums = arc.select("key", "digest", F.length("payload").alias("n")).where(F.col("n") >= least_revisit)
-    first = sums.groupBy("digest").agg(F.min("key").alias("refers_to"))
-    later = sums.join(first, "digest").where("refers_to < key").select("key", "digest", "refers_to").distinct()
-    joined = arc.join(later, ["key", "digest"], "left").select("key", "url", "date", "type", "payload", "digest", "refers_to")
+    sums = arc.select("key", "digest", F.length("payload").alias("n")).where(F.col("n") >= least_revisit) if least_revisit else arc.select("key", "digest")
+    first = write_table(sums.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "first")
+    refers = F.when(F.col("key").isNull() | (F.col("first") < F.col("key")), F.col("first"))
+    joined = arc.join(first, "digest", "left").select("key", "url", "date", "type", "payload", "digest", refers.alias("refers_to"))
+
+    def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        written = [0]
 
-    def record(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        rows = [write_warc(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(5), batch.column(6), pa.array(rows, pa.binary())], ["key", "digest", "refers_to", "record"])
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            rows = [write_warc(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
+            files = []
+            for row in rows:
+                files.append(written[0] // PART_BYTES)
+                written[0] += len(row)
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), batch.column(0), batch.column(5), batch.column(6), pa.array(rows, pa.binary())], ["file", "key", "digest", "refers_to", "record"])
+
+        return step
 
-    return arrow_map(joined, "key long, digest string, refers_to long, record binary", lambda: record)
+    return arrow_map(joined, "file int, key long, digest string, refers_to long, record binary", start)
 
 
 def write_archives(records: DataFrame, path: str) -> None:
     """Write the records of ``convert`` as gzipped WARC files."""
-    text = records.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PART_RECORDS).option("compression", "gzip").text(path)
+    text = records.select("file", F.col("record").cast("string").alias("value"))
+    text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("file").text(path)
 
 
-def read_archives(spark, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(key, payload_bytes, digest, type, refers_to, url, record_id, date, payload) of the records under ``path``."""
-    import zlib
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     names = ["key", "payload_bytes", "digest", "type", "refers_to", "url", "record_id", "date", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
-            rows = []
-            for head, block in read_warc(zlib.decompress(content.as_py(), 31)):
-                refers = head.get("x-refers-to-page")
-                rows.append((int(head["x-page-id"]), int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(refers) if refers else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"], block))
+            rows, size = [], 0
+            for head, block in read_warc(unpacked(content.as_py())):
+                key, refers = head.get("x-page-id"), head.get("x-refers-to-page")
+                rows.append((int(key) if key else None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(refers) if refers else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"], block))
+                size += len(block)
+                if size > PIECE:
+                    yield made(rows)
+                    rows, size = [], 0
             if rows:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+                yield made(rows)
 
     return arrow_map(files, "key long, payload_bytes long, digest string, type string, refers_to long, url string, record_id string, date string, payload binary", lambda: step)
 

@@ -76,6 +76,16 @@ b AS (SELECT doc_id, list(q) AS qs, count(*) AS n FROM bad GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN qs IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN b USING (doc_id)""",
+    "op8_arc_to_warc": r"""
+WITH p AS (
+  SELECT page_id, coalesce(octet_length(encode(html)), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h,
+         row_number() OVER () AS n, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_page FROM pages),
+q AS (
+  SELECT *, CASE WHEN page_id IS NULL OR first_page < page_id THEN first_page END AS refers_to FROM p),
+d AS (
+  SELECT q.*, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    ((('0x' || substr(h, ((i // 8) * 10 + 1)::INT, 10))::BIGINT >> (35 - 5 * (i % 8))::INT) & 31)::INT + 1, 1)), '') AS payload_digest FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM d""",
     "op10_url_filter": r"""
 WITH s AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN split_part(split_part(substr(url, strpos(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS rest FROM pages),
