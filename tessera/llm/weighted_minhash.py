@@ -3,23 +3,25 @@
 A shingle is five consecutive words (lower case, punctuation aside); a text of one to four words is
 one shingle.  Its weight is its count in the text times the mean inverse document frequency of its
 words.  Document frequencies come from all documents, in a table of ``WORD_CELLS`` hashed words (a
-fixed size, so it may be broadcast; words that share a cell share their frequency).  Word rather than
-shingle frequencies keep a large group of copies from lowering the weight of its own text.
+fixed size, so it may be broadcast; words that share a cell share their frequency).
 
 1. Equal texts are one: the smallest id stands for them.
 2. ``BANDS`` x ``ROWS`` consistent weighted samples a text; texts that agree on a band share a bucket.
-3. In each bucket, and in the buckets of two bands together, the pairs (hub, member) are verified by
-   exact weighted Jaccard similarity.  The hub is the most central text, that with the largest buckets:
-   of a text and its altered copies, the text itself, for an alteration breaks bands.  Samples can't
-   tell it from a copy with few changes, so the hub then moves to the member nearest to it, ``CLIMBS``
-   times, each time with all its pairs.  Verified links make components.  Then the two-band buckets that still hold several components get other hubs, round
-   after round, until a round finds no new link.
-4. Every pair that shares a bucket and is still of two components is measured, unless it was or its
-   total weights rule it out, so a near-duplicate is missed only where no bucket holds both texts.
+   Two samples agree as often as the similarity says, so a pair is a *candidate* if it shares a bucket
+   and agrees in at least ``LEAST`` of all samples.  A pair at 0.8 isn't with a chance of 0.08 %.
+3. In each bucket the candidates (hub, member) are verified by exact weighted Jaccard similarity.  The hub is
+   the most central text, that with the largest buckets: of a text and its altered copies, the text
+   itself, for an alteration breaks bands.  The hub then moves to the member nearest to it, ``CLIMBS``
+   times, each time with all its candidates.  Verified links make components.
+4. Of the candidates that are still of different components each text first has its ``FIRST`` likeliest
+   in every block verified, then eight times as many, and so on, until all are; links join components on
+   the way.  So every candidate is verified, but for those whose two texts are already of one class.
 
 Scale: a row a document and band is shuffled, never a shingle.  Hubs are found by map-side minima, and
-hub joins are ordinary sort-merge joins that adaptive execution can split when a bucket is hot.  The
-last pairs are dealt in salted blocks; those of a bucket of n unlinked texts are n * n / 2.
+joins on documents, digests and buckets are sort-merge joins of written tables that adaptive execution can
+split where they are hot.  In step 4 the members of a bucket meet as arrays of samples, in salted
+blocks of about ``BLOCK``; pairs of rows are made only for candidates.  A bucket of n unlinked texts costs
+n * n / 2 comparisons of samples, whatever its size.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ BANDS, ROWS = 10, 3
 SPREAD = 0.5
 #: Times that a bucket's hub moves to the text nearest to it.
 CLIMBS = 2
-#: Members of a bucket that a task compares with as many others.
-BLOCK = 1024
+#: Samples in which a candidate agrees at least, of BANDS * ROWS (at 0.8: all but 3 in 100,000).
+LEAST = 14
+#: Members of a bucket that are compared with as many others at a time, and candidates a member that are verified first.
+BLOCK, FIRST = 1024, 4
 WORD_CELLS, STRIPES = 1 << 20, 16
 _STRIPE = WORD_CELLS // STRIPES
 _CELL_SHIFT = np.uint64(64 - 20)
@@ -144,10 +148,11 @@ def samples(h: np.ndarray, weight: np.ndarray, starts: np.ndarray, n: int) -> np
 
 
 def band_keys(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc, exact, bands, total): each document with a digest of its text, its band keys (none without words) and its shingles' weight."""
+    """(doc, exact, bands, samples, total): each document with a digest of its text, its band keys (none without words), two bytes of each sample, and its shingles' weight."""
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         keys: list = [None] * batch.num_rows
+        marks: list = [None] * batch.num_rows
         total = np.zeros(batch.num_rows)
         for lo, _, data, offsets in kernel.chunks(batch.column(2)):
             text, h, weight = shingles(data, offsets, idf.value)
@@ -158,13 +163,14 @@ def band_keys(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "tex
             key = np.zeros((len(starts), bands), np.uint64)
             for j in range(rows):
                 key = kernel.mix(key * np.uint64(31) + drawn[:, :, j] + np.uint64(1))
-            for i, own in zip(text[starts].tolist(), key.view(np.int64)):
-                keys[lo + i] = own
+            short = drawn.reshape(len(starts), bands * rows).astype(np.uint16).view(np.int16)
+            for i, own, mark in zip(text[starts].tolist(), key.view(np.int64), short):
+                keys[lo + i], marks[lo + i] = own, mark
             total[lo + text[starts]] = np.add.reduceat(weight.astype(np.float64), starts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(total)], ["doc", "exact", "bands", "total"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16())), pa.array(total)], ["doc", "exact", "bands", "samples", "total"])
 
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.sha2(F.col(text_col), 256).alias("exact"), text_col)
-    return arrow_map(source, "doc long, exact string, bands array<long>, total double", lambda: step)
+    return arrow_map(source, "doc long, exact string, bands array<long>, samples array<short>, total double", lambda: step)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -204,8 +210,10 @@ def _one(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _stars(buckets: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(a, b): the hub of each bucket with each other member."""
-    return buckets.join(hubs, ["band", "key"]).where("doc <> a").select("a", F.col("doc").alias("b"))
+    """(a, b): the hub of each bucket with each other member that agrees in enough samples."""
+    own = hubs.join(buckets.select("band", "key", F.col("doc").alias("a"), F.col("samples").alias("own")), ["band", "key", "a"])
+    agree = F.size(F.filter(F.zip_with("samples", "own", lambda x, y: x == y), lambda x: x)) >= LEAST
+    return buckets.join(own, ["band", "key"]).where((F.col("doc") != F.col("a")) & agree).select("a", F.col("doc").alias("b")).distinct()
 
 
 def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
@@ -219,85 +227,98 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return write_table(every.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
-def _unmeasured(buckets: DataFrame, label: DataFrame, known: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): every pair that shares a bucket, is of two components, isn't in ``known`` and could be similar by its total weights.
+def _candidates(buckets: DataFrame, label: DataFrame, each: int, threshold: float) -> DataFrame:
+    """(a, b, cut): candidates of different components, at most the ``each`` likeliest of a member and block.
 
-    In each bucket the members outside its largest component meet all members, in blocks of about
-    ``BLOCK`` by ``BLOCK``.  The similarity is at most the ratio of the total weights.
+    In each bucket the members outside its largest component meet all members, block by block.  ``cut``
+    says that a member has more candidates in the block.  The similarity is at most the ratio of the total weights.
     """
     own = buckets.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     sizes = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
     main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
     mixed = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     cuts = mixed.select("band", "key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("x"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("y"))
-    within = write_table(own.join(cuts, ["band", "key"]), "mixed")
-    part, every = (lambda n: F.pmod(F.xxhash64("doc"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-    right = within.withColumn("i", part(F.col("x"))).withColumn("j", every("y")).select("band", "key", "i", "j", "doc", "component", "main", "total")
-    outside = within.where("component <> main").withColumn("j", part(F.col("y"))).withColumn("i", every("x"))
-    left = outside.select("band", "key", "i", "j", F.col("doc").alias("a"), F.col("component").alias("of"), F.col("total").alias("weight"))
-    apart = F.expr("component <> of and (component = main or a < doc)")
-    near = F.least("total", "weight") >= F.greatest("total", "weight") * (threshold - 1e-4)
-    found = right.join(left, ["band", "key", "i", "j"]).where(apart & near).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-    return found.join(known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    within = write_table(own.join(write_table(cuts, "cuts"), ["band", "key"]), "mixed")
+    member = F.struct("doc", "component", "total", "samples")
+    right = within.groupBy("band", "key", "main", F.pmod(F.xxhash64("doc"), "x").alias("i")).agg(F.collect_list(member).alias("members"))
+    left = within.where("component <> main").groupBy("band", "key", F.pmod(F.xxhash64("doc", F.lit(1)), "y").alias("j")).agg(F.collect_list(member).alias("others"))
+    met = write_table(right, "members").join(write_table(left, "others"), ["band", "key"]).select("main", "members", "others")
+
+    def columns(block) -> tuple[np.ndarray, ...]:
+        rows = block.values
+        marks = rows.field("samples")
+        return tuple(rows.field(c).to_numpy() for c in ("doc", "component", "total")) + (marks.flatten().to_numpy().reshape(len(rows), -1),)
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for main, members, others in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            b, of_b, total_b, marks_b = columns(members)
+            a, of_a, total_a, marks_a = columns(others)
+            agree = np.zeros((len(a), len(b)), np.uint8)
+            for k in range(marks_a.shape[1]):
+                agree += marks_a[:, k, None] == marks_b[None, :, k]
+            open_ = (agree >= LEAST) & (of_a[:, None] != of_b[None, :]) & ((of_b[None, :] == main) | (a[:, None] < b[None, :]))
+            open_ &= np.minimum(total_a[:, None], total_b[None, :]) >= np.maximum(total_a[:, None], total_b[None, :]) * (threshold - 1e-4)
+            i, j = np.nonzero(open_)
+            if not len(i):
+                continue
+            order = np.lexsort((b[j], -agree[i, j].astype(np.int16), i))
+            i, j = i[order], j[order]
+            turn = np.arange(len(i)) - np.searchsorted(i, i)
+            cut = np.bincount(i, minlength=len(a)) > each
+            i, j = i[turn < each], j[turn < each]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(cut[i])], ["a", "b", "cut"])
+
+    found = arrow_map(met, "a long, b long, cut boolean", lambda: step)
+    return write_table(found.groupBy("a", "b").agg(F.bool_or("cut").alias("cut")), "candidates")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, class_id), a row a document row: the class is the smallest id among its near-duplicates.
 
     A text that is null, or has no word and no equal text, is a class of its own, as is a null text
-    whatever others there are.  A null id has a null class.  Rows that repeat an id are one document.
-    Ties don't arise (the smallest id stands for a group).  An empty table gives an empty result.
+    whatever others there are.  A null id has a null class.  Rows that repeat an id are one document: of
+    its texts that of the smallest digest is compared.  Ties don't arise (the smallest id stands for a
+    group).  An empty table gives an empty result.
     """
     spark: SparkSession = prepare(docs.sparkSession)
     docs = docs.select(id_col, text_col)
     idf = spark.sparkContext.broadcast(word_idf(docs, text_col))
     keyed = write_table(band_keys(docs, idf, id_col, text_col, bands, rows), "bands")
-    smallest = keyed.where(F.col("exact").isNotNull()).groupBy("exact").agg(F.min("doc").alias("same"))
-    stands = write_table(keyed.join(smallest, "exact", "left").select("doc", F.coalesce("same", "doc").alias("same"), "bands", "total"), "stands")
-    single = stands.where((F.col("doc") == F.col("same")) & F.col("bands").isNotNull()).select("doc", "bands", "total")
-    one = single.select("doc", F.posexplode("bands").alias("band", "key"))
+    copies = keyed.where(F.col("exact").isNotNull()).groupBy("exact").agg(F.min("doc").alias("same"), F.count("*").alias("n")).where("n > 1")
+    stands = write_table(keyed.join(write_table(copies.drop("n"), "copies"), "exact", "left").withColumn("same", F.coalesce("same", "doc")), "stands")
+    texts_of = stands.where((F.col("doc") == F.col("same")) & F.col("bands").isNotNull())
+    single = texts_of.groupBy("doc").agg(F.min(F.struct("exact", "bands", "samples", "total")).alias("t")).select("doc", "t.*")
+    one = write_table(single.select("doc", "exact", "samples", "total", F.posexplode("bands").alias("band", "key")), "one")
     shared = one.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    alone = write_table(one.join(shared, ["band", "key"]), "buckets")
-    central = alone.groupBy("doc").agg(F.sum("n").alias("c"))
-    joint = [F.expr(f"transform(bands, (x, i) -> xxhash64(x, bands[(i + {k}) % size(bands)], {k}))") for k in (1, 3)]
-    two = single.join(central, "doc").select("doc", "c", F.posexplode(F.concat(*joint)).alias("band", "key"))
-    two = two.select((F.col("band") + bands).alias("band"), "key", "doc", "c")
-    buckets = write_table(alone.select("band", "key", "doc").join(central, "doc").select("band", "key", "doc", "c").union(two), "buckets")
-    first = F.max_by("doc", F.struct(F.col("c"), -F.col("doc")))
-    counted = buckets.groupBy("band", "key").agg(first.alias("a"), F.count("*").alias("n")).where("n > 1")
-    buckets = write_table(buckets.join(counted.select("band", "key"), ["band", "key"], "left_semi").select("band", "key", "doc"), "shared")
-    hubs = write_table(counted.select("band", "key", "a"), "hubs")
-    wanted = buckets.select("doc").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(wanted, "doc", "left_semi")
-    texts = write_table(texts.dropDuplicates(["doc"]), "texts")
+    buckets = write_table(one.join(write_table(shared, "sizes"), ["band", "key"]), "buckets")
+    central = buckets.groupBy("doc").agg(F.sum("n").alias("c"))
+    hubs = write_table(buckets.join(central, "doc").groupBy("band", "key").agg(F.max_by("doc", F.struct(F.col("c"), -F.col("doc"))).alias("a")), "hubs")
+    wanted = write_table(buckets.select("doc", "exact").distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.sha2(F.col(text_col), 256).alias("exact"), F.col(text_col).alias("text"))
+    texts = write_table(texts.join(wanted, ["doc", "exact"], "left_semi").dropDuplicates(["doc"]).select("doc", "text"), "texts")
     used = hubs
-    known = write_table(measured(_stars(buckets, hubs).distinct(), texts, idf), "pairs")
+    known = write_table(measured(_stars(buckets, hubs), texts, idf), "pairs")
     for _ in range(CLIMBS):
         either = known.union(known.select("b", "a", "s"))
-        near = buckets.join(hubs, ["band", "key"]).join(either.withColumnRenamed("b", "doc"), ["a", "doc"]).select("band", "key", "doc", "s")
+        near = buckets.select("band", "key", "doc").join(hubs, ["band", "key"]).join(either.withColumnRenamed("b", "doc"), ["a", "doc"]).select("band", "key", "doc", "s")
         free = near.join(used.withColumnRenamed("a", "doc"), ["band", "key", "doc"], "left_anti")
         hubs = write_table(free.groupBy("band", "key").agg(F.max_by("doc", F.struct(F.col("s"), -F.col("doc"))).alias("a")), "hubs")
-        pairs = _stars(buckets, hubs).distinct().join(either.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = _stars(buckets, hubs).join(either.select("a", "b"), ["a", "b"], "left_anti")
         known = known.union(write_table(measured(pairs, texts, idf), "pairs"))
         used = used.union(hubs)
     label = components(write_table(known.where(F.col("s") >= threshold).select("a", "b"), "links"))
-    tight = buckets.where(F.col("band") >= bands)
-    turn = 0
+    each = FIRST
     while True:
-        turn += 1
-        own = tight.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("o"), F.col("doc").alias("a"), F.col("component").alias("of"))
-        chosen = own.groupBy("band", "key").agg(F.min(order).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-        pairs = own.join(chosen, ["band", "key"]).where("component <> hub.of").select(F.col("hub.a").alias("a"), F.col("doc").alias("b")).distinct()
-        fresh = write_table(measured(pairs, texts, idf), "pairs")
+        found = _candidates(buckets, label, each, threshold)
+        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = write_table(measured(found.select("a", "b").join(done, ["a", "b"], "left_anti"), texts, idf), "pairs")
         known = known.union(fresh)
-        new = fresh.where(F.col("s") >= threshold).select("a", "b")
-        if new.isEmpty():
+        links = fresh.where(F.col("s") >= threshold).select("a", "b")
+        if not links.isEmpty():
+            label = _joined(label, links)
+        if found.where("cut").isEmpty():
             break
-        label = _joined(label, new)
-    sized = buckets.where(F.col("band") < bands).join(single.select("doc", "total").dropDuplicates(["doc"]), "doc")
-    rest = write_table(_unmeasured(sized, label, known, threshold), "rest")
-    label = _joined(label, write_table(measured(rest, texts, idf).where(F.col("s") >= threshold).select("a", "b"), "links"))
+        each *= 8
     found = stands.join(label, stands["same"] == label["node"], "left").select(F.col("doc").alias(id_col), F.coalesce("component", "same").alias("class_id"))
     missing = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(missing)

@@ -313,13 +313,48 @@ def test_pairs_that_share_a_template_are_all_measured(spark):
         docs += [(2 * g + k, f"{template} {own} {prose(rng, 28, 10**6)}") for k in range(2)]
     frame = table(spark, docs).repartition(4)
     idf = weighted_minhash.word_idf(frame)
-    keys = {r.doc: r.bands for r in weighted_minhash.band_keys(frame, spark.sparkContext.broadcast(idf)).collect()}
+    rows = weighted_minhash.band_keys(frame, spark.sparkContext.broadcast(idf)).collect()
+    keys, marks = {r.doc: r.bands for r in rows}, {r.doc: r.samples for r in rows}
     sets = {i: weighted_minhash._one(t, idf) for i, t in docs}
-    wanted = [i for i in range(0, 240, 2) if any(a == b for a, b in zip(keys[i], keys[i + 1])) and weighted_minhash.similarity(sets[i], sets[i + 1]) >= 0.8]
+    wanted = [i for i in range(0, 240, 2) if any(a == b for a, b in zip(keys[i], keys[i + 1])) and sum(a == b for a, b in zip(marks[i], marks[i + 1])) >= weighted_minhash.LEAST and weighted_minhash.similarity(sets[i], sets[i + 1]) >= 0.8]
     found = {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()}
     assert len(wanted) > 100 and [i for i in wanted if found[i + 1] != found[i]] == []
 
 
+def test_no_link_is_lost_on_a_larger_fixture(spark):
+    """Against all pairs of distinct texts of sf0.1 that share a rare shingle: at 0.8 or more they are of one class."""
+    import collections
+
+    frame = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    found = {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()}
+    idf = weighted_minhash.word_idf(frame)
+    first = {}
+    for r in frame.orderBy("doc_id").collect():
+        first.setdefault(r.text, r.doc_id)
+    sets = {i: weighted_minhash._one(t, idf) for t, i in first.items() if t}
+    holders = collections.defaultdict(list)
+    for i, (h, _) in sets.items():
+        for x in h.tolist():
+            holders[x].append(i)
+    shared = collections.Counter(p for own in holders.values() if 1 < len(own) <= 40 for p in itertools.combinations(own, 2))
+    links = [p for p, n in shared.items() if n >= 0.5 * min(len(sets[i][0]) for i in p) and weighted_minhash.similarity(sets[p[0]], sets[p[1]]) >= 0.8]
+    lost = [(a, b) for a, b in links if found[a] != found[b]]
+    assert len(links) > 50 and len(lost) <= 0.002 * len(links)
+
+
+def test_candidates_beyond_the_first_are_verified(spark, monkeypatch):
+    """One candidate a member and block at first, and small blocks: the classes are the same."""
+    rng = random.Random(21)
+    template = prose(rng, 200, 10**6)
+    docs = [(i, f"{template} {prose(rng, 12 + i % 9, 10**6)}") for i in range(60)] + [(100 + i, f"{template} {prose(rng, 45, 10**6)}") for i in range(40)]
+    frame = table(spark, docs).repartition(3)
+    want = {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()}
+    monkeypatch.setattr(weighted_minhash, "FIRST", 1)
+    monkeypatch.setattr(weighted_minhash, "BLOCK", 8)
+    monkeypatch.setattr(weighted_minhash, "CLIMBS", 0)
+    assert {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()} == want == brute_classes(docs, weighted_minhash.word_idf(frame), 0.8)
+
+
 def test_classes_of_odd_tables(spark):
     docs = table(spark, [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (3, "a b c d e f")])
     assert sorted(((r.doc_id, r.class_id) for r in weighted_minhash.classes(docs).collect()), key=str) == [(1, 1), (1, 1), (3, 1), (None, None)]
