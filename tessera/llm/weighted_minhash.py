@@ -13,15 +13,16 @@ fixed size, so it may be broadcast; words that share a cell share their frequenc
    the most central text, that with the largest buckets: of a text and its altered copies, the text
    itself, for an alteration breaks bands.  The hub then moves to the member nearest to it, ``CLIMBS``
    times, each time with all its candidates.  Verified links make components.
-4. Of the candidates that are still of different components each text first has its ``FIRST`` likeliest
-   in every block verified, then eight times as many, and so on, until all are; links join components on
-   the way.  So every candidate is verified, but for those whose two texts are already of one class.
+4. All candidates that are still of different components are verified, so every candidate is, but for those
+   whose two texts are already of one class.  Where two blocks of a bucket's members have few of them,
+   they are verified pair by pair; where they have many, the texts of the two blocks meet in one task
+   and all similarities come from a matrix product over the shingles they share.
 
 Scale: a row a document and band is shuffled, never a shingle.  Hubs are found by map-side minima, and
 joins on documents, digests and buckets are sort-merge joins of written tables that adaptive execution can
 split where they are hot.  In step 4 the members of a bucket meet as arrays of samples, in salted
-blocks of about ``BLOCK``; pairs of rows are made only for candidates.  A bucket of n unlinked texts costs
-n * n / 2 comparisons of samples, whatever its size.
+blocks of about ``BLOCK``; rows of pairs are at most ``FEW`` a member and block.  A bucket of n unlinked
+texts costs n * n / 2 comparisons in blocks, whatever its size.
 """
 
 from __future__ import annotations
@@ -47,8 +48,9 @@ SPREAD = 0.5
 CLIMBS = 2
 #: Samples in which a candidate agrees at least, of BANDS * ROWS (at 0.8: all but 3 in 100,000).
 LEAST = 14
-#: Members of a bucket that are compared with as many others at a time, and candidates a member that are verified first.
-BLOCK, FIRST = 1024, 4
+#: Members of a bucket that are compared with as many others at a time (fewer, where their weights exceed ``WEIGHT``),
+#: and candidates a member of two blocks from which on they are verified by a matrix product; columns of that at a time.
+BLOCK, WEIGHT, FEW, COLUMNS = 1024, 1 << 20, 2, 4096
 WORD_CELLS, STRIPES = 1 << 20, 16
 _STRIPE = WORD_CELLS // STRIPES
 _CELL_SHIFT = np.uint64(64 - 20)
@@ -227,18 +229,21 @@ def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
     return write_table(every.join(new, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
 
-def _candidates(buckets: DataFrame, label: DataFrame, each: int, threshold: float) -> DataFrame:
-    """(a, b, cut): candidates of different components, at most the ``each`` likeliest of a member and block.
+def _candidates(buckets: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, left, right): the candidates of different components, as pairs or, where two blocks have many, as the members that have one.
 
-    In each bucket the members outside its largest component meet all members, block by block.  ``cut``
-    says that a member has more candidates in the block.  The similarity is at most the ratio of the total weights.
+    In each bucket the members outside its largest component meet all members, block by block.  The
+    similarity is at most the ratio of the total weights.
     """
     own = buckets.join(label.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    sizes = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"))
+    sizes = own.groupBy("band", "key", "component").agg(F.count("*").alias("n"), F.sum("total").alias("t"))
     main = F.max_by("component", F.struct(F.col("n"), -F.col("component"))).alias("main")
-    mixed = sizes.groupBy("band", "key").agg(main, F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    cuts = mixed.select("band", "key", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("x"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("y"))
-    within = write_table(own.join(write_table(cuts, "cuts"), ["band", "key"]), "mixed")
+    sums = [F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("t").alias("t"), F.count("*").alias("parts")]
+    mixed = sizes.groupBy("band", "key").agg(main, *sums).where("parts > 1")
+    heavy = F.col("t") / F.lit(WEIGHT)
+    x, y = (F.ceil(F.greatest(n / F.lit(BLOCK), heavy)).cast("int") for n in (F.col("n"), F.col("n") - F.col("most")))
+    cuts = write_table(mixed.select("band", "key", "main", x.alias("x"), y.alias("y")), "cuts")
+    within = write_table(own.join(cuts, ["band", "key"]), "mixed")
     member = F.struct("doc", "component", "total", "samples")
     right = within.groupBy("band", "key", "main", F.pmod(F.xxhash64("doc"), "x").alias("i")).agg(F.collect_list(member).alias("members"))
     left = within.where("component <> main").groupBy("band", "key", F.pmod(F.xxhash64("doc", F.lit(1)), "y").alias("j")).agg(F.collect_list(member).alias("others"))
@@ -250,6 +255,7 @@ def _candidates(buckets: DataFrame, label: DataFrame, each: int, threshold: floa
         return tuple(rows.field(c).to_numpy() for c in ("doc", "component", "total")) + (marks.flatten().to_numpy().reshape(len(rows), -1),)
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
         for main, members, others in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
             b, of_b, total_b, marks_b = columns(members)
             a, of_a, total_a, marks_a = columns(others)
@@ -259,17 +265,96 @@ def _candidates(buckets: DataFrame, label: DataFrame, each: int, threshold: floa
             open_ = (agree >= LEAST) & (of_a[:, None] != of_b[None, :]) & ((of_b[None, :] == main) | (a[:, None] < b[None, :]))
             open_ &= np.minimum(total_a[:, None], total_b[None, :]) >= np.maximum(total_a[:, None], total_b[None, :]) * (threshold - 1e-4)
             i, j = np.nonzero(open_)
-            if not len(i):
-                continue
-            order = np.lexsort((b[j], -agree[i, j].astype(np.int16), i))
-            i, j = i[order], j[order]
-            turn = np.arange(len(i)) - np.searchsorted(i, i)
-            cut = np.bincount(i, minlength=len(a)) > each
-            i, j = i[turn < each], j[turn < each]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.array(cut[i])], ["a", "b", "cut"])
+            if len(i) > FEW * (len(a) + len(b)):
+                two = [a[np.unique(i)]], [b[np.unique(j)]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), *(pa.array(x, lists) for x in two)], ["a", "b", "left", "right"])
+            elif len(i):
+                n = len(i)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j])), pa.nulls(n, lists), pa.nulls(n, lists)], ["a", "b", "left", "right"])
+
+    return write_table(arrow_map(met, "a long, b long, left array<long>, right array<long>", lambda: step), "candidates")
+
 
-    found = arrow_map(met, "a long, b long, cut boolean", lambda: step)
-    return write_table(found.groupBy("a", "b").agg(F.bool_or("cut").alias("cut")), "candidates")
+def similarities(left: list[tuple[np.ndarray, np.ndarray]], right: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The weighted Jaccard similarity of each of ``left`` to each of ``right`` (hashes, weights), up to rounding.
+
+    A shingle's weight is its count times one value, so a shingle and its how-manieth time together are
+    an element of a plain weighted set, and common weights are a product of 0/1 matrices.
+    """
+    every = left + right
+    of = np.repeat(np.arange(len(every)), [len(h) for h, _ in every])
+    h, w = (np.concatenate([x[k] for x in every]) for k in (0, 1))
+    order = np.lexsort((w, h))
+    unit = np.empty(len(h))
+    first = np.flatnonzero(np.diff(h[order], prepend=h[order][:1] + np.uint64(1)) != 0)
+    run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+    unit[order] = w[order][first][run]  # the least weight of a shingle here
+    times = w / unit
+    shingle = np.empty(len(h), np.int64)
+    shingle[order] = run
+    # Where all counts are multiples of the least, levels of it are elements; others are compared as they are.
+    inter = np.zeros((len(left), len(right)))
+    whole = np.abs(times - np.round(times)) < 1e-3
+    odd = np.zeros(len(first), bool)
+    odd[shingle[~whole]] = True
+    level, plain = 1, ~odd[shingle]
+    while plain.any():
+        mine = np.flatnonzero(plain & (times > level - 0.5))
+        if not len(mine):
+            break
+        names, at = np.unique(shingle[mine], return_inverse=True)
+        value = np.zeros(len(names))
+        value[at] = unit[mine]
+        for lo in range(0, len(names), COLUMNS):
+            part = (at >= lo) & (at < lo + COLUMNS)
+            matrix = np.zeros((len(every), min(COLUMNS, len(names) - lo)), np.float32)
+            matrix[of[mine[part]], at[part] - lo] = np.sqrt(value[at[part]])
+            inter += matrix[: len(left)] @ matrix[len(left) :].T
+        level += 1
+    for s in np.flatnonzero(odd).tolist():
+        mine = np.flatnonzero(shingle == s)
+        a, b = mine[of[mine] < len(left)], mine[of[mine] >= len(left)]
+        inter[np.ix_(of[a], of[b] - len(left))] += np.minimum(w[a][:, None], w[b][None, :])
+    total = np.array([x[1].sum(dtype=np.float64) for x in every])
+    return inter / np.maximum(total[: len(left), None] + total[None, len(left) :] - inter, 1e-30)
+
+
+def _dense_links(candidates: DataFrame, label: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): links that join all components with a pair at the threshold within two blocks of many candidates."""
+    blocks = write_table(candidates.where("left is not null").select(F.monotonically_increasing_id().alias("block"), "left", "right"), "blocks")
+    sides = [blocks.select("block", F.explode(c).alias("doc"), F.lit(n).alias("side")) for n, c in enumerate(("left", "right"))]
+    known = label.select(F.col("node").alias("doc"), "component")
+    rows = sides[0].unionByName(sides[1]).join(texts, "doc").join(known, "doc", "left")
+    rows = rows.select("block", F.struct("side", "doc", F.coalesce("component", "doc").alias("component"), "text").alias("row"))
+    met = rows.groupBy("block").agg(F.collect_list("row").alias("rows")).select("rows")
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for block in batch.column(0):
+            side, doc, component = (block.values.field(c).to_numpy() for c in ("side", "doc", "component"))
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for i, text in zip(doc.tolist(), block.values.field("text")):
+                if i not in held:
+                    held[i] = _one(text.as_py(), idf.value)
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            found = similarities([held[i] for i in doc[a].tolist()], [held[i] for i in doc[b].tolist()])
+            i, j = np.nonzero((found >= threshold - 1e-4) & (component[a][:, None] != component[b][None, :]))
+            top: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while top.setdefault(x, x) != x:
+                    x = top[x]
+                return x
+
+            out = []
+            for x, y in zip(a[i].tolist(), b[j].tolist()):
+                u, v = root(int(component[x])), root(int(component[y]))
+                if u != v and similarity(held[int(doc[x])], held[int(doc[y])]) >= threshold:
+                    top[u] = v
+                    out.append((doc[x], doc[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.int64()), pa.array([max(p) for p in out], pa.int64())], ["a", "b"])
+
+    return arrow_map(met, "a long, b long", lambda: step)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -307,18 +392,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
         known = known.union(write_table(measured(pairs, texts, idf), "pairs"))
         used = used.union(hubs)
     label = components(write_table(known.where(F.col("s") >= threshold).select("a", "b"), "links"))
-    each = FIRST
-    while True:
-        found = _candidates(buckets, label, each, threshold)
-        done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = write_table(measured(found.select("a", "b").join(done, ["a", "b"], "left_anti"), texts, idf), "pairs")
-        known = known.union(fresh)
-        links = fresh.where(F.col("s") >= threshold).select("a", "b")
-        if not links.isEmpty():
-            label = _joined(label, links)
-        if found.where("cut").isEmpty():
-            break
-        each *= 8
+    found = _candidates(buckets, label, threshold)
+    done = known.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = found.where("left is null").select("a", "b").distinct().join(done, ["a", "b"], "left_anti")
+    links = measured(pairs, texts, idf).where(F.col("s") >= threshold).select("a", "b")
+    links = write_table(links, "links").union(write_table(_dense_links(found, label, texts, idf, threshold), "links"))
+    if not links.isEmpty():
+        label = _joined(label, links)
     found = stands.join(label, stands["same"] == label["node"], "left").select(F.col("doc").alias(id_col), F.coalesce("component", "same").alias("class_id"))
     missing = docs.where(F.col(id_col).isNull()).select(F.col(id_col).cast("long"), F.lit(None).cast("long").alias("class_id"))
     return found.unionByName(missing)

@@ -342,17 +342,31 @@ def test_no_link_is_lost_on_a_larger_fixture(spark):
     assert len(links) > 50 and len(lost) <= 0.002 * len(links)
 
 
-def test_candidates_beyond_the_first_are_verified(spark, monkeypatch):
-    """One candidate a member and block at first, and small blocks: the classes are the same."""
+@pytest.mark.parametrize("few", [0, 100])
+def test_blocks_of_many_candidates(spark, monkeypatch, few):
+    """Small blocks, verified by products alone or by pairs alone: the classes are those of brute force."""
     rng = random.Random(21)
     template = prose(rng, 200, 10**6)
     docs = [(i, f"{template} {prose(rng, 12 + i % 9, 10**6)}") for i in range(60)] + [(100 + i, f"{template} {prose(rng, 45, 10**6)}") for i in range(40)]
     frame = table(spark, docs).repartition(3)
-    want = {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()}
-    monkeypatch.setattr(weighted_minhash, "FIRST", 1)
-    monkeypatch.setattr(weighted_minhash, "BLOCK", 8)
+    monkeypatch.setattr(weighted_minhash, "FEW", few)
+    monkeypatch.setattr(weighted_minhash, "BLOCK", 16)
     monkeypatch.setattr(weighted_minhash, "CLIMBS", 0)
-    assert {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()} == want == brute_classes(docs, weighted_minhash.word_idf(frame), 0.8)
+    assert {r.doc_id: r.class_id for r in weighted_minhash.classes(frame).collect()} == brute_classes(docs, weighted_minhash.word_idf(frame), 0.8)
+
+
+def test_similarities_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    weight = {h: np.float32(rng.uniform(1, 1.5)) for h in range(60)}
+
+    def one():
+        h = np.sort(rng.choice(60, rng.integers(1, 40), replace=False))
+        times = rng.integers(1, 5, len(h)) + rng.choice([0, 0, 0, 0.37], len(h))
+        return h.astype(np.uint64), np.array([weight[x] * t for x, t in zip(h.tolist(), times)], np.float32)
+
+    left, right = [one() for _ in range(12)], [one() for _ in range(9)]
+    want = [[weighted_minhash.similarity(a, b) for b in right] for a in left]
+    assert np.allclose(weighted_minhash.similarities(left, right), want, atol=1e-5)
 
 
 def test_classes_of_odd_tables(spark):
