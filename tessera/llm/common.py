@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from tessera.sources.tables import read, write_table
 
-__all__ = ["arrow_map", "fold", "keep_unmatched", "merge_stripes", "prepare", "read", "write_table"]
+__all__ = ["arrow_map", "fold", "keep_matched", "keep_unmatched", "merge_stripes", "prepare", "read", "write_table"]
 
 #: Bytes of one Arrow batch sent to Python; a longer row makes a batch of its own.
 BATCH_BYTES = 4 << 20
@@ -89,6 +90,13 @@ def keep_unmatched(docs: DataFrame, key: F.Column, dropped: DataFrame, most: int
     The distinct keys are written and counted: up to ``most`` are broadcast, so that whole documents
     aren't shuffled; beyond it both sides are.
     """
-    keys = write_table(dropped.select(F.col(dropped.columns[0]).alias("__key")).distinct(), "dropped")
+    name = f"key_{uuid.uuid4().hex}"  # no column of any input
+    keys = write_table(dropped.select(F.col(dropped.columns[0]).alias(name)).distinct(), "dropped")
     few = keys.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(keys) if few else keys, key == F.col("__key"), "left_anti")
+    return docs.join(F.broadcast(keys) if few else keys, key == F.col(name), "left_anti")
+
+
+def keep_matched(rows: DataFrame, keys: DataFrame, on: list[str], most: int = KEYS) -> DataFrame:
+    """``rows`` whose columns ``on`` are among the distinct, written ``keys``: broadcast up to ``most``, so that whole texts aren't shuffled."""
+    few = keys.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.common import arrow_map, keep_unmatched, merge_stripes, prepare, write_table
+from tessera.llm.common import arrow_map, keep_matched, keep_unmatched, merge_stripes, prepare, write_table
 from tessera.operators.graph import components
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -171,8 +171,12 @@ def band_keys(docs: DataFrame, idf, id_col: str = "doc_id", text_col: str = "tex
             total[lo + text[starts]] = np.add.reduceat(weight.astype(np.float64), starts)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int16())), pa.array(total)], ["doc", "exact", "bands", "samples", "total"])
 
-    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.sha2(F.col(text_col), 256).alias("exact"), text_col)
-    return arrow_map(source, "doc long, exact string, bands array<long>, samples array<short>, total double", lambda: step)
+    source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), _digest(text_col).alias("exact"), text_col)
+    return arrow_map(source, "doc long, exact binary, bands array<long>, samples array<short>, total double", lambda: step)
+
+
+def _digest(text_col: str) -> F.Column:
+    return F.unhex(F.substring(F.sha2(F.col(text_col), 256), 1, 32))
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -373,14 +377,19 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id
     stands = write_table(keyed.join(write_table(copies.drop("n"), "copies"), "exact", "left").withColumn("same", F.coalesce("same", "doc")), "stands")
     texts_of = stands.where((F.col("doc") == F.col("same")) & F.col("bands").isNotNull())
     single = texts_of.groupBy("doc").agg(F.min(F.struct("exact", "bands", "samples", "total")).alias("t")).select("doc", "t.*")
-    one = write_table(single.select("doc", "exact", "samples", "total", F.posexplode("bands").alias("band", "key")), "one")
+    single = write_table(single, "single")
+    one = write_table(single.select("doc", F.posexplode("bands").alias("band", "key")), "one")
     shared = one.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = write_table(one.join(write_table(shared, "sizes"), ["band", "key"]), "buckets")
-    central = buckets.groupBy("doc").agg(F.sum("n").alias("c"))
+    met = write_table(one.join(write_table(shared, "sizes"), ["band", "key"]), "met")
+    central = met.groupBy("doc").agg(F.sum("n").alias("c"))
+    buckets = write_table(met.join(single.select("doc", "exact", "samples", "total"), "doc"), "buckets")
     hubs = write_table(buckets.join(central, "doc").groupBy("band", "key").agg(F.max_by("doc", F.struct(F.col("c"), -F.col("doc"))).alias("a")), "hubs")
     wanted = write_table(buckets.select("doc", "exact").distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.sha2(F.col(text_col), 256).alias("exact"), F.col(text_col).alias("text"))
-    texts = write_table(texts.join(wanted, ["doc", "exact"], "left_semi").dropDuplicates(["doc"]).select("doc", "text"), "texts")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), _digest(text_col).alias("exact"), F.col(text_col).alias("text"))
+    texts = keep_matched(texts, wanted, ["doc", "exact"])
+    if wanted.count() < texts.count():  # rows that are given twice
+        texts = texts.dropDuplicates(["doc"])
+    texts = write_table(texts.select("doc", "text"), "texts")
     used = hubs
     known = write_table(measured(_stars(buckets, hubs), texts, idf), "pairs")
     for _ in range(CLIMBS):
