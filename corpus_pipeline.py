@@ -6,8 +6,13 @@
 4. decontaminate: documents that contain a benchmark item go.
 5. encode: the texts that are left, as byte-level BPE ids.
 
-All stages but the last return the columns of ``documents``; SQL can't express the learned and
-hashed stages, so the tests hold each stage against a brute-force version.
+All stages but the last return the columns of ``documents``, whatever their names.  A row with a null id
+is judged by its own text in stages 1 and 4, and stays as it is in stages 2 and 3; a null text is scored
+as an empty one, is no duplicate, loses nothing, contains no item and has no ids.  Rows that repeat an id
+are one document to stages 2 and 3.  An empty table passes through.  SQL can't express the learned
+and hashed stages, so the tests hold each stage against a brute-force version.
+
+Each stage's table is written and reread; once it is, the tables before it are deleted.
 """
 
 from __future__ import annotations
@@ -18,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, pu_quality, substring, tiling, weighted_minhash
 from tessera.llm.common import prepare, read, write_table
+from tessera.sources.tables import drop_tables, written
 
 ORACLE_SQL = None
 
@@ -56,7 +62,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(prepare(spark), sf_dir, "documents")
+    docs, last = read(prepare(spark), sf_dir, "documents"), []
     for name, stage in STAGES:
+        before = len(written(spark))
         docs = write_table(stage(spark, docs, sf_dir), name)
+        *scratch, table = written(spark)[before:]
+        drop_tables(spark, last + scratch)
+        last = [table]
     return docs
