@@ -235,66 +235,71 @@ def test_base_score_and_model(spark):
     assert gru_lm.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_score_does_not_depend_on_files(spark):
+    """The same rows in two and in nine partitions, in other orders: equal scores."""
+    docs = read(spark, "documents")
+    a, b = ({r.doc_id: r.score for r in gru_lm.score(docs.repartition(n, *by), ~gru_lm.held_out()).collect()} for n, by in ((2, ("doc_id",)), (9, ("text",))))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) / (1 + abs(a[i])) for i in a) < 1e-5
+
+
+def test_model_beats_base_on_held_out_texts(spark):
+    found = gru_lm.score(read(spark, "documents"), ~gru_lm.held_out()).where(gru_lm.held_out()).agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert found.s / found.n > found.b / found.n + 0.1
+
+
 def small_lexicon():
-    h = np.array([gru_lm.END, *range(10, 20)], np.uint64)
-    tail = np.zeros(gru_lm.TAIL_CLASSES)
-    tail[0], n = 70, np.arange(11, 0, -1)
-    return gru_lm.Lexicon(h, np.zeros(11, np.int64), n, 66, 11, tail, tail)
+    h = np.array([gru_lm.END, *range(10, 150)], np.uint64)
+    bucket = np.array([0, *np.random.default_rng(0).integers(0, gru_lm.SHAPES * gru_lm.BUCKETS, 140)])
+    n = np.arange(141, 0, -1)
+    size = gru_lm.SHAPES * gru_lm.BUCKETS
+    return gru_lm.Lexicon(h, bucket, n, int(n.sum()), 141, np.bincount(bucket, n, size), np.bincount(bucket, minlength=size))
 
 
 def test_gradients():
-    """Back-propagation against finite differences."""
+    """Back-propagation against finite differences, through a text's start inside the window."""
     lex = small_lexicon()
     rng = np.random.default_rng(0)
-    symbols = rng.integers(0, 11, 20)
+    targets = rng.integers(0, lex.members, (12, 2))
+    inputs = np.concatenate([np.full((1, 2), lex.members), targets[:-1]])
+    inputs[5, 1] = lex.members
+    valid = np.arange(24).reshape(12, 2) < 22
     flat = gru_lm.initial(lex).astype(np.float64)
+    h = rng.normal(size=(2, gru_lm.HIDDEN))
 
     def loss(values):
         net = gru_lm.Network(values, lex)
-        targets = symbols.reshape(10, 2)
-        inputs = np.concatenate([np.full((1, 2), gru_lm._START), targets[:-1]])
-        inputs[4, 1] = gru_lm._START  # a text starts inside the window
-        return net, inputs, targets, np.arange(20).reshape(10, 2) < 18
-
-    net, inputs, targets, valid = loss(flat)
-    h = np.zeros((2, gru_lm.HIDDEN))
-    taken = {}
-    net.adapt = lambda value, square, grad: taken.setdefault(value.shape, grad.copy())
-    net.window(inputs, targets, valid, h, True)
-    grad = taken[(gru_lm.HIDDEN, 3 * gru_lm.HIDDEN)]
-
-    def total(values):
-        n, i, t, ok = loss(values)
-        return -n.window(i, t, ok, h, False)[0].sum() / ok.sum()
-
-    begin = (gru_lm._START + 1) * 3 * gru_lm.HIDDEN
-    for at in (0, 101, 1100):
+        states, _, _ = net.states(inputs, h)
+        mine = np.zeros_like(valid)
+        mine[1 :: gru_lm.EVERY] = valid[1 :: gru_lm.EVERY]
+        return -net.outputs(states[mine], targets[mine], None)[0].mean()
+
+    net = gru_lm.Network(flat, lex)
+    net.learn(inputs, targets, valid, h, 1)
+    grad = np.sqrt(np.maximum(net.squares - 1e-6, 0))  # the first step's squares are those of the gradient
+    names = gru_lm.unpack(np.arange(len(flat)), lex)
+    used = np.unique(inputs[inputs < lex.members])
+    picks = [names["x"][s, k] for s in used[:4].tolist() for k in (0, 40)] + [names["c"][3, lex.of[targets[1, 0]]], names["cb"][2], names["w"][5, targets[1, 0]], names["wb"][targets[5, 1]]]
+    for at in picks:
         up, down = flat.copy(), flat.copy()
-        up[begin + at] += 1e-3
-        down[begin + at] -= 1e-3
-        assert grad.ravel()[at] == pytest.approx((total(up) - total(down)) / 2e-3, abs=2e-4)
+        up[at] += 1e-4
+        down[at] -= 1e-4
+        assert grad[at] == pytest.approx(abs(loss(up) - loss(down)) / 2e-4, abs=2e-4)
 
 
-def test_state_is_carried_across_windows():
+def test_state_is_carried_across_windows(monkeypatch):
     lex = small_lexicon()
     net = gru_lm.Network(gru_lm.initial(lex), lex)
-    symbols = np.random.default_rng(1).integers(0, 11, 50)
+    symbols = np.random.default_rng(1).integers(0, lex.members, 50)
     whole = net.run(symbols, np.array([0, 50]), False)[0]
-    old, gru_lm.STEPS = gru_lm.STEPS, 50
-    try:
-        assert net.run(symbols, np.array([0, 50]), False)[0] == pytest.approx(whole, rel=1e-5)
-        two = net.run(np.concatenate([symbols[:7], symbols]), np.array([0, 7, 57]), False)
-        assert two[1] == pytest.approx(whole, rel=1e-5)
-    finally:
-        gru_lm.STEPS = old
+    monkeypatch.setattr(gru_lm, "STEPS", 7)
+    assert net.run(symbols, np.array([0, 50]), False)[0] == pytest.approx(whole, rel=1e-5)
+    two = net.run(np.concatenate([symbols[:7], symbols]), np.array([0, 7, 57]), False)
+    assert two[1] == pytest.approx(whole, rel=1e-5)
 
 
 def test_probabilities_sum_to_one():
     lex = small_lexicon()
     net = gru_lm.Network(gru_lm.initial(lex), lex)
     state = np.random.default_rng(2).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
-    symbols = np.array([*range(lex.head), *range(gru_lm.HEAD, gru_lm.HEAD + gru_lm.TAIL_CLASSES)])
-    logs, _ = net.outputs(np.repeat(state, len(symbols), 0), symbols, None)
-    used = len(set(lex.head_class.tolist()))
-    assert np.exp(logs).sum() <= 1 + 1e-5
-    assert used < gru_lm.HEAD_CLASSES or np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    logs, _ = net.outputs(np.repeat(state, lex.members, 0), np.arange(lex.members), None)
+    assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
