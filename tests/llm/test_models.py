@@ -268,7 +268,7 @@ def test_gradients():
 
     def loss(values):
         net = gru_lm.Network(values, lex)
-        states, _, _ = net.states(inputs, h)
+        states = net.states(inputs, h)[0][1:]
         mine = np.zeros_like(valid)
         mine[1 :: gru_lm.EVERY] = valid[1 :: gru_lm.EVERY]
         return -net.outputs(states[mine], targets[mine], None)[0].mean()
@@ -278,7 +278,7 @@ def test_gradients():
     grad = np.sqrt(np.maximum(net.squares - 1e-6, 0))  # the first step's squares are those of the gradient
     names = gru_lm.unpack(np.arange(len(flat)), lex)
     used = np.unique(inputs[inputs < lex.members])
-    picks = [names["x"][s, k] for s in used[:4].tolist() for k in (0, 40)] + [names["c"][3, lex.of[targets[1, 0]]], names["cb"][2], names["w"][5, targets[1, 0]], names["wb"][targets[5, 1]]]
+    picks = [names["x"][s, k] for s in used[:4].tolist() for k in (0, 40)] + [names["c"][3, lex.of[targets[1, 0]]], names["cb"][2], names["w"][targets[1, 0], 5], names["wb"][targets[5, 1]]]
     for at in picks:
         up, down = flat.copy(), flat.copy()
         up[at] += 1e-4
