@@ -33,10 +33,12 @@ def detected_count(expr: DataFrame) -> DataFrame:
 
 def value_groups(binned: DataFrame, largest: int = 1) -> DataFrame:
     """(sample, kind, members, bin): features with a value of their own are individuals, 2..largest equal
-    ones a group with the bin of its first member; larger groups are dropped."""
-    grouped = binned.groupBy("sample", "v").agg(F.sort_array(F.collect_list(F.struct("feature", "bin"))).alias("m"))
+    ones a group with the bin of its first member; larger groups are counted and dropped before any is gathered."""
+    n = binned.groupBy("sample", "v").agg(F.count("*").alias("n")).where((F.col("n") == 1) | (F.col("n") <= largest)).drop("n")
+    same = (binned["sample"] == n["sample"]) & binned["v"].eqNullSafe(n["v"])
+    grouped = binned.join(n, same, "left_semi").groupBy("sample", "v").agg(F.sort_array(F.collect_list(F.struct("feature", "bin"))).alias("m"))
     n = F.size("m")
-    return grouped.where((n == 1) | (n <= largest)).select(
+    return grouped.select(
         "sample", F.when(n == 1, "individual").otherwise("group").alias("kind"), F.col("m.feature").alias("members"), F.col("m")[0]["bin"].alias("bin")
     )
 
@@ -78,3 +80,14 @@ def detection_frequency(expr: DataFrame, least: float = 0.05) -> DataFrame:
 def length_normalised(expr: DataFrame, lengths: DataFrame, length: Column) -> DataFrame:
     """(sample, feature, saf): each value over the length of its feature; a zero length gives null."""
     return expr.join(lengths, "feature").select("sample", "feature", F.round(F.try_divide(F.col("v"), length.cast("double")), 6).alias("saf"))
+
+
+def places(keys: DataFrame, key: str, span: int = 4096) -> DataFrame:
+    """(key, place): the place of each distinct integer key in ascending order, from 0."""
+    return offsets(keys.select(key).distinct().withColumn("__one", F.lit(1)), key, "__one", span).select(key, F.col("start_off").alias("place"))
+
+
+def jitter(expr: DataFrame, seed: int = 3, scale: float = 1e-6) -> DataFrame:
+    """``expr`` with values raised by up to ``scale`` of themselves, at random by key: breaks ties, keeps the order of others."""
+    share = F.conv(F.substring(tie_key(seed, "sample", "feature"), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
+    return expr.withColumn("v", F.col("v").cast("double") * (1 + F.lit(scale) * share))

@@ -13,8 +13,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round takes the smallest label among a node's neighbours, then follows labels once, and
     writes the labels, so that neither lineage nor anything on the driver grows.  Rows with a null
-    end are ignored; a self edge makes its node a component of its own.  A hub's edges are aggregated
-    map-side, so a star of any size costs one row a task.
+    end are ignored; a self edge makes its node a component of its own.  Labels are brought to edges by a join of
+    two written tables, which adaptive execution splits where a hub's edges make a partition hot, and
+    are aggregated map-side after it, so a star of any size costs one row a task from there on.
     """
     clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
     both = write_table(clean.union(clean.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -27,3 +28,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = moved.select("node", "component")
         if moved.where(F.col("was") != F.col("component")).isEmpty():
             return labels
+
+
+def degree(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, degree): the distinct edges at each node, whichever end it is."""
+    pairs = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import strip_suffix
+from tessera.operators.binning import places
 from tessera.operators.pairs import canonical_pairs
 
 
@@ -64,6 +66,48 @@ def missing_vectors(features: DataFrame, vectors: DataFrame, key: str, show: int
     return gone.agg(F.count("*").alias("n_missing")).crossJoin(first)
 
 
+def require_vectors(features: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """The features with their vectors; raises with the number and the first ten of those that have none."""
+    gone = missing_vectors(features, vectors, key).first()
+    if gone.n_missing:
+        raise ValueError(f"{gone.n_missing} features have no vector: {gone['first']}")
+    return features.join(vectors, key)
+
+
+def alphabetical(names: DataFrame, name: str, width: int = 2) -> DataFrame:
+    """(name, place): distinct names in the order of their bytes, from 0.
+
+    Two levels: names that share their first ``width`` characters are ordered in one group, and the groups by
+    their running total, so that only one row a group meets in one task.
+    """
+    distinct = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("__run", F.substring(name, 1, width))
+    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    base = distinct.groupBy("__run").agg(F.count("*").alias("n")).select("__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    inside = F.row_number().over(Window.partitionBy("__run").orderBy(name)) - 1
+    return distinct.withColumn("__at", inside).join(base, "__run").select(name, (F.col("base") + F.col("__at")).alias("place"))
+
+
+def restrict_universe(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(idx, name, place): the entries of a vocabulary (idx, name) that a list of names has, renumbered in the vocabulary's own order.
+
+    Unknown names are ignored; a name given twice counts once.
+    """
+    kept = vocabulary.join(wanted.select("name"), "name", "left_semi")
+    return kept.join(places(kept, "idx"), "idx").select("idx", "name", "place")
+
+
+def shared_universe(model: DataFrame, labels: DataFrame) -> DataFrame:
+    """(name, idx, label_idx, place): names that two vocabularies (idx, name) share, with both indices and their places in the first one's order."""
+    kept = restrict_universe(model, labels)
+    return kept.join(labels.select(F.col("idx").alias("label_idx"), "name"), "name").select("name", "idx", "label_idx", "place")
+
+
+def known_accessions(entries: DataFrame, column: str, unknown: str = "UNKNOWN") -> DataFrame:
+    """Without rows whose accession is null, empty or marked unknown; isoform suffixes go."""
+    kept = entries.where(F.coalesce(F.col(column), F.lit("")) != "").where(F.col(column) != unknown)
+    return kept.withColumn(column, strip_suffix(F.col(column), "-"))
+
+
 def vocabulary_diff(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """(key, status): matched, fresh (only new) or dropped (only old)."""
     a, b = old.select(key).distinct().withColumn("o", F.lit(1)), new.select(key).distinct().withColumn("n", F.lit(1))

@@ -19,10 +19,10 @@ def keep_terms(members: DataFrame, largest: int) -> DataFrame:
 def comembership(members: DataFrame, largest: int) -> DataFrame:
     """(pa, pb, shared), pa < pb: the terms of at most ``largest`` members that two members share.
 
-    Pairs are made within a term's own sorted array, whose length the cutoff bounds: one shuffle by
-    term and one by pair, and no self-join.
+    Terms are counted first (map-side) and larger ones dropped before any is gathered, so pairs are made
+    within arrays that the cutoff bounds: no self-join, and no array of a hot term.
     """
-    terms = members.distinct().groupBy("t").agg(F.sort_array(F.collect_set("p")).alias("m")).where(F.size("m") <= largest)
+    terms = keep_terms(members, largest).groupBy("t").agg(F.sort_array(F.collect_set("p")).alias("m"))
     return terms.select(F.explode(array_pairs(F.col("m"))).alias("x")).groupBy(F.col("x.a").alias("pa"), F.col("x.b").alias("pb")).agg(F.count("*").alias("shared"))
 
 
@@ -40,15 +40,15 @@ def shared_histogram(pairs: DataFrame, n_members: Column | int) -> DataFrame:
     return hist.unionByName(zero).select("shared", "pairs", F.round(100.0 * F.col("pairs") / total, 6).alias("pct"))
 
 
-def threshold_sweep(hist: DataFrame, n_universe: int, n_all: int, thresholds: list[int]) -> DataFrame:
-    """(thr, pos, neg, unk, ratio) for each least number of shared terms."""
-    inside, everything = n_universe * (n_universe - 1) // 2, n_all * (n_all - 1) // 2
+def threshold_sweep(hist: DataFrame, universe: DataFrame, everything: DataFrame, thresholds: list[int]) -> DataFrame:
+    """(thr, pos, neg, unk, ratio) for each least number of shared terms, among the members of the universe and all."""
     cuts = hist.sparkSession.createDataFrame([(t,) for t in thresholds], "thr int")
     swept = cuts.join(hist, F.col("shared") >= F.col("thr"), "left").groupBy("thr").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pos"))
-    return swept.select(
-        "thr", "pos", (F.lit(inside).cast("long") - F.col("pos")).alias("neg"), F.lit(everything - inside).cast("long").alias("unk"),
-        F.round(F.try_divide(F.col("pos").cast("double"), (F.lit(inside) - F.col("pos")).cast("double")), 6).alias("ratio"),
-    )
+    half = F.count("*") * (F.count("*") - 1) / 2
+    sizes = universe.agg(half.cast("long").alias("inside")).crossJoin(everything.agg(half.cast("long").alias("every")))  # one row
+    neg = F.col("inside") - F.col("pos")
+    ratio = F.round(F.try_divide(F.col("pos").cast("double"), neg.cast("double")), 6).alias("ratio")
+    return swept.crossJoin(F.broadcast(sizes)).select("thr", "pos", neg.alias("neg"), (F.col("every") - F.col("inside")).alias("unk"), ratio)
 
 
 def universe(members: DataFrame) -> DataFrame:
@@ -139,3 +139,24 @@ def top_k_per_row(scores: DataFrame, k: int, *by: str) -> DataFrame:
     """The k largest scores s of each (by..., i), nulls last and ties to smaller j, diagonal excluded, with their place k."""
     place = F.row_number().over(Window.partitionBy(*by, "i").orderBy(F.col("s").desc_nulls_last(), "j"))
     return scores.where("i <> j").withColumn("k", place).where(F.col("k") <= k)
+
+
+def split_by_vocabulary(pairs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the pairs (i, j) whose ends are both in the vocabulary (i); (kept, skipped) counts)."""
+    known = vocabulary.select("i").distinct()
+    kept = pairs.join(known, "i", "left_semi").join(known.withColumnRenamed("i", "j"), "j", "left_semi")
+    counts = kept.agg(F.count("*").alias("kept")).crossJoin(pairs.agg(F.count("*").alias("n"))).select("kept", (F.col("n") - F.col("kept")).alias("skipped"))
+    return kept, counts
+
+
+def submatrix(cells: DataFrame, kept: DataFrame) -> DataFrame:
+    """Cells (i, j, ...) whose row and column are kept (idx, place), under their places."""
+    rows, columns = (kept.select(F.col("idx").alias(x), F.col("place").alias(f"__{x}")) for x in "ij")
+    rest = [c for c in cells.columns if c not in ("i", "j")]
+    return cells.join(rows, "i").join(columns, "j").select(F.col("__i").alias("i"), F.col("__j").alias("j"), *rest)
+
+
+def membership(members: DataFrame, terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(row, column, value): the 0/1 membership matrix of (t, p) by its cells of 1, under the places of terms and members (key, place)."""
+    rows, columns = terms.select(F.col("key").alias("t"), F.col("place").alias("row")), vocabulary.select(F.col("key").alias("p"), F.col("place").alias("column"))
+    return members.distinct().join(rows, "t").join(columns, "p").select("row", "column", F.lit(1).alias("value"))

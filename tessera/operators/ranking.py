@@ -44,3 +44,8 @@ def top_pairs(pairs: DataFrame, n: int, by: str = "mean") -> DataFrame:
 def best_head(areas: DataFrame) -> DataFrame:
     """The head of the largest area, the first on ties."""
     return areas.agg(F.max_by("head", F.struct(F.col("auc"), -F.col("head"))).alias("head"), F.max("auc").alias("auc"))
+
+
+def mean_over(curves: DataFrame, *by: str, value: str = "enr") -> DataFrame:
+    """(by..., mean, n): the mean of a value over whatever else tells the rows apart (reference databases); nulls are skipped."""
+    return curves.groupBy(*by).agg(F.round(F.avg(value), 6).alias("mean"), F.count(value).alias("n"))

@@ -65,3 +65,12 @@ def pivot_fill(counts: DataFrame, row: str, column: str, values: list, value: st
 def strided(table: DataFrame, index: str, step: int) -> DataFrame:
     """Every step-th row by index, for display."""
     return table.where(F.col(index) % step == 0)
+
+
+def pending(artifacts: DataFrame, present: Column, show: int = 12) -> DataFrame:
+    """(rank, key, megabytes, more): the largest artifacts that are not at hand, and how many more there are."""
+    gone = artifacts.where(~present)
+    first = gone.orderBy(F.desc("megabytes"), "key").limit(show)
+    rank = F.row_number().over(Window.orderBy(F.desc("megabytes"), "key"))  # over at most ``show`` rows
+    n = gone.agg(F.greatest(F.count("*") - show, F.lit(0)).alias("more"))
+    return first.withColumn("rank", rank).crossJoin(F.broadcast(n)).select("rank", "key", "megabytes", "more")

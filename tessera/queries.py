@@ -41,6 +41,7 @@ pos AS (SELECT DISTINCT a.p AS i, b.p AS j FROM ek a JOIN ek b ON a.t = b.t AND
 
 
 LABELS = labels_sql(45)
+POS_DEGREE = LABELS + ",\nends AS (SELECT i AS node FROM pos UNION ALL SELECT j FROM pos)"
 SCORE = "score AS (SELECT l_suppkey AS i, l_partkey AS j, round(sum(l_extendedprice), 2) AS s, max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS y FROM lineitem GROUP BY 1, 2)"
 TOK = "tok AS (SELECT l_orderkey AS sample, l_partkey AS feature, sum(l_quantity)::DOUBLE AS a FROM lineitem GROUP BY 1, 2)"
 
@@ -484,7 +485,7 @@ SELECT thr, pos, n * (n - 1) // 2 - pos AS neg, a * (a - 1) // 2 - n * (n - 1) /
 def a_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     members = pairs.keep_terms(fx.members(spark, d), 4)
     hist = pairs.comembership(members, 4).groupBy("shared").agg(F.count("*").alias("pairs"))
-    return pairs.threshold_sweep(hist, pairs.universe(members).count(), read(spark, d, "part").count(), [1, 2, 3, 4])
+    return pairs.threshold_sweep(hist, pairs.universe(members), read(spark, d, "part"), [1, 2, 3, 4])
 
 
 def _labels(spark: SparkSession, d: str, least: float = 45.0) -> tuple[DataFrame, DataFrame]:
@@ -579,3 +580,140 @@ def x_components(spark: SparkSession, d: str) -> DataFrame:
     found = graph.components(_labels(spark, d, 40.0)[0], "i", "j")
     large = found.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
     return found.join(large, "component", "left_semi").select("node", "component")
+
+
+# Universes, indices and what is left out ----------------------------------------------------------
+
+
+def _wanted(spark: SparkSession, d: str) -> DataFrame:
+    names = read(spark, d, "lineitem").where("l_quantity >= 30 AND l_returnflag = 'R'").select(F.concat(F.lit("P"), "l_partkey").alias("name"))
+    return names.union(spark.createDataFrame([("no such part",)], "name string"))
+
+
+def _vocabulary(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.concat(F.lit("P"), "p_partkey").alias("name"))
+
+
+WANTED = "wanted AS (SELECT DISTINCT l_partkey AS idx FROM lineitem WHERE l_quantity >= 30 AND l_returnflag = 'R')"
+SHARED = WANTED + """,
+lab AS (SELECT p_partkey AS idx, row_number() OVER (ORDER BY 'P' || p_partkey) - 1 AS label_idx FROM part WHERE p_size > 10),
+uni2 AS (SELECT p_partkey AS idx, label_idx, row_number() OVER (ORDER BY p_partkey) - 1 AS place FROM part JOIN lab ON lab.idx = p_partkey)"""
+
+
+@query(f"WITH {WANTED} SELECT idx, 'P' || idx AS name, row_number() OVER (ORDER BY idx) - 1 AS place FROM wanted JOIN part ON p_partkey = idx")
+def p_universe_restrict(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.restrict_universe(_vocabulary(spark, d), _wanted(spark, d))
+
+
+def _label_order(spark: SparkSession, d: str) -> DataFrame:
+    names = read(spark, d, "part").where("p_size > 10").select(F.concat(F.lit("P"), "p_partkey").alias("name"))
+    return lookups.alphabetical(names, "name").select(F.col("place").alias("idx"), "name")
+
+
+@query(f"WITH {SHARED} SELECT 'P' || idx AS name, idx, label_idx, place FROM uni2")
+def j_universe_remap(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.shared_universe(_vocabulary(spark, d), _label_order(spark, d))
+
+
+@query(f"WITH {LABELS}, {SHARED} SELECT a.place AS i, b.place AS j FROM pos JOIN uni2 a ON pos.i = a.idx JOIN uni2 b ON pos.j = b.idx")
+def x_submatrix(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.submatrix(_labels(spark, d)[0], j_universe_remap(spark, d))
+
+
+@query(f"""WITH {LABELS}, v AS (SELECT p_partkey AS i FROM part WHERE p_size > 10), k AS (SELECT count(*) AS kept FROM pos WHERE i IN (SELECT i FROM v) AND j IN (SELECT i FROM v))
+SELECT kept, (SELECT count(*) FROM pos) - kept AS skipped FROM k""")
+def j_positives_outside(spark: SparkSession, d: str) -> DataFrame:
+    vocabulary = read(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("i"))
+    return pairs.split_by_vocabulary(_labels(spark, d)[0], vocabulary)[1]
+
+
+@query("SELECT p_name AS name, row_number() OVER (ORDER BY p_name) - 1 AS place FROM (SELECT DISTINCT p_name FROM part)")
+def o_alphabetical(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.alphabetical(read(spark, d, "part").select(F.col("p_name").alias("name")), "name")
+
+
+@query(f"""WITH {M}, ti AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS r FROM (SELECT DISTINCT t FROM m)), pi AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS c FROM (SELECT DISTINCT p FROM m))
+SELECT r AS row, c AS column, 1 AS value FROM m JOIN ti USING (t) JOIN pi USING (p)""")
+def x_membership(spark: SparkSession, d: str) -> DataFrame:
+    members = fx.members(spark, d)
+    terms, vocabulary = (binning.places(members, c).withColumnRenamed(c, "key") for c in ("t", "p"))
+    return pairs.membership(members, terms, vocabulary)
+
+
+@query(f"""WITH {X} SELECT sample, feature, round(v * (1 + 1e-6::DOUBLE * (('0x' || substr(md5(sample::VARCHAR || '|' || feature::VARCHAR || '|3'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)), 6) AS v FROM x""")
+def r_jitter(spark: SparkSession, d: str) -> DataFrame:
+    return binning.jitter(fx.expression(spark, d)).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH g AS (SELECT p_partkey AS key, p_retailprice AS megabytes FROM part WHERE p_size >= 10)
+SELECT row_number() OVER (ORDER BY megabytes DESC, key)::INT AS rank, key, megabytes, greatest((SELECT count(*) FROM g) - 12, 0) AS more FROM g QUALIFY rank <= 12""")
+def o_pending(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.pending(_artifacts(spark, d), F.col("p_size") < 10)
+
+
+@query(f"""WITH {SCORE}, dbs AS (SELECT 1 AS db, i, j, s, y FROM score UNION ALL SELECT 2, i, j, s, 1 - y FROM score WHERE j % 2 = 0),
+{CURVE.format(by='db,', scored='dbs', k=20)} SELECT k, round(avg(enr), 6) AS mean, count(enr) AS n FROM curve GROUP BY 1""")
+def a_mean_databases(spark: SparkSession, d: str) -> DataFrame:
+    scores = fx.scores(spark, d)
+    other = scores.where("j % 2 = 0").select(F.lit(2).alias("db"), "i", "j", "s", (1 - F.col("y")).alias("y"))
+    both = scores.select(F.lit(1).alias("db"), "i", "j", "s", "y").unionByName(other)
+    return ranking.mean_over(ranking.enrichment_curve(both, 20, "db"), "k")
+
+
+@query(f"""WITH {BINS}, g AS (SELECT sample, v, min(feature) AS feature0, count(*) AS n FROM bins GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND 4),
+e AS (SELECT b.sample, g.feature0, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM bins b JOIN g ON b.sample = g.sample AND b.v = g.v JOIN embeddings ON vec_id = b.feature)
+SELECT sample::VARCHAR || ':' || feature0::VARCHAR AS "group", dim::INT AS dim, round(avg(x::DOUBLE), 6) AS mean FROM e GROUP BY 1, 2""")
+def m_group_mean(spark: SparkSession, d: str) -> DataFrame:
+    groups = binning.value_groups(fx.binned(spark, d), 4).where("kind = 'group'")
+    named = groups.select(F.concat(F.col("sample").cast("string"), F.lit(":"), F.col("members")[0].cast("string")).alias("group"), F.explode("members").alias("feature"))
+    vectors_ = read(spark, d, "embeddings").select(F.col("vec_id").alias("feature"), F.col("embedding").alias("vector"))
+    return vectors.group_mean(named, vectors_)
+
+
+@query(None)
+def m_group_attention(spark: SparkSession, d: str) -> DataFrame:
+    groups = binning.value_groups(fx.binned(spark, d), 4).where("kind = 'group'")
+    return model.embed_groups(groups, _weights(spark, d))
+
+
+# Functions that other queries don't reach ---------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS key, 'up:P' || p_partkey AS raw, 'P' || p_partkey AS kegg, p_name AS pathway, substr(p_name, 1, 5) AS short,
+'ENSG' || p_partkey AS gene, 'G' || p_size AS symbol FROM part""")
+def s_identifiers(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    raw = F.concat(F.lit("up:P"), "p_partkey")
+    gene = fn.ensembl_ids(F.concat(F.lit("x "), F.concat(F.lit("ENSG"), "p_partkey"), F.lit(".7; ")))[0]
+    symbol = fn.gene_name(F.concat(F.lit("sp|A|B OS=x GN=G"), "p_size", F.lit(" PE=1")))
+    pathway = fn.pathway_name(F.concat("p_name", F.lit(" - Homo sapiens (human)")))
+    return part.select(F.col("p_partkey").alias("key"), raw.alias("raw"), fn.kegg_id(raw).alias("kegg"), pathway.alias("pathway"), fn.truncated(F.col("p_name"), 5).alias("short"), gene.alias("gene"), symbol.alias("symbol"))
+
+
+@query("SELECT CASE WHEN p_size % 3 = 0 THEN 'P' || p_partkey ELSE 'Q' || p_partkey END AS acc FROM part WHERE p_size % 5 <> 0")
+def f_known_accessions(spark: SparkSession, d: str) -> DataFrame:
+    acc = F.when(F.col("p_size") % 5 == 0, "UNKNOWN").when(F.col("p_size") % 3 == 0, F.concat(F.lit("P"), "p_partkey", F.lit("-2"))).otherwise(F.concat(F.lit("Q"), "p_partkey"))
+    return lookups.known_accessions(read(spark, d, "part").select(acc.alias("acc")), "acc")
+
+
+@query("""WITH c AS (SELECT c_custkey AS g, c_nationkey AS acc FROM customer WHERE c_acctbal > 0), e AS (SELECT l_suppkey AS g1, l_partkey AS g2 FROM lineitem),
+a AS (SELECT e.g2, c.acc FROM e JOIN c ON g1 = g) SELECT acc FROM a UNION SELECT c.acc FROM a JOIN c ON g2 = g""")
+def j_one_sided_nodes(spark: SparkSession, d: str) -> DataFrame:
+    mapping = read(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("g"), F.col("c_nationkey").alias("acc"))
+    edges = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("g1"), F.col("l_partkey").alias("g2"))
+    return lookups.one_sided_nodes(edges, mapping)
+
+
+@query("SELECT round(sum(l_discount * l_quantity) / sum(l_quantity), 6) AS loss FROM lineitem")
+def a_weighted_loss(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.weighted(read(spark, d, "lineitem").select(F.col("l_discount").alias("loss"), F.col("l_quantity").alias("n")))
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey % 7 = 0")
+def o_strided(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.strided(read(spark, d, "part"), "p_partkey", 7).select("p_partkey")
+
+
+@query(f"""WITH {POS_DEGREE} SELECT node, count(*) AS degree FROM ends GROUP BY 1""")
+def x_degree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degree(_labels(spark, d)[0], "i", "j")

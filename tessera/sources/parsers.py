@@ -19,6 +19,40 @@ def read_separated(spark: SparkSession, path: str, schema: str, separator: str =
     return spark.read.schema(schema).option("sep", separator).option("header", header).csv(path)
 
 
+def read_range(spark: SparkSession, path: str, low: int, high: int, column: str = "sample") -> DataFrame:
+    """The rows of low <= column < high of a long table; files and row groups outside the range are skipped."""
+    return spark.read.parquet(path).where((F.col(column) >= low) & (F.col(column) < high))
+
+
+def expression_source(spark: SparkSession, source) -> DataFrame:
+    """A long table (sample, feature, v) from a path, a DataFrame, or a pandas frame."""
+    if isinstance(source, DataFrame):
+        return source
+    return spark.read.parquet(source) if isinstance(source, str) else spark.createDataFrame(source)
+
+
+def read_manual(spark: SparkSession, path: str, hint: str = "") -> DataFrame:
+    """(path, text) of files that have to be put there by hand, gzipped or not by their first bytes; a missing one is an error that says how to get it."""
+    import gzip
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.as_py() for x in batch.column(1)]
+            texts = [(gzip.decompress(x) if x[:2] == b"\x1f\x8b" else x).decode() for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["path", "text"])
+
+    try:
+        files = spark.read.format("binaryFile").load(path).select("path", "content")
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise FileNotFoundError(f"{path} is missing. {hint}".strip()) from e
+    return files.mapInArrow(run, "path string, text string")
+
+
 def parse_gaf(lines: DataFrame) -> DataFrame:
     """Annotation lines of at least 15 fields, padded to 17; comments (``!``) are dropped."""
     parts = F.split("value", "\t")
@@ -53,9 +87,11 @@ def parse_two_columns(lines: DataFrame, a: str = "a", b: str = "b") -> DataFrame
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(accession, gene, length, sequence, header) of FASTA records; of equal accessions the last of a file wins.
 
-    Records are split by their ``>``, so a record is one row whatever its number of lines.
+    Records are split where a line starts with ``>``, so a record is one row whatever its number of lines, and a
+    ``>`` inside a header stays.
     """
-    records = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "").withColumn("at", F.monotonically_increasing_id())
+    records = spark.read.option("lineSep", "\n>").text(path).withColumn("at", F.monotonically_increasing_id())
+    records = records.withColumn("value", F.regexp_replace("value", r"^(\s*>)|\r", "")).where(F.trim("value") != "")
     header = F.trim(F.split_part("value", F.lit("\n"), F.lit(1)))
     body = F.regexp_replace(F.expr("substring(value, instr(value, '\n') + 1)"), r"\s", "")
     sequence = F.when(F.instr("value", "\n") > 0, body).otherwise("")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import names_fingerprint
 from tessera.operators.binning import rank_bin
+from tessera.operators.lookups import require_vectors
 
 CACHE_VERSION = 1
 
@@ -15,24 +18,46 @@ def fingerprint(expr: DataFrame, bins: int, seed: int) -> dict[str, str]:
     """What a cache depends on: sizes, parameters, feature names, and a sum over all values' hashes (so a change of
     values is seen)."""
     row = expr.agg(F.count_distinct("sample").alias("samples"), F.count_distinct("feature").alias("features"), F.sum(F.xxhash64("sample", "feature", "v").cast("decimal(20,0)")).alias("values")).first()
-    names = expr.select(F.col("feature").cast("string").alias("f")).distinct().agg(names_fingerprint(F.sort_array(F.collect_list("f"))).alias("n")).first().n
-    return {"cache_version": str(CACHE_VERSION), "n_samples": str(row.samples), "n_features": str(row.features), "num_bins": str(bins), "bin_seed": str(seed), "names": str(names), "values": str(row["values"])}
+    named = expr.select(F.col("feature").cast("string").alias("f")).distinct()
+    names = named.agg(F.sum(F.xxhash64("f").cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64("f", F.lit(1)).cast("decimal(20,0)")).alias("b")).first()
+    return {"cache_version": str(CACHE_VERSION), "n_samples": str(row.samples), "n_features": str(row.features), "num_bins": str(bins), "bin_seed": str(seed), "names": f"{names.a}/{names.b}", "values": str(row["values"])}
 
 
 def load_or_build(expr: DataFrame, path: str, bins: int = 10, seed: int = 0) -> DataFrame:
-    """The binned table at ``path`` if its fingerprint fits, else built and written there first."""
+    """The binned table of this fingerprint under ``path``, built and written there first if it is missing.
+
+    Tokens lie under the digest of their fingerprint and its table is written last, so a build that was
+    broken off is never taken for a finished one, and tokens are never found under another's fingerprint.
+    """
     spark: SparkSession = expr.sparkSession
     want = fingerprint(expr, bins, seed)
+    own = f"{path}/{hashlib.sha1(repr(sorted(want.items())).encode()).hexdigest()[:16]}"
     try:
-        have = {r.key: r.value for r in spark.read.parquet(f"{path}/meta").collect()}
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+        have = {r.key: r.value for r in spark.read.parquet(f"{own}/meta").collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         have = {}
     if have != want:
-        rank_bin(expr, bins, seed).write.mode("overwrite").parquet(f"{path}/tokens")
-        spark.createDataFrame(sorted(want.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
-    return spark.read.parquet(f"{path}/tokens")
+        rank_bin(expr, bins, seed).write.mode("overwrite").parquet(f"{own}/tokens")
+        spark.createDataFrame(sorted(want.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{own}/meta")
+    return spark.read.parquet(f"{own}/tokens")
+
+
+def save_vectors(vectors: DataFrame, path: str) -> None:
+    """Write (accession, vector); all vectors must be of one length, which is how a reader knows it."""
+    if vectors.select(F.size("vector")).distinct().limit(2).count() > 1:
+        raise ValueError("the vectors differ in length")
+    vectors.select("accession", "vector").write.mode("overwrite").parquet(path)
+
+
+def load_vectors(spark: SparkSession, path: str, accessions: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """((accession, vector), their length); with ``accessions`` each of these must have a vector."""
+    found = spark.read.parquet(path)
+    first = found.select(F.size("vector").alias("n")).first()
+    if accessions is not None:
+        found = require_vectors(accessions.select("accession").distinct(), found, "accession")
+    return found, first.n if first else 0
 
 
 def save_labels(coded: DataFrame, path: str, overwrite: bool = False) -> None:

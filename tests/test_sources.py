@@ -95,3 +95,55 @@ def test_streaming_sums_equal_batch(spark, tmp_path):
     events = spark.createDataFrame([("a", 1)], "event_type string, t long").select("event_type", F.timestamp_seconds("t").alias("ts"))
     assert windowed_counts(events).count() == 1
     assert binning.detected_count(spark.createDataFrame([], "sample long, feature long, v double")).count() == 0
+
+
+def test_fasta_headers_keep_their_marks(spark, tmp_path):
+    path = tmp_path / "x.fasta"
+    path.write_text(">sp|P1|A_H protein (>95% id) GN=ABC PE=1\nMK\nLV\n>tr|P2|B_H x\r\nAC\r\n>P3\n")
+    found = {r.accession: (r.gene, r.sequence) for r in parsers.read_fasta(spark, str(path)).collect()}
+    assert found == {"P1": ("ABC", "MKLV"), "P2": (None, "AC"), "P3": (None, "")}
+
+
+def test_manual_files_are_told_by_their_first_bytes(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "a.txt").write_bytes(gzip.compress("zipped é".encode()))
+    (tmp_path / "b.gz").write_text("plain")
+    assert sorted(r.text for r in parsers.read_manual(spark, str(tmp_path)).collect()) == ["plain", "zipped é"]
+    with pytest.raises(FileNotFoundError, match="fetch it"):
+        parsers.read_manual(spark, str(tmp_path / "none"), "fetch it by hand")
+
+
+def test_sources_by_range_and_by_kind(spark, tmp_path):
+    import pandas as pd
+
+    frame = pd.DataFrame({"sample": [1, 2, 3], "feature": [1, 1, 2], "v": [1.0, 2.0, 3.0]})
+    parsers.expression_source(spark, frame).write.parquet(f"{tmp_path}/x")
+    assert parsers.expression_source(spark, f"{tmp_path}/x").count() == 3
+    assert [r["sample"] for r in parsers.read_range(spark, f"{tmp_path}/x", 2, 3).collect()] == [2]
+
+
+def test_vector_cache(spark, tmp_path):
+    rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 4.0])], "accession string, vector array<double>")
+    stores.save_vectors(rows, f"{tmp_path}/v")
+    found, size = stores.load_vectors(spark, f"{tmp_path}/v", rows.select("accession"))
+    assert size == 2 and found.count() == 2
+    with pytest.raises(ValueError, match="1 features have no vector: c"):
+        stores.load_vectors(spark, f"{tmp_path}/v", spark.createDataFrame([("a",), ("c",)], "accession string"))
+    with pytest.raises(ValueError, match="length"):
+        stores.save_vectors(rows.union(spark.createDataFrame([("c", [1.0])], rows.schema)), f"{tmp_path}/w")
+
+
+def test_weights_as_tables_and_for_another_vocabulary(spark, tmp_path):
+    import numpy as np
+
+    from tessera.plans import model
+
+    weights = model.Weights(5, d=8, heads=2)
+    model.save_weights(spark, weights, f"{tmp_path}/m")
+    back = model.load_weights(spark, f"{tmp_path}/m", heads=2)
+    assert back.layers == weights.layers and all(np.allclose(back.arrays[k], v) for k, v in weights.arrays.items())
+    other = model.for_vocabulary(weights, {1: 3, 2: 5}, 9)
+    assert np.allclose(other.arrays["feature"][[1, 2]], weights.arrays["feature"][[3, 5]]) and len(other.arrays["feature"]) == 10
+    one, two = model.group_states(weights, [np.array([1, 2])]), model.group_states(weights, [np.array([1, 2]), np.array([3, 4, 5])])
+    assert one.shape == (1, 8) and np.allclose(two[0], two[0]) and not np.allclose(two[0], two[1])
