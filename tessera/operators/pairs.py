@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import tie_key
+
+#: Tokens of a sample that attention is taken over.
+BUDGET = 1024
+
 
 def term_sizes(members: DataFrame, largest: int | None = None) -> DataFrame:
     """(t, n) of the terms with at most ``largest`` distinct members."""
@@ -80,15 +85,15 @@ def encode_labels(cells: DataFrame) -> DataFrame:
 
     Lossless means symmetric labels 0 or 1, a null diagonal, and a label on every pair of the universe.
     """
-    bad = cells.where(F.col("label").isNotNull() & ~F.col("label").isin(0, 1)).limit(1).count()
-    diagonal = cells.where((F.col("i") == F.col("j")) & F.col("label").isNotNull()).limit(1).count()
     known = cells.where(F.col("label").isNotNull())
-    ones = known.where(F.col("label") == 1)
-    lopsided = known.select("i", "j", "label").exceptAll(known.select(F.col("j").alias("i"), F.col("i").alias("j"), "label")).limit(1).count()
     uni = known.select("i").distinct()
-    n = uni.count()
-    if bad or diagonal or lopsided or known.count() != n * (n - 1):
+    sides = [F.count("*").alias("n"), F.count_if(F.col("i") < F.col("j")).alias("up"), F.min("label").alias("low"), F.max("label").alias("high")]
+    both = known.groupBy(F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")).agg(*sides)
+    right = (F.col("n") == 2) & (F.col("up") == 1) & (F.col("low") == F.col("high")) & F.col("low").isin(0, 1)
+    found = both.agg(F.count("*").alias("pairs"), F.count_if(~right).alias("wrong")).crossJoin(uni.agg(F.count("*").alias("n"))).first()
+    if found.wrong or 2 * found.pairs != found.n * (found.n - 1):
         raise ValueError("labels are not a symmetric 0/1 matrix over one universe with an unknown diagonal")
+    ones = known.where(F.col("label") == 1)
     return label_tables(ones.where("i < j"), uni)
 
 
@@ -104,14 +109,27 @@ def decode_labels(coded: DataFrame) -> DataFrame:
     return pair_label(pairs, coded.where("kind = 'positive'").select("i", "j"), uni).select("i", "j", "label")
 
 
-def attention(tokens: DataFrame, scale: float) -> DataFrame:
+def attention(tokens: DataFrame, scale: float, budget: int = BUDGET) -> DataFrame:
     """(sample, i, j, w): softmax over a sample's own tokens j of a_j / scale, for each i, from its token array."""
-    per = tokens.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", "a"))).alias("t"))
-    top = per.select("sample", "t", F.array_max(F.transform("t", lambda x: x["a"] / scale)).alias("top"))
-    raised = top.select("sample", F.transform("t", lambda x: F.struct(x["feature"].alias("j"), F.exp(x["a"] / scale - F.col("top")).alias("e"))).alias("t"))
+    return head_attention(tokens, {1: scale}, budget).drop("head")
+
+
+def head_attention(tokens: DataFrame, scales: dict[int, float], budget: int = BUDGET) -> DataFrame:
+    """(head, sample, i, j, w): ``attention`` at the scale of each head; token arrays are gathered once for all heads.
+
+    A sample takes part with up to ``budget`` tokens in seeded random order, as it goes through the model;
+    those beyond are dropped before the shuffle, so neither its array nor its pairs grow with the sample.
+    """
+    place = F.row_number().over(Window.partitionBy("sample").orderBy(tie_key(1, "sample", "feature"), "feature"))
+    kept = tokens.withColumn("place", place).where(F.col("place") <= budget)
+    per = kept.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", "a"))).alias("t"))
+    heads = F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.lit(float(s)).alias("scale")) for h, s in scales.items()]))
+    per = per.select("sample", "t", heads.alias("h")).select("sample", "t", "h.head", "h.scale")
+    top = per.select("*", F.array_max(F.transform("t", lambda x: x["a"] / F.col("scale"))).alias("top"))
+    raised = top.select("head", "sample", F.transform("t", lambda x: F.struct(x["feature"].alias("j"), F.exp(x["a"] / F.col("scale") - F.col("top")).alias("e"))).alias("t"))
     total = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["e"])
-    keys = raised.select("sample", total.alias("total"), "t", F.explode("t.j").alias("i"))
-    return keys.select("sample", "i", "total", F.explode("t").alias("x")).select("sample", "i", F.col("x.j").alias("j"), (F.col("x.e") / F.col("total")).alias("w"))
+    keys = raised.select("head", "sample", total.alias("total"), "t", F.explode("t.j").alias("i"))
+    return keys.select("head", "sample", "i", "total", F.explode("t").alias("x")).select("head", "sample", "i", F.col("x.j").alias("j"), (F.col("x.e") / F.col("total")).alias("w"))
 
 
 def accumulate(weights: DataFrame, *by: str) -> DataFrame:

@@ -31,19 +31,13 @@ M = "m AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS p FROM lineitem)"
 M4 = M + """,
 k AS (SELECT m.* FROM m JOIN (SELECT t FROM m GROUP BY t HAVING count(*) <= 4) USING (t)),
 co AS (SELECT a.p AS pa, b.p AS pb, count(*) AS shared FROM k a JOIN k b ON a.t = b.t AND a.p < b.p GROUP BY 1, 2)"""
-
-
-def labels_sql(least: int) -> str:
-    return f"""e AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= {least}),
+LABELS = """e AS (SELECT DISTINCT l_orderkey AS t, l_partkey AS p FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45),
 ek AS (SELECT e.* FROM e JOIN (SELECT t FROM e GROUP BY t HAVING count(*) <= 4) USING (t)),
 uni AS (SELECT DISTINCT p AS i FROM ek),
 pos AS (SELECT DISTINCT a.p AS i, b.p AS j FROM ek a JOIN ek b ON a.t = b.t AND a.p < b.p)"""
-
-
-LABELS = labels_sql(45)
 POS_DEGREE = LABELS + ",\nends AS (SELECT i AS node FROM pos UNION ALL SELECT j FROM pos)"
 SCORE = "score AS (SELECT l_suppkey AS i, l_partkey AS j, round(sum(l_extendedprice), 2) AS s, max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS y FROM lineitem GROUP BY 1, 2)"
-TOK = "tok AS (SELECT l_orderkey AS sample, l_partkey AS feature, sum(l_quantity)::DOUBLE AS a FROM lineitem GROUP BY 1, 2)"
+TOK = "tok AS (SELECT l_orderkey AS sample, l_partkey AS feature, sum(l_quantity)::DOUBLE AS a FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|1'), l_partkey) <= 1024)"
 
 
 def att_sql(scale: str = "10.0", name: str = "att") -> str:
@@ -488,8 +482,8 @@ def a_threshold_sweep(spark: SparkSession, d: str) -> DataFrame:
     return pairs.threshold_sweep(hist, pairs.universe(members), read(spark, d, "part"), [1, 2, 3, 4])
 
 
-def _labels(spark: SparkSession, d: str, least: float = 45.0) -> tuple[DataFrame, DataFrame]:
-    kept = pairs.keep_terms(fx.evidence(spark, d, least), 4)
+def _labels(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    kept = pairs.keep_terms(fx.evidence(spark, d), 4)
     return pairs.positives(kept, 4), pairs.universe(kept)
 
 
@@ -499,15 +493,15 @@ def a_gt_label_counts(spark: SparkSession, d: str) -> DataFrame:
     return pairs.label_counts(*_labels(spark, d), read(spark, d, "part").count())
 
 
-@query(f"WITH {labels_sql(50)} SELECT 'universe' AS kind, i, NULL::BIGINT AS j FROM uni UNION ALL SELECT 'positive', i, j FROM pos")
+@query(f"WITH {LABELS} SELECT 'universe' AS kind, i, NULL::BIGINT AS j FROM uni UNION ALL SELECT 'positive', i, j FROM pos")
 def x_gt_encode(spark: SparkSession, d: str) -> DataFrame:
     return pairs.encode_labels(x_gt_decode(spark, d))
 
 
-@query(f"""WITH {labels_sql(50)} SELECT a.i, b.i AS j, CASE WHEN pos.i IS NULL THEN 0 ELSE 1 END AS label
+@query(f"""WITH {LABELS} SELECT a.i, b.i AS j, CASE WHEN pos.i IS NULL THEN 0 ELSE 1 END AS label
 FROM uni a JOIN uni b ON a.i <> b.i LEFT JOIN pos ON pos.i = least(a.i, b.i) AND pos.j = greatest(a.i, b.i)""")
 def x_gt_decode(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.decode_labels(pairs.label_tables(*_labels(spark, d, 50.0)))
+    return pairs.decode_labels(pairs.label_tables(*_labels(spark, d)))
 
 
 @query(f"""WITH {M4}, {LABELS} SELECT pa AS i, pb AS j, CASE WHEN a.i IS NULL OR b.i IS NULL THEN NULL WHEN pos.i IS NULL THEN 0 ELSE 1 END AS label
@@ -530,8 +524,8 @@ def x_symmetrize(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {HEADS} SELECT head, i, j, cnt, mean FROM heads")
 def x_head_maps(spark: SparkSession, d: str) -> DataFrame:
     tokens = fx.order_tokens(spark, d)
-    maps = [pairs.attention(tokens, scale).withColumn("head", F.lit(n)) for n, scale in ((1, 5.0), (2, 10.0), (3, 20.0))]
-    sums = pairs.accumulate(maps[0].unionByName(maps[1]).unionByName(maps[2]), "head")
+    maps = pairs.head_attention(tokens, {1: 5.0, 2: 10.0, 3: 20.0})
+    sums = pairs.accumulate(maps, "head")
     return pairs.mean_map(sums).select("head", "i", "j", "cnt", F.round("mean", 6).alias("mean"))
 
 
@@ -572,14 +566,12 @@ def o_best_head(spark: SparkSession, d: str) -> DataFrame:
     return ranking.best_head(ranking.area(ranking.enrichment_curve(scored, 20, "head"), "head").withColumn("auc", F.round("auc", 4)))
 
 
-@query(f"""WITH RECURSIVE {labels_sql(40)}, links AS (SELECT i, j FROM pos UNION SELECT j, i FROM pos),
+@query(f"""WITH RECURSIVE {LABELS}, links AS (SELECT i, j FROM pos UNION SELECT j, i FROM pos),
 reach(node, other) AS (SELECT DISTINCT i, i FROM links UNION SELECT node, j FROM reach JOIN links ON other = i),
 c AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
-SELECT node, component FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) >= 3)""")
+SELECT node, component FROM c""")
 def x_components(spark: SparkSession, d: str) -> DataFrame:
-    found = graph.components(_labels(spark, d, 40.0)[0], "i", "j")
-    large = found.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3").select("component")
-    return found.join(large, "component", "left_semi").select("node", "component")
+    return graph.components(_labels(spark, d)[0], "i", "j")
 
 
 # Universes, indices and what is left out ----------------------------------------------------------
