@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, arc, bpe, gru_lm, pu_quality, substring, tiling, toxicity, url_cascade, weighted_minhash
+from tessera.llm import ann, arc, ball_tree, bpe, gru_lm, merkle, packing, pu_quality, substring, tiling, toxicity, url_cascade, weighted_minhash
 from tessera.llm.common import prepare, read
 
 
@@ -61,7 +61,22 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(url_cascade.urls_of(read(spark, sf_dir, "pages"))).drop("url")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_ann, op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op7_gru_lm, op8_arc_to_warc, op9_knn_toxicity, op10_url_filter)}
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_tree.cluster(read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op12_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end=0, limits=packing.Limits(tokens=2048))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = read(spark, sf_dir, "documents").select(*fields)
+    return merkle.manifest(docs, fields, "doc_id", "source", altered=merkle.without_newlines())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_collision_ann, op2_decontaminate, op3_substring_dedup, op4_minhash_near_dedup, op5_pu_quality, op6_byte_bpe, op7_gru_lm, op8_arc_to_warc, op9_knn_toxicity, op10_url_filter, op11_ball_tree_clusters, op12_vector_packing, op13_merkle_manifest)}
 
 
 ORACLES: dict[str, str] = {
