@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import rank_to_bin, tie_key
+from tessera.operators.ranges import place, running_total
 
 KEYS = ("sample", "feature", "v")
 
@@ -53,20 +54,10 @@ def value_group_counts(expr: DataFrame, largest: int = 1) -> DataFrame:
     )
 
 
-def offsets(counts: DataFrame, key: str = "sample", count: str = "n_detected", span: int = 4096) -> DataFrame:
-    """(key, start_off, end_off): running totals in key order.
-
-    Two levels: within runs of ``span`` keys by a window a run, and over the runs' totals, so that only
-    those (one row a run) meet in one task.
-    """
-    run = F.floor(F.col(key) / span).alias("run")
-    totals = counts.groupBy(run).agg(F.sum(count).alias("total"))
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("run", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("run").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("run", run).withColumn("upto", F.sum(count).over(inside)).join(base, "run")
-    end = F.col("base") + F.col("upto")
-    return upto.select(key, (end - F.col(count)).alias("start_off"), end.alias("end_off"))
+def offsets(counts: DataFrame, key: str = "sample", count: str = "n_detected") -> DataFrame:
+    """(key, start_off, end_off): running totals in key order, over ranges of keys (``running_total``)."""
+    upto = running_total(counts.select(key, count), [key], count, "start_off")
+    return upto.select(key, "start_off", (F.col("start_off") + F.col(count)).alias("end_off"))
 
 
 def detection_frequency(expr: DataFrame, least: float = 0.05) -> DataFrame:
@@ -82,9 +73,9 @@ def length_normalised(expr: DataFrame, lengths: DataFrame, length: Column) -> Da
     return expr.join(lengths, "feature").select("sample", "feature", F.round(F.try_divide(F.col("v"), length.cast("double")), 6).alias("saf"))
 
 
-def places(keys: DataFrame, key: str, span: int = 4096) -> DataFrame:
-    """(key, place): the place of each distinct integer key in ascending order, from 0."""
-    return offsets(keys.select(key).distinct().withColumn("__one", F.lit(1)), key, "__one", span).select(key, F.col("start_off").alias("place"))
+def places(keys: DataFrame, key: str) -> DataFrame:
+    """(key, place): the place of each distinct key in ascending order, from 0."""
+    return place(keys.select(key).distinct(), [key])
 
 
 def jitter(expr: DataFrame, seed: int = 3, scale: float = 1e-6) -> DataFrame:

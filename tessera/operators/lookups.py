@@ -74,17 +74,9 @@ def require_vectors(features: DataFrame, vectors: DataFrame, key: str) -> DataFr
     return features.join(vectors, key)
 
 
-def alphabetical(names: DataFrame, name: str, width: int = 2) -> DataFrame:
-    """(name, place): distinct names in the order of their bytes, from 0.
-
-    Two levels: names that share their first ``width`` characters are ordered in one group, and the groups by
-    their running total, so that only one row a group meets in one task.
-    """
-    distinct = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("__run", F.substring(name, 1, width))
-    before = Window.orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    base = distinct.groupBy("__run").agg(F.count("*").alias("n")).select("__run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("__run").orderBy(name)) - 1
-    return distinct.withColumn("__at", inside).join(base, "__run").select(name, (F.col("base") + F.col("__at")).alias("place"))
+def alphabetical(names: DataFrame, name: str) -> DataFrame:
+    """(name, place): distinct names in the order of their bytes, from 0, however many share a prefix."""
+    return places(names.where(F.col(name).isNotNull()), name)
 
 
 def restrict_universe(vocabulary: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import tie_key
+from tessera.sources.tables import write_table
 
-#: Tokens of a sample that attention is taken over.
-BUDGET = 1024
+#: Tokens of a sample that are gathered together; samples of more are paired block by block.
+BLOCK = 1024
+#: Samples of more than a block (some 40 bytes each) that are broadcast.
+LONG = 1 << 16
 
 
 def term_sizes(members: DataFrame, largest: int | None = None) -> DataFrame:
@@ -109,29 +111,69 @@ def decode_labels(coded: DataFrame) -> DataFrame:
     return pair_label(pairs, coded.where("kind = 'positive'").select("i", "j"), uni).select("i", "j", "label")
 
 
-def attention(tokens: DataFrame, scale: float, budget: int = BUDGET) -> DataFrame:
-    """(sample, i, j, w): softmax over a sample's own tokens j of a_j / scale, for each i, from its token array."""
-    return head_attention(tokens, {1: scale}, budget).drop("head")
+def attention(tokens: DataFrame, scale: float, block: int = BLOCK) -> DataFrame:
+    """(sample, i, j, w): softmax over a sample's own tokens j of a_j / scale, for each i."""
+    return head_attention(tokens, {1: scale}, block).drop("head")
 
 
-def head_attention(tokens: DataFrame, scales: dict[int, float], budget: int = BUDGET) -> DataFrame:
-    """(head, sample, i, j, w): ``attention`` at the scale of each head; token arrays are gathered once for all heads.
+def head_attention(tokens: DataFrame, scales: dict[int, float], block: int = BLOCK) -> DataFrame:
+    """(head, sample, i, j, w): ``attention`` over all tokens (sample, feature, a), at the scale of each head.
 
-    A sample takes part with up to ``budget`` tokens in seeded random order, as it goes through the model;
-    those beyond are dropped before the shuffle, so neither its array nor its pairs grow with the sample.
+    Samples of up to ``block`` tokens are one array each, gathered once for all heads.  Longer ones, found by a count
+    first, never are: see ``blocked_attention``.  A token without a value has no weight and gives none; one
+    without a sample is left out.
     """
-    place = F.row_number().over(Window.partitionBy("sample").orderBy(tie_key(1, "sample", "feature"), "feature"))
-    kept = tokens.withColumn("place", place).where(F.col("place") <= budget)
-    per = kept.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", "a"))).alias("t"))
-    heads = F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.lit(float(s)).alias("scale")) for h, s in scales.items()]))
-    per = per.select("sample", "t", heads.alias("h")).select("sample", "t", "h.head", "h.scale")
+    known = tokens.where(F.col("sample").isNotNull())
+    sizes = known.groupBy("sample").agg(F.count("*").alias("n"), F.min("a").alias("low"), F.max("a").alias("high"))
+    long = write_table(sizes.where(F.col("n") > block), "long_samples")
+    many = long.limit(LONG + 1).count()
+    if not many:
+        return _whole_attention(known, scales)
+    near = F.broadcast(long) if many <= LONG else long
+    short = known.join(near.select("sample"), "sample", "left_anti")
+    return _whole_attention(short, scales).unionByName(blocked_attention(known.join(near, "sample"), scales, block, many <= LONG))
+
+
+def _heads(scales: dict[int, float]) -> Column:
+    """One row a head: its number and its scale."""
+    return F.explode(F.array(*[F.struct(F.lit(h).alias("head"), F.lit(float(s)).alias("scale")) for h, s in scales.items()]))
+
+
+def _whole_attention(tokens: DataFrame, scales: dict[int, float]) -> DataFrame:
+    """``head_attention`` of samples that fit into an array."""
+    per = tokens.groupBy("sample").agg(F.sort_array(F.collect_list(F.struct("feature", "a"))).alias("t"))
+    per = per.select("sample", "t", _heads(scales).alias("h")).select("sample", "t", "h.head", "h.scale")
     top = per.select("*", F.array_max(F.transform("t", lambda x: x["a"] / F.col("scale"))).alias("top"))
     raised = top.select("head", "sample", F.transform("t", lambda x: F.struct(x["feature"].alias("j"), F.exp(x["a"] / F.col("scale") - F.col("top")).alias("e"))).alias("t"))
-    total = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + x["e"])
+    total = F.aggregate("t", F.lit(0.0), lambda acc, x: acc + F.coalesce(x["e"], F.lit(0.0)))
     keys = raised.select("head", "sample", total.alias("total"), "t", F.explode("t.j").alias("i"))
     return keys.select("head", "sample", "i", "total", F.explode("t").alias("x")).select("head", "sample", "i", F.col("x.j").alias("j"), (F.col("x.e") / F.col("total")).alias("w"))
 
 
+def blocked_attention(tokens: DataFrame, scales: dict[int, float], block: int = BLOCK, few: bool = True) -> DataFrame:
+    """``head_attention`` of long samples: tokens come with the count ``n`` and the range ``low``..``high`` of their sample's values.
+
+    The state of a softmax is its maximum and its sum, and both merge: the maximum is known from the range, the sums
+    are added up map-side, so no task sees a sample.  Tokens are dealt into n / block blocks by hash; each pair of
+    blocks is one row that meets in one task of its own, so a sample is as many tasks as its pairs need, and a task holds two
+    blocks.  Each block is sent once for every block of its sample: n / block copies for n * n pairs.
+    """
+    blocks = F.ceil(F.col("n") / block)
+    tops = {h: F.when(F.lit(s) > 0, F.col("high")).otherwise(F.col("low")) / F.lit(float(s)) for h, s in scales.items()}
+    sums = tokens.groupBy("sample", "low", "high").agg(*[F.sum(F.exp(F.col("a") / F.lit(float(s)) - tops[h])).alias(f"sum{h}") for h, s in scales.items()])
+    state = sums.select("sample", F.array(*[F.struct(F.lit(h).alias("head"), F.lit(float(s)).alias("scale"), tops[h].alias("top"), F.col(f"sum{h}").alias("total")) for h, s in scales.items()]).alias("heads"))
+    dealt = tokens.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("feature"), F.col("blocks")))
+    held = write_table(dealt.groupBy("sample", "blocks", "block").agg(F.sort_array(F.collect_list(F.struct("feature", "a"))).alias("t")), "token_blocks")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = held.select("sample", F.col("block").alias("bi"), F.col("t.feature").alias("rows"), each.alias("bj"))
+    right = held.select("sample", F.col("block").alias("bj"), "t", each.alias("bi"))
+    met = left.join(right, ["sample", "bi", "bj"]).join(F.broadcast(state) if few else state, "sample")
+    per = met.select("sample", "rows", "t", F.explode("heads").alias("h"))
+    weight = F.transform("t", lambda x: F.struct(x["feature"].alias("j"), (F.exp(x["a"] / F.col("h.scale") - F.col("h.top")) / F.col("h.total")).alias("w")))
+    weighed = per.select(F.col("h.head").alias("head"), "sample", "rows", weight.alias("t"))
+    return weighed.select("head", "sample", F.explode("rows").alias("i"), "t").select("head", "sample", "i", F.explode("t").alias("x")).select("head", "sample", "i", "x.j", "x.w")
+
+
 def accumulate(weights: DataFrame, *by: str) -> DataFrame:
     """(by..., i, j, sum, cnt): mergeable pair sums, so the same aggregation runs over a stream."""
     return weights.groupBy(*by, "i", "j").agg(F.sum("w").alias("sum"), F.count("*").alias("cnt"))

@@ -8,19 +8,31 @@ from pyspark.sql import functions as F
 from tessera.operators.pairs import top_k_per_row
 
 
-def enrichment_curve(scored: DataFrame, k: int, *by: str) -> DataFrame:
+def enrichment_curve(scored: DataFrame, k: int, *by: str, rates: DataFrame | None = None) -> DataFrame:
     """(by..., k, enr, n_used) from (by..., i, j, s, y): at each place, the mean over rows with a positive of precision
     so far over the row's own rate of positives.
 
-    The top k are taken first, labelled or not; unlabelled ones then count neither way.
+    ``rates`` (i, pos, lab) are counts over the whole row of the label matrix, whether its pairs were scored or not
+    (``label_rates``); without it the scored pairs are all there is.  The top k are taken first, labelled or not;
+    unlabelled ones then count neither way.  With ``rates`` the scored pairs are read once.
     """
-    rate = scored.where("i <> j").groupBy(*by, "i").agg(F.sum("y").alias("pos"), F.count("y").alias("lab")).where("pos >= 1")
+    own = scored.where("i <> j").groupBy(*by, "i").agg(F.sum("y").alias("pos"), F.count("y").alias("lab")) if rates is None else rates
+    keys = [*by, "i"] if rates is None else ["i"]
+    rate = own.where("pos >= 1 AND lab >= 1")
     upto = Window.partitionBy(*by, "i").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     top = top_k_per_row(scored, k, *by).withColumn("p", F.coalesce(F.sum("y").over(upto), F.lit(0))).withColumn("n", F.count("y").over(upto))
     enr = F.try_divide(F.try_divide(F.col("p").cast("double"), F.col("n").cast("double")), F.col("pos").cast("double") / F.col("lab"))
-    curve = top.join(rate, [*by, "i"]).groupBy(*by, "k").agg(F.round(F.avg(enr), 6).alias("enr"))
-    used = rate.groupBy(*by).agg(F.count("*").alias("n_used"))
-    return curve.join(used, list(by)) if by else curve.crossJoin(F.broadcast(used))
+    curve = top.join(rate, keys).groupBy(*by, "k").agg(F.round(F.avg(enr), 6).alias("enr"))
+    shared = keys[:-1]
+    used = rate.groupBy(*shared).agg(F.count("*").alias("n_used"))
+    return curve.join(used, shared) if shared else curve.crossJoin(F.broadcast(used))
+
+
+def label_rates(pos: DataFrame, uni: DataFrame) -> DataFrame:
+    """(i, pos, lab) of each member of a universe: its positives (``pos``: i < j), and all other members, as each pair of them has a label."""
+    ends = pos.select(F.explode(F.array("i", "j")).alias("i")).groupBy("i").agg(F.count("*").alias("pos"))
+    others = uni.agg((F.count("*") - 1).alias("lab"))
+    return uni.join(ends, "i", "left").crossJoin(F.broadcast(others)).select("i", F.coalesce("pos", F.lit(0)).alias("pos"), "lab")
 
 
 def area(curve: DataFrame, *by: str) -> DataFrame:

@@ -37,7 +37,7 @@ uni AS (SELECT DISTINCT p AS i FROM ek),
 pos AS (SELECT DISTINCT a.p AS i, b.p AS j FROM ek a JOIN ek b ON a.t = b.t AND a.p < b.p)"""
 POS_DEGREE = LABELS + ",\nends AS (SELECT i AS node FROM pos UNION ALL SELECT j FROM pos)"
 SCORE = "score AS (SELECT l_suppkey AS i, l_partkey AS j, round(sum(l_extendedprice), 2) AS s, max(CASE l_returnflag WHEN 'R' THEN 1 WHEN 'A' THEN 0 END) AS y FROM lineitem GROUP BY 1, 2)"
-TOK = "tok AS (SELECT l_orderkey AS sample, l_partkey AS feature, sum(l_quantity)::DOUBLE AS a FROM lineitem GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY md5(l_orderkey::VARCHAR || '|' || l_partkey::VARCHAR || '|1'), l_partkey) <= 1024)"
+TOK = "tok AS (SELECT l_orderkey AS sample, l_partkey AS feature, sum(l_quantity)::DOUBLE AS a FROM lineitem GROUP BY 1, 2)"
 
 
 def att_sql(scale: str = "10.0", name: str = "att") -> str:
@@ -92,7 +92,7 @@ def a_group_tokens(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {X}, c AS (SELECT sample, count(*) AS n FROM x GROUP BY 1)
 SELECT sample, (sum(n) OVER (ORDER BY sample) - n)::BIGINT AS start_off, (sum(n) OVER (ORDER BY sample))::BIGINT AS end_off FROM c""")
 def w_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return binning.offsets(binning.detected_count(fx.expression(spark, d)), span=64)
+    return binning.offsets(binning.detected_count(fx.expression(spark, d)))
 
 
 @query(f"""WITH {X}, f AS (SELECT feature, count(*)::DOUBLE / (SELECT count(DISTINCT sample) FROM x) AS q FROM x GROUP BY 1)
@@ -540,6 +540,10 @@ cum AS (SELECT *, coalesce(sum(y) OVER w, 0) AS p, count(y) OVER w AS n FROM top
 curve AS (SELECT {by} k, round(avg((p::DOUBLE / nullif(n, 0)) / (pos::DOUBLE / lab)), 6) AS enr FROM cum JOIN rate USING ({by} i) GROUP BY ALL)"""
 
 
+#: The same with rates over the whole row of the label matrix.
+HEAD_CURVE = "ends AS (SELECT i FROM pos UNION ALL SELECT j FROM pos),\nrate AS (SELECT i, count(*) AS pos, (SELECT count(*) - 1 FROM uni) AS lab FROM ends GROUP BY 1),\n" + CURVE.format(by="head,", scored="scored", k=20).split("\n", 1)[1].replace("USING (head, i)", "USING (i)")
+
+
 @query(f"WITH {SCORE}, {CURVE.format(by='', scored='score', k=20)} SELECT k, enr, (SELECT count(*) FROM rate) AS n_used FROM curve")
 def w_enrichment_curve(spark: SparkSession, d: str) -> DataFrame:
     return ranking.enrichment_curve(fx.scores(spark, d), 20)
@@ -558,12 +562,12 @@ def o_top_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {HEADS}, {LABELS}, scored AS (SELECT head, heads.i, heads.j, mean AS s, CASE WHEN a.i IS NULL OR b.i IS NULL OR heads.i = heads.j THEN NULL WHEN pos.i IS NULL THEN 0 ELSE 1 END AS y
 FROM heads LEFT JOIN uni a ON a.i = heads.i LEFT JOIN uni b ON b.i = heads.j LEFT JOIN pos ON pos.i = least(heads.i, heads.j) AND pos.j = greatest(heads.i, heads.j)),
-{CURVE.format(by='head,', scored='scored', k=20)}, auc AS (SELECT head, round(sum(enr), 4) AS auc FROM curve GROUP BY 1)
+{HEAD_CURVE}, auc AS (SELECT head, round(sum(enr), 4) AS auc FROM curve GROUP BY 1)
 SELECT head, auc FROM auc ORDER BY auc DESC, head LIMIT 1""")
 def o_best_head(spark: SparkSession, d: str) -> DataFrame:
     pos, uni = _labels(spark, d)
     scored = pairs.pair_label(x_head_maps(spark, d), pos, uni).select("head", "i", "j", F.col("mean").alias("s"), F.col("label").alias("y"))
-    return ranking.best_head(ranking.area(ranking.enrichment_curve(scored, 20, "head"), "head").withColumn("auc", F.round("auc", 4)))
+    return ranking.best_head(ranking.area(ranking.enrichment_curve(scored, 20, "head", rates=ranking.label_rates(pos, uni)), "head").withColumn("auc", F.round("auc", 4)))
 
 
 @query(f"""WITH RECURSIVE {LABELS}, links AS (SELECT i, j FROM pos UNION SELECT j, i FROM pos),

@@ -1,5 +1,7 @@
 """Hand-computed cases, failures, and results that don't depend on partitions or row order."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tessera import functions as fn
 from tessera.operators import binning, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
 from tessera.plans import model
+from tessera.sources.tables import written
 
 
 def expr(spark, **samples):
@@ -213,3 +216,61 @@ def test_model_queries_take_all_detected_features(spark):
     want = {r["sample"]: r["emb"] for r in model.embed(model.pack(bins.selectExpr("sample", "feature", "bin", "1 AS role")), weights).collect()}
     found = {r["sample"]: r["emb"] for r in queries.m_sst_embed(spark, d).collect()}
     assert found.keys() == want.keys() and all(abs(x - y) < 1e-9 for k in want for x, y in zip(want[k], found[k]))
+
+
+def _attention_by_hand(rows, scale):
+    by = {}
+    for sample, feature, a in rows:
+        by.setdefault(sample, []).append((feature, a))
+    out = {}
+    for sample, own in by.items():
+        top = max(a / scale for _, a in own)
+        e = {j: math.exp(a / scale - top) for j, a in own}
+        out |= {(sample, i, j): e[j] / sum(e.values()) for i in e for j in e}
+    return out
+
+
+def test_attention_of_long_samples_by_blocks(spark):
+    rows = [(s, f, float((f * 7 + s) % 11)) for s, n in ((1, 3), (2, 50), (3, 8), (4, 9)) for f in range(n)]
+    tokens = spark.createDataFrame([*rows, (None, 1, 2.0)], "sample long, feature long, a double")
+    for scale in (4.0, -3.0):
+        found = pairs.head_attention(tokens, {5: scale, 6: 2.0}, block=8).collect()
+        got = {(r.sample, r.i, r.j): r.w for r in found if r["head"] == 5}
+        want = _attention_by_hand(rows, scale)
+        assert got.keys() == want.keys() and len(found) == 2 * len(want)
+        assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_attention_of_a_sample_of_20000_tokens(spark):
+    """No array of the sample, and no block much larger than what was asked for; the weights of each row add up to 1."""
+    n, block = 20_000, 1024
+    tokens = spark.range(n).select(F.lit(1).cast("long").alias("sample"), F.col("id").alias("feature"), (F.col("id") % 97).cast("double").alias("a"))
+    found = pairs.head_attention(tokens, {1: 10.0}, block)
+    sums = found.where("i % 5000 = 0").groupBy("i").agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
+    assert len(sums) == 4 and all(r.n == n and abs(r.w - 1) < 1e-9 for r in sums)
+    held = spark.read.parquet([p for p in written(spark) if "/token_blocks-" in p][-1])
+    assert held.count() == 20 and held.agg(F.max(F.size("t"))).first()[0] < 1.25 * block
+
+
+def test_enrichment_rates_count_unscored_labels(spark):
+    """Row 0 has positives 1 and 4 among four others, and only 1, 2 and 3 were scored: its rate is 2 / 4, not 1 / 3."""
+    pos, uni = spark.createDataFrame([(0, 1), (0, 4)], "i long, j long"), spark.range(5).withColumnRenamed("id", "i")
+    scored = spark.createDataFrame([(0, 1, 0.9, 1), (0, 2, 0.8, 0), (0, 3, 0.7, 0)], "i long, j long, s double, y int")
+    rates = ranking.label_rates(pos, uni)
+    assert {tuple(r) for r in rates.collect()} == {(0, 2, 4), (1, 1, 4), (2, 0, 4), (3, 0, 4), (4, 1, 4)}
+    curve = {r.k: (r.enr, r.n_used) for r in ranking.enrichment_curve(scored, 3, rates=rates).collect()}
+    assert curve == {1: (2.0, 3), 2: (1.0, 3), 3: (round(1 / 3 / 0.5, 6), 3)}
+
+
+def test_names_of_one_prefix_and_sparse_keys_never_meet_in_one_task(spark):
+    """200,000 keys of one prefix, and as many 5,000 apart, are placed range by range."""
+    n = 200_000
+    names = spark.range(n).select(F.format_string("ENSG%011d", F.col("id") * 7).alias("name"), (F.col("id") * 5000).alias("sample"), (F.col("id") % 3).alias("n_detected"))
+    placed = lookups.alphabetical(names.repartition(4), "name")
+    assert placed.where(F.col("place") * 7 != F.substring("name", 5, 11).cast("long")).isEmpty() and placed.count() == n
+    totals = binning.offsets(names, "sample", "n_detected")
+    third = F.floor(F.col("sample") / 5000 / 3)
+    assert totals.where(F.col("start_off") != third * 3 + F.when(F.col("sample") / 5000 % 3 == 2, 1).otherwise(0)).isEmpty()
+    for path in [p for p in written(spark) if "/ranges-" in p][-2:]:
+        parts = [c for c in spark.read.parquet(path).columns if c.startswith("part_")][0]
+        assert spark.read.parquet(path).groupBy(parts).count().agg(F.max("count")).first()[0] < 0.75 * n  # adaptive execution leaves two ranges here
