@@ -208,7 +208,7 @@ class Encoder:
         stretches = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         bounds = stretches.offsets.to_numpy().astype(np.int64)
         distinct = stretches.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
-        words = distinct.dictionary.to_pylist()
+        words = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED or self.held > HELD:
             self.forget()
         known = self.known
