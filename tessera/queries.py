@@ -11,7 +11,8 @@ from tessera import functions as fn
 from tessera.operators import binning, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
 from tessera.plans import fixtures as fx
 from tessera.plans import model
-from tessera.sources.tables import read
+from tessera.sources import arrays, stores
+from tessera.sources.tables import read, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -713,3 +714,30 @@ def o_strided(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {POS_DEGREE} SELECT node, count(*) AS degree FROM ends GROUP BY 1""")
 def x_degree(spark: SparkSession, d: str) -> DataFrame:
     return graph.degree(_labels(spark, d)[0], "i", "j")
+
+
+# Sources ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {X} SELECT sample, feature, v FROM x")
+def s_row_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """All values, written as compressed rows and read back by two ranges of samples."""
+    expr, path = fx.expression(spark, d), scratch(spark, "arrays")
+    arrays.save_csr(expr, path)
+    middle = read(spark, d, "supplier").count() // 2
+    return arrays.read_csr(spark, path, last=middle).unionByName(arrays.read_csr(spark, path, first=middle))
+
+
+@query(f"WITH {LABELS} SELECT 'universe' AS kind, i, NULL::BIGINT AS j FROM uni UNION ALL SELECT 'positive', i, j FROM pos")
+def s_label_store(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "label_store")
+    stores.save_labels(pairs.label_tables(*_labels(spark, d)), path)
+    return stores.load_labels(spark, path)
+
+
+@query(f"WITH {BINS} SELECT sample, feature, bin FROM bins")
+def s_binned_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Binned values from the cache of their fingerprint: built by the first call, found by the second."""
+    expr, path = fx.expression(spark, d), scratch(spark, "binned_cache")
+    stores.load_or_build(expr, path)
+    return stores.load_or_build(expr, path).select("sample", "feature", "bin")

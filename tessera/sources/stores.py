@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from contextlib import suppress
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.binning import rank_bin
 from tessera.operators.lookups import require_vectors
+from tessera.sources.published import publish, published, same_rows, version_of
 
 CACHE_VERSION = 1
 
@@ -24,24 +25,24 @@ def fingerprint(expr: DataFrame, bins: int, seed: int) -> dict[str, str]:
 
 
 def load_or_build(expr: DataFrame, path: str, bins: int = 10, seed: int = 0) -> DataFrame:
-    """The binned table of this fingerprint under ``path``, built and written there first if it is missing.
+    """The binned table of this fingerprint under ``path``, built, checked and published there first if it is missing.
 
-    Tokens lie under the digest of their fingerprint and its table is written last, so a build that was
-    broken off is never taken for a finished one, and tokens are never found under another's fingerprint.
+    Tokens lie under the digest of their fingerprint, so they are never found under another's; a build that was broken
+    off was never published.  Where two builders meet, the first one's table stands.
     """
     spark: SparkSession = expr.sparkSession
     want = fingerprint(expr, bins, seed)
     own = f"{path}/{hashlib.sha1(repr(sorted(want.items())).encode()).hexdigest()[:16]}"
-    try:
-        have = {r.key: r.value for r in spark.read.parquet(f"{own}/meta").collect()}
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        have = {}
-    if have != want:
-        rank_bin(expr, bins, seed).write.mode("overwrite").parquet(f"{own}/tokens")
-        spark.createDataFrame(sorted(want.items()), "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{own}/meta")
-    return spark.read.parquet(f"{own}/tokens")
+    if version_of(spark, own) is None:
+
+        def whole(staged: DataFrame) -> None:
+            row = staged.agg(F.count_distinct("sample").alias("samples"), F.min("bin").alias("low"), F.max("bin").alias("high")).first()
+            if str(row.samples) != want["n_samples"] or not (row.samples == 0 or 1 <= row.low <= row.high <= bins):
+                raise OSError("the binned table doesn't hold the samples and bins of its source")
+
+        with suppress(FileExistsError):
+            publish(rank_bin(expr, bins, seed), own, whole)
+    return published(spark, own)
 
 
 def save_vectors(vectors: DataFrame, path: str) -> None:
@@ -61,24 +62,24 @@ def load_vectors(spark: SparkSession, path: str, accessions: DataFrame | None =
 
 
 def save_labels(coded: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Write label tables (kind, i, j), read them back and compare; refuses to overwrite unless told to."""
-    coded.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
-    back = coded.sparkSession.read.parquet(path)
-    if not coded.exceptAll(back).isEmpty() or not back.exceptAll(coded).isEmpty():
-        raise OSError(f"{path} does not hold what was written")
+    """Publish label tables (kind, i, j) once what was written is what was given; refuses to overwrite unless told to."""
+    publish(coded, path, same_rows(coded), overwrite)
 
 
 def load_labels(spark: SparkSession, path: str, order: DataFrame | None = None) -> DataFrame:
     """Label tables; with an order table (idx, protein) the universe must lie within it."""
-    coded = spark.read.parquet(path)
+    coded = published(spark, path)
     if order is not None and not coded.where("kind = 'universe'").join(order, coded["i"] == order["idx"], "left_anti").isEmpty():
         raise ValueError("the universe names an index outside the protein order")
     return coded
 
 
 def write_once(table: DataFrame, path: str, key: str) -> None:
-    """Write a table whose key must be unique; refuses to overwrite."""
-    n, distinct = table.agg(F.count("*"), F.count_distinct(key)).first()
-    if n != distinct:
-        raise ValueError(f"{key} is not unique: {n} rows, {distinct} keys")
-    table.write.mode("errorifexists").parquet(path)
+    """Publish a table whose key is unique among the rows written; refuses to overwrite, and of two writers one fails."""
+
+    def unique(staged: DataFrame) -> None:
+        n, distinct = staged.agg(F.count("*"), F.count_distinct(key)).first()
+        if n != distinct:
+            raise ValueError(f"{key} is not unique: {n} rows, {distinct} keys")
+
+    publish(table, path, unique)

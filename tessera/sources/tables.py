@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +15,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application."""
+    context = spark.sparkContext
+    if not getattr(context, "_tessera_shipped", False):
+        package = Path(__file__).resolve().parents[1]
+        archive = os.path.join(tempfile.mkdtemp(prefix="tessera-"), f"{package.name}.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        context.addPyFile(archive)
+        context._tessera_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``.  Where it is unset, a temporary one is set on a local master (tests);
     on a cluster, whose machines wouldn't see each other's, that is an error."""
@@ -44,6 +60,13 @@ def write_table(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder for something other than a table; it is dropped with the written tables."""
+    path = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    written(spark).append(path)
+    return path
+
+
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete written tables that nothing reads any more."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
