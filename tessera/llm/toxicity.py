@@ -1,14 +1,15 @@
-"""Toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by the nearest labelled examples under a cosine of weighted TF-IDF vectors, found exactly.
 
 Terms are words (lower case, punctuation aside) and their first four and five bytes.  A text is the
 vector of all its terms that an example holds: (1 + ln tf) * idf * (FLOOR + strength), where idf is
 taken over all documents and strength, 0 to 1, says how much oftener than by chance the examples of label 1 hold the
-term; no term weighs nothing, so none is left out.  The ``K`` nearest examples are found in a
+term; no term weighs nothing, so none is left out.  This isn't the plain measure (strength 1 for all terms), which doesn't
+tell the labels apart on the fixtures: see the README for its figures.  The ``K`` nearest examples are found in a
 block-max inverted index: postings in blocks of neighbouring examples, each with the greatest weight
 in it, so that a block whose bound can't reach the K-th best cosine is skipped; what isn't skipped is
 scored exactly, so the neighbours are exact.  Terms that many examples hold are rows of a matrix
-instead of postings.  Votes are weighted by the square of the cosine; isotonic regression on the examples' own
-votes (each without itself) turns them into probabilities; the neighbours are the evidence.
+instead of postings.  Votes are weighted by the square of the cosine; isotonic regression on votes by folds
+(an example by an index and weights that know neither it nor its label) turns them into probabilities; the neighbours are the evidence.
 
 Scale: the examples are a bounded sample of the labelled training rows (``EXAMPLES``), so the index is
 bounded and may be broadcast; document frequencies and scoring cover all documents, each in one pass
@@ -35,6 +36,8 @@ FLOOR, FROM, OVER = 0.08, 2.0, 5.0
 #: Share of the examples from which on a term's postings are a matrix row; texts scored together; blocks scored before any is skipped.
 FREQUENT, TOGETHER, FIRST = 0.1, 64, 2
 CUT = 0.3
+#: Parts of the examples that are voted on by the others to calibrate.
+FOLDS = 4
 STRIPES = 16
 _PREFIXES = (4, 5)
 
@@ -76,7 +79,7 @@ def example_rows(docs: DataFrame, label: dict, id_col: str, text_col: str) -> li
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(lists, pa.list_(pa.int64()))], [id_col, "key", "h"])
 
     own = docs.join(F.broadcast(ids), docs[id_col] == ids["__id"]).select(id_col, text_col, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("__key"))
-    found = arrow_map(own, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, key long, h array<long>", lambda: step).toArrow()
+    found = arrow_map(own, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, key long, h array<long>", lambda: step).toArrow()
     one: dict = {}
     for i, key, h in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), found.column(2).to_numpy()):
         if i not in one or key < one[i][0]:
@@ -226,16 +229,10 @@ class Index:
         weight = np.array([c * c for c, _ in near])
         return float((weight * self.labels[[i for _, i in near]]).sum() / weight.sum())
 
-    def calibrate(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """Fit probabilities to the votes of the examples' own vectors (in the order of ``ids``), each without itself."""
-        votes, truth = [], []
-        for lo in range(0, len(queries), TOGETHER):
-            for i, near in enumerate(self.nearest(queries[lo : lo + TOGETHER], K + 1), lo):
-                near = [x for x in near if x[1] != i][:K]
-                if near:
-                    votes.append(self.vote(near))
-                    truth.append(self.labels[i])
-        self.steps = isotonic(np.array(votes), np.array(truth))
+    def votes(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[float | None]:
+        """The vote on each vector; None without neighbours."""
+        found = [near for lo in range(0, len(queries), TOGETHER) for near in self.nearest(queries[lo : lo + TOGETHER])]
+        return [self.vote(near) if near else None for near in found]
 
     def score(self, near: list[tuple[float, int]]) -> float:
         if not near:
@@ -250,6 +247,28 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum())), lengths
 
 
+def fitted(ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, idf: np.ndarray) -> Index:
+    """The index of these examples, its weights by their labels alone."""
+    example = np.repeat(np.arange(len(ids)), [len(t) for t, _ in vectors])
+    terms_ = np.concatenate([t for t, _ in vectors] or [np.zeros(0, np.int64)])
+    return Index(ids, vectors, y.tolist(), idf * (FLOOR + strengths(terms_, example, y, len(idf))))
+
+
+def calibrated(ids: list, vectors: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps from votes to probabilities, by folds: an example is voted on by an index whose examples and weights
+    know nothing of its own fold.  Equal vectors are of one fold."""
+    fold_of = np.array([zlib.crc32(t.tobytes() + c.tobytes()) % FOLDS for t, c in vectors])
+    votes, truth = [], []
+    for f in range(FOLDS):
+        rest, mine = np.flatnonzero(fold_of != f), np.flatnonzero(fold_of == f)
+        if len(rest) and len(mine):
+            part = fitted([ids[i] for i in rest], [vectors[i] for i in rest], y[rest], idf)
+            found = [(v, y[i]) for i, v in zip(mine, part.votes([vectors[i] for i in mine])) if v is not None]
+            votes += [v for v, _ in found]
+            truth += [t for _, t in found]
+    return isotonic(np.array(votes), np.array(truth))
+
+
 def build(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str, text_col: str, label_col: str, examples: int) -> Index | None:
     """The index over at most ``examples`` labelled training rows (those of the smallest hashes of their ids); None without any."""
     spark: SparkSession = docs.sparkSession
@@ -266,11 +285,9 @@ def build(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str, text
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
         vectors.append((vocabulary.find(h[cut]), np.diff(np.append(cut, len(h)))))
     y = np.array([label[i] for i, _ in rows])
-    example = np.repeat(np.arange(len(rows)), [len(t) for t, _ in vectors])
-    strength = strengths(np.concatenate([t for t, _ in vectors]), example, y, len(vocabulary.hashes))
-    index = Index([i for i, _ in rows], vectors, y.tolist(), (np.log((n + 1) / (df + 1)) + 1) * (FLOOR + strength))
-    own = dict(zip([i for i, _ in rows], vectors))
-    index.calibrate([own[i] for i in index.ids])
+    own, idf = [i for i, _ in rows], np.log((n + 1) / (df + 1)) + 1
+    index = fitted(own, vectors, y, idf)
+    index.steps = calibrated(own, vectors, y, idf)
     index.vocabulary = vocabulary
     return index
 
@@ -280,8 +297,8 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
 
     ``train`` says which ids a label may be learned from.  A text that shares no term with an example
     (so a null or empty one) has no neighbours and gets the smoothed rate among examples without terms.
-    Labels that contradict each other count as 1.  Without labels every score is 0.  A document that is
-    itself an example is scored without itself.  Repeated rows get equal results.
+    Labels that contradict each other count as 1.  Without labels every score is 0.  A score hangs on
+    the text alone: equal texts get equal results, whatever their ids, and a text that is an example finds itself among its neighbours.
     """
     spark: SparkSession = prepare(docs.sparkSession)
     docs = docs.select(id_col, text_col)
@@ -292,7 +309,6 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         own = sent.value
-        place = {i: n for n, i in enumerate(own.ids)} if own else {}
         seen: dict[bytes, list[tuple[float, int]]] = {}
 
         def near_all(queries: list[tuple[np.ndarray, np.ndarray]]) -> list[list[tuple[float, int]]]:
@@ -303,7 +319,7 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
             fresh = list({k: i for i, k in enumerate(keys) if k not in seen}.items())
             for lo in range(0, len(fresh), TOGETHER):
                 part = fresh[lo : lo + TOGETHER]
-                seen.update(zip([k for k, _ in part], own.nearest([queries[i] for _, i in part], K + 1)))
+                seen.update(zip([k for k, _ in part], own.nearest([queries[i] for _, i in part])))
             return [seen[k] for k in keys]
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -313,15 +329,14 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
                 if own:
                     first, term, times = term_counts(data, offsets, own.vocabulary)
                     found = near_all([(term[a:b], times[a:b]) for a, b in zip(first[:-1], first[1:])])
-                    for n, (i, near) in enumerate(zip(ids.to_pylist(), found)):
-                        near = [x for x in near if x[1] != place.get(i)][:K]
+                    for n, near in enumerate(found):
                         scores[n] = own.score(near)
                         all_near[n] = [{id_col: own.ids[e], "cosine": cosine, "label": int(own.labels[e])} for cosine, e in near]
                 yield pa.RecordBatch.from_arrays([ids, pa.array(scores), pa.array((scores >= cut).astype(np.int32)), pa.array(all_near, near_type)], [id_col, "score", "predicted", "neighbours"])
 
         return step
 
-    return arrow_map(docs, f"{id_col} {kind}, score double, predicted int, neighbours array<struct<{id_col}:{kind},cosine:double,label:int>>", start)
+    return arrow_map(docs, f"`{id_col}` {kind}, score double, predicted int, neighbours array<struct<`{id_col}`:{kind},cosine:double,label:int>>", start)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
