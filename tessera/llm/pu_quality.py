@@ -210,7 +210,7 @@ def score(docs: DataFrame, labels: DataFrame, train: F.Column, id_col: str = "do
         s = _scores(model.value, batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= cut).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return arrow_map(docs, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, score double, predicted int", lambda: step)
+    return arrow_map(docs, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double, predicted int", lambda: step)
 
 
 def _scores(model: Model | None, texts: pa.Array) -> np.ndarray:

@@ -20,6 +20,7 @@ where they have a window to lose, as long as those documents' ids may be broadca
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -225,17 +226,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     prepare(docs.sparkSession)
     made = ["n_words", "n_removed", "kept_sha256"]
     rest = [f for f in docs.schema if f.name not in made and not (digest_only and f.name == text_col)]
+    of, hashes, runs = (f"{x}_{uuid.uuid4().hex}" for x in ("of", "hashes", "runs"))  # no columns of any input
     rows = later_windows(docs, width, id_col, text_col)
-    late = rows.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("h1").alias("__hashes"), F.collect_list("later").alias("__runs"))
-    same = F.col(id_col).cast("long") == F.col("__doc")
-    ids = rows.select(F.col("doc").alias("__doc")).distinct()
+    late = rows.groupBy(F.col("doc").alias(of)).agg(F.collect_list("h1").alias(hashes), F.collect_list("later").alias(runs))
+    same = F.col(id_col).cast("long") == F.col(of)
+    ids = rows.select(F.col("doc").alias(of)).distinct()
     if ids.limit(IDS + 1).count() <= IDS:  # texts that lose nothing stay where they are
         ids = F.broadcast(ids)
-        whole = docs.join(ids, same, "left_anti").select("*", F.array().cast("array<long>").alias("__hashes"), F.array().cast("array<binary>").alias("__runs"))
-        joined = docs.join(ids, same, "left_semi").join(late, same).select(*docs.columns, "__hashes", "__runs").unionByName(whole)
+        whole = docs.join(ids, same, "left_anti").select("*", F.array().cast("array<long>").alias(hashes), F.array().cast("array<binary>").alias(runs))
+        joined = docs.join(ids, same, "left_semi").join(late, same).select(*docs.columns, hashes, runs).unionByName(whole)
     else:
         joined = docs.join(late, same, "left")
-    inputs = [*(f.name for f in rest if f.name != text_col), text_col, "__hashes", "__runs"]
+    inputs = [*(f.name for f in rest if f.name != text_col), text_col, hashes, runs]
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         column = {c: batch.column(i) for i, c in enumerate(inputs)}
@@ -246,10 +248,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
             bounds = np.searchsorted(at, w.first)
             for i in range(hi - lo):
                 a, b = w.first[i], w.first[i + 1]
-                own, runs = column["__hashes"][lo + i].as_py(), column["__runs"][lo + i].as_py()
+                own, many = column[hashes][lo + i].as_py(), column[runs][lo + i].as_py()
                 gone = np.zeros(b - a, bool)
-                if own or runs:
-                    bad = np.concatenate([np.array(own, np.int64).view(np.uint64), *(np.frombuffer(x, np.uint64) for x in runs)])
+                if own or many:
+                    bad = np.concatenate([np.array(own, np.int64).view(np.uint64), *(np.frombuffer(x, np.uint64) for x in many)])
                     x = slice(bounds[i], bounds[i + 1])
                     gone = kernel.covered(b - a, at[x][np.isin(h1[x], bad)] - a, width)
                 text = data[offsets[i] : offsets[i + 1]].tobytes()

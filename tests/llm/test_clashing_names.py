@@ -35,3 +35,21 @@ def test_other_operators(spark, docs):
     assert url_cascade.judge(pages).count() == 5
     vectors = docs.select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") < 3, F.array(F.lit(1.0), F.lit(2.0))).alias("embedding"), "id", F.lit(1).alias("v"), F.lit(2).alias("q"))
     assert ann.search(vectors, F.col("vec_id") == 1).count() == 1
+
+
+def test_substring_dedup_with_its_own_names(spark):
+    from tessera.llm import substring
+
+    text = " ".join(f"w{i}" for i in range(20))
+    names = ("__doc", "__hashes", "__runs", "of", "hashes", "runs", "n_words")
+    docs = spark.createDataFrame([(1, text), (2, text + " more"), (3, None)], "doc_id long, text string").withColumns({c: F.lit(7) for c in names})
+    found = {r.doc_id: r for r in substring.remove_repeats(docs).collect()}
+    assert [found[i].n_removed for i in (1, 2, 3)] == [0, 20, 0] and found[2]["__doc"] == found[2]["__runs"] == 7 and found[2].n_words == 21
+
+
+def test_ids_with_a_blank_in_their_name(spark):
+    from tessera.llm import toxicity
+
+    docs = spark.createDataFrame([(1, "good text"), (2, "bad word")], "`doc id` long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "`doc id` long, toxic int")
+    assert toxicity.score(docs, labels, F.lit(True), id_col="doc id").count() == 2
