@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import write_table
 
+#: A move must gain more than what sums of doubles may be off by.
+GAIN = 1e-12
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) of every node of ``edges``; a component's name is its smallest node.
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", least: int = 1) -> DataFrame:
+    """(node, component) of every node of ``edges`` in a component of at least ``least`` nodes; its name is its smallest node.
 
     Each round takes the smallest label among a node's neighbours, then follows labels once, and
     writes the labels, so that neither lineage nor anything on the driver grows.  Rows with a null
@@ -27,10 +30,102 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         moved = write_table(lower.join(above, "lower").select("node", F.col("component").alias("was"), F.least("lower", "jump").alias("component")), "labels")
         labels = moved.select("node", "component")
         if moved.where(F.col("was") != F.col("component")).isEmpty():
-            return labels
+            break
+    if least < 2:
+        return labels
+    large = labels.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("component")
+    return labels.join(large, "component", "left_semi").select("node", "component")
 
 
 def degree(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, degree): the distinct edges at each node, whichever end it is."""
     pairs = edges.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x <> y").distinct()
     return pairs.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def links_of(edges: DataFrame, a: str = "a", b: str = "b", weight: str | None = None) -> DataFrame:
+    """(i, j, w) in both directions: parallel edges added up, self edges, null ends and weights not above 0 left out."""
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    one = edges.select(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"), w.alias("w")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("i") != F.col("j")) & (F.col("w") > 0))
+    one = one.groupBy("i", "j").agg(F.sum("w").alias("w"))
+    return one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+
+
+def modularity(links: DataFrame, groups: DataFrame) -> float:
+    """The modularity of ``groups`` (node, community) over ``links``: the share of weight inside, less what chance would put there."""
+    of = groups.select(F.col("node").alias("i"), F.col("community").alias("ci"))
+    to = groups.select(F.col("node").alias("j"), F.col("community").alias("cj"))
+    met = links.join(of, "i").join(to, "j").groupBy("ci").agg(F.sum("w").alias("k"), F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)).alias("inside"))
+    found = met.agg(F.sum("k").alias("all"), F.sum("inside").alias("inside"), F.sum(F.col("k") * F.col("k")).alias("squares")).first()
+    return found.inside / found.all - found.squares / found.all**2 if found.all else 0.0
+
+
+def _moves(links: DataFrame, state: DataFrame, all_: float, turn: int) -> tuple[DataFrame, bool]:
+    """(the moves (i, to) that are safe together, whether any node gains by a move at all)."""
+    to = state.select(F.col("i").alias("j"), F.col("c").alias("to"))
+    toward = links.where("i <> j").join(to, "j").groupBy("i", "to").agg(F.sum("w").alias("w"))
+    sums = state.groupBy("c").agg(F.sum("k").alias("sum"))
+    own = state.join(sums, "c").select("i", "k", F.col("c").alias("own"), F.col("sum").alias("own_sum"))
+    near = toward.join(own, "i").join(sums.select(F.col("c").alias("to"), F.col("sum").alias("to_sum")), "to")
+    stay = near.where(F.col("to") == F.col("own")).select("i", F.col("w").alias("stay"))
+    away = near.where(F.col("to") != F.col("own")).join(stay, "i", "left")
+    gain = 2 * ((F.col("w") - F.coalesce("stay", F.lit(0.0))) / all_ - F.col("k") * (F.col("to_sum") + F.col("k") - F.col("own_sum")) / all_**2)
+    best = away.withColumn("gain", gain).where(F.col("gain") > GAIN).groupBy("i", "k", "own").agg(F.min_by(F.struct("to", "gain"), F.struct(-F.col("gain"), F.col("to"))).alias("x"))
+    wish = write_table(best.select("i", "k", "own", "x.to", "x.gain"), "wishes")
+    if wish.isEmpty():
+        return wish, False
+    key = F.struct("gain", (-F.col("i")).alias("i"), (-F.col("to")).alias("to")) if dict(wish.dtypes)["i"] in ("bigint", "int") else F.struct("gain", "i", "to")
+    keyed = wish.withColumn("key", key)
+    most = keyed.select(F.explode(F.array("own", "to")).alias("c"), "key").groupBy("c").agg(F.max("key").alias("most"))
+    of, to_ = (most.select(F.col("c").alias(x), F.col("most").alias(f"{x}_most")) for x in ("own", "to"))
+    met = write_table(keyed.join(of, "own").join(to_, "to"), "met")
+    takers = met.where((F.col("key") == F.col("own_most")) & (F.col("key") == F.col("to_most"))).select("to").distinct()
+    gives = met.join(takers, "to", "left_semi").join(takers.withColumnRenamed("to", "own"), "own", "left_anti")
+    one = gives.groupBy("own").agg(F.max_by(F.struct("i", "k", "to", "gain", "key"), "key").alias("x")).select("own", "x.*")
+    asked = write_table(one, "asked")
+    by = asked.groupBy("to").agg(F.count("*").alias("n"), F.max("key").alias("top"))
+    let = asked.join(by, "to").withColumn("is_top", F.col("key") == F.col("top")).where(F.col("is_top") | (F.col("n") <= 4) | (F.pmod(F.xxhash64(F.lit(turn), "i"), F.lit(4)) == 0))
+    sums = let.groupBy("to").agg(F.sum("k").alias("all_k"))
+    safe = F.col("gain") - 2 * F.col("k") * (F.col("all_k") - F.col("k")) / all_**2 > GAIN
+    return let.join(sums, "to").where(F.col("is_top") | safe).select("i", F.col("to").alias("moved")), True
+
+
+def communities(edges: DataFrame, a: str = "a", b: str = "b", weight: str | None = None, trace: list[float] | None = None) -> DataFrame:
+    """(node, community): groups of high modularity; a community's name is its smallest node.
+
+    Nodes move to the neighbouring community that gains most, until none gains; then communities become the nodes of
+    a smaller graph, and so on until no move is left.  Moves are made many at a time but so that their gains add up: a community
+    takes in a turn if the best move that touches it is one into it and is also the best that touches the other side; only
+    communities that don't take give, one node each.  One that takes lets in the best, and of the others (a fourth of them by
+    hash, where they are many) each that would still gain if all of these came.  So modularity rises with every turn, and the
+    search ends.
+    Ties go to smaller names.  The graph, its communities and the moves are tables all the while; nothing but flags
+    and the total weight reaches the driver, and no task holds a node's edges or a community's members.
+    Whole weights make the result independent of partitions.  ``trace`` is given the modularity after each turn.
+    """
+    first = links = write_table(links_of(edges, a, b, weight), "links")
+    all_ = first.agg(F.sum("w")).first()[0]
+    groups = write_table(first.select(F.col("i").alias("node")).distinct().withColumn("community", F.col("node")), "groups")
+    turn = 0
+    while all_:
+        state = write_table(links.groupBy("i").agg(F.sum("w").alias("k")).withColumn("c", F.col("i")), "state")
+        moved = False
+        while True:
+            moves, any_left = _moves(links, state, all_, turn)
+            turn += 1
+            if not any_left:
+                break
+            moves = write_table(moves, "moves")
+            moved = True
+            state = write_table(state.join(moves, "i", "left").select("i", "k", F.coalesce("moved", "c").alias("c")), "state")
+            if trace is not None:
+                now = groups.join(state.select(F.col("i").alias("community"), "c"), "community").select("node", F.col("c").alias("community"))
+                trace.append(modularity(first, now))
+        if not moved:
+            break
+        names = state.select("i", "c")
+        groups = write_table(groups.join(names.withColumnRenamed("i", "community"), "community").select("node", F.col("c").alias("community")), "groups")
+        to = names.select(F.col("i").alias("j"), F.col("c").alias("cj"))
+        links = write_table(links.join(names, "i").join(to, "j").groupBy(F.col("c").alias("i"), F.col("cj").alias("j")).agg(F.sum("w").alias("w")), "links")
+    names = groups.groupBy("community").agg(F.min("node").alias("name"))
+    return groups.join(names, "community").select("node", F.col("name").alias("community"))

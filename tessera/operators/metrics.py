@@ -22,3 +22,23 @@ def macro(predictions: DataFrame, pred: str = "pred", truth: str = "true") -> Da
 def weighted(batches: DataFrame, loss: str = "loss", size: str = "n") -> DataFrame:
     """The mean batch loss weighted by batch size, targets or not."""
     return batches.agg(F.round(F.try_divide(F.sum(F.col(loss) * F.col(size)), F.sum(size)), 6).alias("loss"))
+
+
+def best_epoch(losses: DataFrame, delta: float, patience: int) -> DataFrame:
+    """(run, best_epoch, best_loss, last_epoch, stopped) from (run, epoch, loss): the checkpoint that early stopping keeps.
+
+    An epoch is the best when its loss is below the best so far by more than ``delta``; after ``patience`` epochs in a row that
+    aren't, the run stops and later epochs count no more.  A loss that is null or not a number is never the best.  Ordered
+    by epoch, then loss; one fold a run over its own epochs.  Without a best epoch those columns are null.
+    """
+    steps = F.sort_array(F.collect_list(F.struct("epoch", "loss")))
+    start = F.struct(F.lit(None).cast("long").alias("epoch"), F.lit(None).cast("double").alias("loss"), F.lit(0).alias("waited"), F.lit(None).cast("long").alias("last"))
+
+    def step(state, x):
+        better = x["loss"].isNotNull() & ~F.isnan(x["loss"]) & (state["loss"].isNull() | (x["loss"] < state["loss"] - F.lit(float(delta))))
+        after = F.when(better, F.struct(x["epoch"].cast("long").alias("epoch"), x["loss"].cast("double").alias("loss"), F.lit(0).alias("waited"), x["epoch"].cast("long").alias("last")))
+        after = after.otherwise(F.struct(state["epoch"].alias("epoch"), state["loss"].alias("loss"), (state["waited"] + 1).alias("waited"), x["epoch"].cast("long").alias("last")))
+        return F.when(state["waited"] >= patience, state).otherwise(after)
+
+    folded = losses.groupBy("run").agg(F.aggregate(steps, start, step).alias("s"))
+    return folded.select("run", F.col("s.epoch").alias("best_epoch"), F.col("s.loss").alias("best_loss"), F.col("s.last").alias("last_epoch"), (F.col("s.waited") >= patience).alias("stopped"))

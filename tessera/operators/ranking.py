@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.pairs import top_k_per_row
+from tessera.operators.ranges import place
 
 
 def enrichment_curve(scored: DataFrame, k: int, *by: str, rates: DataFrame | None = None) -> DataFrame:
@@ -48,6 +49,18 @@ def top_k_enrichment(scored: DataFrame, k: int) -> DataFrame:
     return background.crossJoin(top).select(F.round("background", 6).alias("background"), F.round("top", 6).alias("top"), F.round(F.try_divide("top", "background"), 6).alias("ratio"))
 
 
+def top_k_enrichment_by(scored: DataFrame, k: int, by: str) -> DataFrame:
+    """(by, pairs, background, top, ratio) of each reference database: ``top_k_enrichment`` of its own labelled pairs.
+
+    The k best of all databases are found in one pass: each range of a database keeps its own place, and places are counted by ranges.
+    """
+    lab = scored.where(F.col("y").isNotNull() & F.col(by).isNotNull())
+    whole = lab.groupBy(by).agg(F.count("*").alias("pairs"), F.avg("y").alias("background"))
+    placed = place(lab, [F.col("s").desc_nulls_last(), "i", "j"], within=[by])
+    best = placed.where(F.col("place") < k).groupBy(by).agg(F.avg("y").alias("top"))
+    return whole.join(best, by).select(by, "pairs", F.round("background", 6).alias("background"), F.round("top", 6).alias("top"), F.round(F.try_divide("top", "background"), 6).alias("ratio"))
+
+
 def top_pairs(pairs: DataFrame, n: int, by: str = "mean") -> DataFrame:
     """The n pairs i < j of the largest value (never null), ties to smaller i, then j."""
     return pairs.where((F.col("i") < F.col("j")) & F.col(by).isNotNull()).orderBy(F.desc(by), "i", "j").limit(n)

@@ -11,8 +11,9 @@ from tessera import functions as fn
 from tessera.operators import binning, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
 from tessera.plans import fixtures as fx
 from tessera.plans import model
+from tessera import streaming
 from tessera.sources import arrays, stores
-from tessera.sources.tables import read, scratch
+from tessera.sources.tables import read, scratch, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -574,9 +575,9 @@ def o_best_head(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {LABELS}, links AS (SELECT i, j FROM pos UNION SELECT j, i FROM pos),
 reach(node, other) AS (SELECT DISTINCT i, i FROM links UNION SELECT node, j FROM reach JOIN links ON other = i),
 c AS (SELECT node, min(other) AS component FROM reach GROUP BY 1)
-SELECT node, component FROM c""")
+SELECT node, component FROM c QUALIFY count(*) OVER (PARTITION BY component) >= 3""")
 def x_components(spark: SparkSession, d: str) -> DataFrame:
-    return graph.components(_labels(spark, d)[0], "i", "j")
+    return graph.components(_labels(spark, d)[0], "i", "j", least=3)
 
 
 # Universes, indices and what is left out ----------------------------------------------------------
@@ -741,3 +742,62 @@ def s_binned_cache(spark: SparkSession, d: str) -> DataFrame:
     expr, path = fx.expression(spark, d), scratch(spark, "binned_cache")
     stores.load_or_build(expr, path)
     return stores.load_or_build(expr, path).select("sample", "feature", "bin")
+
+
+# Networks, batches, streams ------------------------------------------------------------------------
+
+
+@query(None)
+def x_communities(spark: SparkSession, d: str) -> DataFrame:
+    """Communities of the components of three nodes or more, by how many orders two parts share."""
+    pairs_ = pairs.comembership(pairs.keep_terms(fx.evidence(spark, d, 20.0), 4), 4).select(F.col("pa").alias("i"), F.col("pb").alias("j"), "shared")
+    large = graph.components(pairs_, "i", "j", least=3).select(F.col("node").alias("i"))
+    return graph.communities(pairs_.join(large, "i", "left_semi"), "i", "j", "shared")
+
+
+@query("""WITH RECURSIVE s AS (SELECT sample, n, row_number() OVER (ORDER BY n DESC, sample) - 1 AS place FROM (SELECT l_orderkey AS sample, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1)),
+b(batch, start, width) AS (SELECT 0::BIGINT, 0::BIGINT, n FROM s WHERE place = 0 UNION ALL
+  SELECT batch + 1, place, n FROM b JOIN s ON place = start + greatest(1, 512 // width)),
+e AS (SELECT *, coalesce(lead(start) OVER (ORDER BY start), (SELECT count(*) FROM s)) AS stop FROM b)
+SELECT sample, n, batch, width FROM s JOIN e ON place >= start AND place < stop""")
+def x_token_batches(spark: SparkSession, d: str) -> DataFrame:
+    lengths = fx.order_tokens(spark, d).groupBy("sample").agg(F.count("*").alias("n"))
+    return sampling.batches(lengths, 512)
+
+
+@query("""WITH RECURSIVE l AS (SELECT l_suppkey AS run, year(l_shipdate) * 4 + quarter(l_shipdate) AS epoch, round(avg(l_discount), 6) AS loss FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM l),
+f(run, n, best, loss, waited, last) AS (SELECT run, 1, epoch, loss, 0, epoch FROM o WHERE n = 1 UNION ALL
+  SELECT o.run, o.n, CASE WHEN o.loss < f.loss - 0.002::DOUBLE THEN epoch ELSE best END, CASE WHEN o.loss < f.loss - 0.002::DOUBLE THEN o.loss ELSE f.loss END,
+    CASE WHEN o.loss < f.loss - 0.002::DOUBLE THEN 0 ELSE waited + 1 END, epoch FROM f JOIN o ON o.run = f.run AND o.n = f.n + 1 WHERE waited < 4)
+SELECT run, best AS best_epoch, loss AS best_loss, last AS last_epoch, waited >= 4 AS stopped FROM f QUALIFY row_number() OVER (PARTITION BY run ORDER BY n DESC) = 1""")
+def a_best_epoch(spark: SparkSession, d: str) -> DataFrame:
+    """The quarter that early stopping keeps for each supplier, its mean discount as the loss."""
+    lines = read(spark, d, "lineitem")
+    epoch = F.year("l_shipdate") * 4 + F.quarter("l_shipdate")
+    losses = lines.groupBy(F.col("l_suppkey").alias("run"), epoch.alias("epoch")).agg(F.round(F.avg("l_discount"), 6).alias("loss"))
+    return metrics.best_epoch(losses, 0.002, 4)
+
+
+@query(f"WITH {ATT} SELECT i, j, count(*) AS cnt, round(avg(w), 6) AS mean FROM att GROUP BY 1, 2")
+def x_attention_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The attention map from a stream of samples, some a batch, whose sums are merged once each."""
+    tokens = fx.order_tokens(spark, d)
+    source, sums = scratch(spark, "stream"), streaming.PairSums(spark, scratch(spark, "pair_sums"))
+    tokens.repartition(4, "sample").write.parquet(source)  # a sample's tokens are in one file, and so in one batch
+    stream = spark.readStream.schema(tokens.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    query = sums.follow(stream, lambda rows: pairs.attention(rows, 10.0), scratch(spark, "stream_checkpoint"), availableNow=True)
+    query.awaitTermination()
+    return pairs.mean_map(sums.sums()).select("i", "j", "cnt", F.round("mean", 6).alias("mean"))
+
+
+@query(f"""WITH {SCORE}, dbs AS (SELECT 1 AS db, i, j, s, y FROM score UNION ALL SELECT 2, i, j, s, 1 - y FROM score WHERE j % 2 = 0),
+lab AS (SELECT * FROM dbs WHERE y IS NOT NULL), t AS (SELECT db, avg(y) AS top FROM (SELECT db, y FROM lab QUALIFY row_number() OVER (PARTITION BY db ORDER BY s DESC, i, j) <= 100) GROUP BY 1),
+b AS (SELECT db, count(*) AS pairs, avg(y) AS background FROM lab GROUP BY 1), r AS (SELECT db, pairs, round(background, 6) AS background, round(top, 6) AS top, round(top / background, 6) AS ratio FROM t JOIN b USING (db))
+SELECT *, round(avg(ratio) OVER (), 6) AS mean_ratio FROM r""")
+def w_topk_databases(spark: SparkSession, d: str) -> DataFrame:
+    """Top-100 enrichment by reference database, and its mean over them."""
+    scores = fx.scores(spark, d)
+    other = scores.where("j % 2 = 0").select(F.lit(2).alias("db"), "i", "j", "s", (1 - F.col("y")).alias("y"))
+    found = ranking.top_k_enrichment_by(scores.select(F.lit(1).alias("db"), "i", "j", "s", "y").unionByName(other), 100, "db")
+    return found.crossJoin(F.broadcast(found.agg(F.round(F.avg("ratio"), 6).alias("mean_ratio"))))  # one row
