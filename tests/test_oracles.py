@@ -1,7 +1,9 @@
 """Every query with SQL gives the rows that DuckDB gives on the same tables."""
 
 import glob
+import importlib
 import os
+import sys
 
 import duckdb
 import pytest
@@ -48,3 +50,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["sample", "feature", "bin"]
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_stands_without_the_training_data_queries(monkeypatch):
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # its import raises
+    with pytest.warns(UserWarning, match="left out"):
+        assert set(importlib.reload(__spark_entry__).queries()) == set(queries.QUERIES)
+    monkeypatch.undo()
+    importlib.reload(__spark_entry__)
