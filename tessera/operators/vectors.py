@@ -35,12 +35,3 @@ def pca(vectors: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     signs = [1.0 if loadings[abs(loadings[:, i]).argmax(), i] > 0 else -1.0 for i in range(k)]
     y = vector_to_array("y")
     return model.transform(centred).select(key, *[(y[i] * signs[i]).alias(f"pc{i + 1}") for i in range(k)])
-
-
-REDUCERS = {"pca": pca}
-
-
-def reduce_dimensions(vectors: DataFrame, key: str, vector: str, method: str = "pca", k: int = 2) -> DataFrame:
-    if method not in REDUCERS:
-        raise ValueError(f"unknown method {method!r}; known: {sorted(REDUCERS)}")
-    return REDUCERS[method](vectors, key, vector, k)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import functions as fn
-from tessera.operators import binning, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
+from tessera.operators import binning, embedding, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
 from tessera.plans import fixtures as fx
 from tessera.plans import model
 from tessera import streaming
@@ -169,7 +169,12 @@ def x_mean_pool(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def x_pca(spark: SparkSession, d: str) -> DataFrame:
-    return vectors.reduce_dimensions(read(spark, d, "embeddings"), "vec_id", "embedding", "pca", 2)
+    return embedding.reduce_dimensions(read(spark, d, "embeddings"), "vec_id", "embedding", "pca", 2)
+
+
+@query(None)
+def x_neighbour_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.reduce_dimensions(read(spark, d, "embeddings"), "vec_id", "embedding", "umap", 2)
 
 
 @query(f"WITH {ATT} SELECT sample, i, j, round(w, 6) AS w FROM att")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import functions as fn
-from tessera.operators import binning, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
+from tessera.operators import binning, embedding, graph, lookups, metrics, pairs, ranking, sampling, summaries, vectors
 from tessera.plans import model
 from tessera.sources.tables import written
 
@@ -181,7 +181,7 @@ def test_softmax_and_reducers(spark):
     w = vectors.softmax(spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 5.0)], "g string, x double"), ["g"], "x").orderBy("g").collect()
     assert [r.w for r in w] == [0.5, 0.5, 1.0]
     with pytest.raises(ValueError):
-        vectors.reduce_dimensions(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v", "umap")
+        embedding.reduce_dimensions(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v", "tsne")
 
 
 def test_model_masks_targets(spark):
