@@ -12,7 +12,7 @@ from tessera.operators import binning, embedding, graph, lookups, metrics, pairs
 from tessera.plans import fixtures as fx
 from tessera.plans import model
 from tessera import streaming
-from tessera.sources import arrays, stores
+from tessera.sources import arrays, parsers, stores
 from tessera.sources.tables import read, scratch, write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,10 +247,15 @@ def s_strip_suffix(spark: SparkSession, d: str) -> DataFrame:
     return names.select("key", fn.strip_suffix(F.col("key"), "#").alias("stem"))
 
 
-@query("SELECT text, layer::INT AS layer, head::INT AS head FROM (VALUES ('l1h3', 1, 3), ('L0H12', 0, 12), ('1,3', NULL, NULL), ('l1h3x', NULL, NULL)) AS t(text, layer, head)")
+@query(r"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'l' || p_size || 'h' || p_partkey % 9 WHEN 1 THEN 'L' || p_size || 'H' || p_partkey % 9 WHEN 2 THEN p_size || ',' || p_partkey ELSE 'l' || p_size || 'h' || p_brand END AS text FROM part)
+SELECT p_partkey AS key, text, CASE WHEN p_partkey % 4 < 2 THEN regexp_extract(lower(text), 'l(\d+)h', 1)::INT END AS layer, CASE WHEN p_partkey % 4 < 2 THEN regexp_extract(lower(text), 'h(\d+)', 1)::INT END AS head FROM t""")
 def s_parse_head(spark: SparkSession, d: str) -> DataFrame:
+    key, size, number = F.col("p_partkey"), F.col("p_size"), F.col("p_partkey") % 9
+    kind = key % 4
+    text = F.when(kind == 0, F.concat(F.lit("l"), size, F.lit("h"), number)).when(kind == 1, F.concat(F.lit("L"), size, F.lit("H"), number))
+    text = text.when(kind == 2, F.concat_ws(",", size, key)).otherwise(F.concat(F.lit("l"), size, F.lit("h"), "p_brand"))
     layer, head = fn.parse_head(F.col("text"))
-    return spark.createDataFrame([("l1h3",), ("L0H12",), ("1,3",), ("l1h3x",)], "text string").select("text", layer.alias("layer"), head.alias("head"))
+    return read(spark, d, "part").select(key.alias("key"), text.alias("text")).select("key", "text", layer.alias("layer"), head.alias("head"))
 
 
 @query("""SELECT p_partkey AS key, coalesce(nullif(CASE WHEN s_acctbal > 0 THEN s_name ELSE '' END, ''), p_name, '') AS symbol
@@ -261,9 +266,97 @@ def s_symbol_coalesce(spark: SparkSession, d: str) -> DataFrame:
     return named.select(F.col("p_partkey").alias("key"), fn.first_filled(symbol, F.col("p_name")).alias("symbol"))
 
 
-@query("SELECT * FROM (VALUES (0.4::DOUBLE, '0.4 MB'), (1023.0, '1023.0 MB'), (1024.0, '1.00 GB'), (38676.5, '37.77 GB')) AS t(mb, label)")
+@query("""WITH t AS (SELECT o_orderkey AS key, o_orderkey * 4.0::DOUBLE + 0.1::DOUBLE AS mb FROM orders)
+SELECT key, CASE WHEN mb >= 1024 THEN printf('%.2f GB', mb / 1024.0::DOUBLE) ELSE printf('%.1f MB', mb) END AS label FROM t""")
 def s_human_size(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(0.4,), (1023.0,), (1024.0,), (38676.5,)], "mb double").select("mb", fn.human_size(F.col("mb")).alias("label"))
+    mb = F.col("o_orderkey") * F.lit(4.0) + F.lit(0.1)
+    return read(spark, d, "orders").select(F.col("o_orderkey").alias("key"), fn.human_size(mb).alias("label"))
+
+
+# Text formats ----------------------------------------------------------------------------------
+
+
+def _as_text(lines: DataFrame, name: str) -> str:
+    """The path of ``lines`` (one string column) written as text files."""
+    path = scratch(lines.sparkSession, name)
+    lines.write.text(path)
+    return path
+
+
+def _gaf(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as annotations: an order's key is the term, the line's flag its evidence, every third line negated, every fifth too short."""
+    key, n = F.col("l_orderkey").cast("string"), F.col("l_linenumber")
+    negated = F.when(n % 3 == 0, F.when(n % 2 == 0, "NOT").otherwise("not|part_of")).otherwise("part_of")
+    fields = [F.lit("DB"), F.col("l_partkey").cast("string"), F.lit("S"), negated, key, F.lit("R"), F.col("l_returnflag"), *[F.lit("")] * 6, F.lit("20240101"), F.lit("DB")]
+    line = F.when(n % 5 == 0, F.concat_ws("\t", *fields[:14])).otherwise(F.concat_ws("\t", *fields))
+    lines = read(spark, d, "lineitem").select(line.alias("value")).union(read(spark, d, "region").select(F.concat(F.lit("!"), "r_name")))
+    return parsers.parse_gaf(spark.read.text(_as_text(lines, "gaf")))
+
+
+@query("""SELECT l_partkey::VARCHAR AS accession, l_orderkey::VARCHAR AS go_id, CASE WHEN l_linenumber % 3 <> 0 THEN 'part_of' WHEN l_linenumber % 2 = 0 THEN 'NOT' ELSE 'not|part_of' END AS qualifier,
+l_returnflag AS evidence, '' AS product_form FROM lineitem WHERE l_linenumber % 5 <> 0""")
+def f_gaf(spark: SparkSession, d: str) -> DataFrame:
+    return _gaf(spark, d).select("accession", "go_id", "qualifier", "evidence", "product_form")
+
+
+@query("""SELECT l_partkey::VARCHAR AS accession, l_orderkey::VARCHAR AS go_id FROM lineitem
+WHERE l_linenumber % 5 <> 0 AND l_linenumber % 3 <> 0 AND l_returnflag IN ('R', 'A')""")
+def f_gaf_kept(spark: SparkSession, d: str) -> DataFrame:
+    return parsers.drop_negated(parsers.keep_evidence(_gaf(spark, d), ["R", "A"])).select("accession", "go_id")
+
+
+@query("SELECT p_partkey::VARCHAR AS accession, p_brand AS pathway, p_name AS name FROM part WHERE p_type = 'ECONOMY'")
+def f_pathways(spark: SparkSession, d: str) -> DataFrame:
+    part = read(spark, d, "part")
+    full = F.concat_ws("\t", F.concat(F.lit(" "), F.col("p_partkey").cast("string")), "p_brand", F.lit("url"), F.concat("p_name", F.lit(" ")), F.lit("TAS"), "p_type")
+    lines = part.select(full.alias("value")).union(part.select(F.concat_ws("\t", "p_brand", "p_type")))
+    return parsers.parse_pathways(spark.read.text(_as_text(lines, "pathways")), "ECONOMY").select("accession", "pathway", "name")
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer WHERE c_custkey % 3 = 0")
+def f_two_columns(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("c_custkey")
+    odd = F.when(key % 3 == 1, F.concat_ws("\t", key, "c_name", "c_mktsegment")).otherwise(F.lit("  "))
+    lines = read(spark, d, "customer").select(F.when(key % 3 == 0, F.concat_ws("\t", key, "c_name")).otherwise(odd).alias("value"))
+    return parsers.parse_two_columns(spark.read.text(_as_text(lines, "columns")), "id", "name")
+
+
+@query("""SELECT p_partkey::VARCHAR AS accession, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS gene, length(replace(p_name || p_type, ' ', ''))::INT AS length, replace(p_name || p_type, ' ', '') AS sequence FROM part""")
+def f_fasta(spark: SparkSession, d: str) -> DataFrame:
+    gene = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" GN="), "p_brand", F.lit(" PE=1"))).otherwise(F.lit(" with > inside"))
+    record = F.concat(F.lit(">sp|"), F.col("p_partkey").cast("string"), F.lit("|X_H"), gene, F.lit("\n"), "p_name", F.lit("\n"), "p_type")
+    path = _as_text(read(spark, d, "part").select(record.alias("value")), "fasta")
+    return parsers.read_fasta(spark, path).select("accession", "gene", "length", "sequence")
+
+
+@query("SELECT o_orderkey AS k, o_orderpriority AS priority, o_totalprice AS price FROM orders")
+def f_separated_gzip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "separated")
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"))
+    rows.write.option("sep", "\t").option("header", True).option("compression", "gzip").csv(path)
+    return parsers.read_separated(spark, path, "k long, priority string, price double")
+
+
+@query("""SELECT 'ENSG0' || l_partkey AS gene, l_orderkey AS accession FROM lineitem GROUP BY 1, 2""")
+def j_crossrefs(spark: SparkSession, d: str) -> DataFrame:
+    named = F.concat(F.lit("ENSG0"), F.col("l_partkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string"))
+    texts = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(named), "; ").alias("refs"))
+    return parsers.gene_crossrefs(texts, "l_orderkey", "refs")
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey, l_suppkey, CASE WHEN l_partkey % 10 = 0 THEN 'CON__' ELSE '' END || l_partkey AS accession FROM lineitem)
+SELECT l_suppkey AS run, accession, count(*) AS n FROM p JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'F' AND NOT starts_with(accession, 'CON__') GROUP BY 1, 2""")
+def a_spectrum_counts(spark: SparkSession, d: str) -> DataFrame:
+    accession = F.concat(F.when(F.col("l_partkey") % 10 == 0, "CON__").otherwise(""), F.col("l_partkey").cast("string"))
+    lines = read(spark, d, "lineitem").join(read(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    psms = lines.groupBy("l_orderkey", F.col("l_suppkey").alias("run")).agg((F.first("o_orderstatus") == "F").alias("is_decoy"), F.collect_set(accession).alias("proteins"))
+    return parsers.spectrum_counts(psms)
+
+
+@query("""WITH t AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS feature FROM embeddings)
+SELECT vec_id AS sample, feature::BIGINT AS feature, v::DOUBLE AS v FROM t WHERE v > 0""")
+def f_dense_to_long(spark: SparkSession, d: str) -> DataFrame:
+    return parsers.dense_to_long(read(spark, d, "embeddings"), "vec_id", "embedding").withColumn("v", F.col("v").cast("double"))
 
 
 # Summaries -------------------------------------------------------------------------------------
