@@ -104,9 +104,30 @@ def label_tables(pos: DataFrame, uni: DataFrame) -> DataFrame:
     return uni.select(F.lit("universe").alias("kind"), "i", F.lit(None).cast("long").alias("j")).unionByName(pos.select(F.lit("positive").alias("kind"), "i", "j"))
 
 
-def decode_labels(coded: DataFrame) -> DataFrame:
-    """(i, j, label) of all pairs i <> j of the universe: quadratic in it by definition, for display of small ones."""
+def compact_labels(pos: DataFrame, uni: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(kind, i, j) from positives and the universe, without a pair that isn't positive.
+
+    Raises if an end of a positive lies outside the universe, or if one of the ``cells`` (i, j, label) given isn't what the
+    compact form says of it (null: unknown).  A positive given in both directions or twice is one.
+    """
+    ones = canonical_pairs(pos, "i", "j").select(F.col("a").alias("i"), F.col("b").alias("j"))
+    known = uni.where("i IS NOT NULL").select("i").distinct()
+    ends = ones.select(F.explode(F.array("i", "j")).alias("i"))
+    if not ends.join(known, "i", "left_anti").isEmpty():
+        raise ValueError("a positive lies outside the universe")
+    if cells is not None:
+        said = pair_label(cells.select("i", "j", F.col("label").alias("given")), ones, known)
+        if not said.where(~F.col("given").eqNullSafe(F.col("label"))).isEmpty():
+            raise ValueError("a cell has another label than the positives and the universe give it")
+    return label_tables(ones, known)
+
+
+def decode_labels(coded: DataFrame, most: int = 20_000) -> DataFrame:
+    """(i, j, label) of all pairs i <> j of the universe: quadratic in it by definition, so one of over ``most`` members is an error."""
     uni = coded.where("kind = 'universe'").select("i")
+    n = uni.count()
+    if n > most:
+        raise ValueError(f"a universe of {n} members is not decoded whole; label the pairs asked for with pair_label")
     pairs = uni.join(uni.select(F.col("i").alias("j")), F.col("i") != F.col("j"))
     return pair_label(pairs, coded.where("kind = 'positive'").select("i", "j"), uni).select("i", "j", "label")
 

@@ -595,7 +595,7 @@ def a_gt_label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LABELS} SELECT 'universe' AS kind, i, NULL::BIGINT AS j FROM uni UNION ALL SELECT 'positive', i, j FROM pos")
 def x_gt_encode(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.encode_labels(x_gt_decode(spark, d))
+    return pairs.compact_labels(*_labels(spark, d))
 
 
 @query(f"""WITH {LABELS} SELECT a.i, b.i AS j, CASE WHEN pos.i IS NULL THEN 0 ELSE 1 END AS label

@@ -115,6 +115,27 @@ def test_bad_labels_raise(spark, cells):
         pairs.encode_labels(spark.createDataFrame(cells, "i long, j long, label int"))
 
 
+def test_compact_labels(spark):
+    pos = spark.createDataFrame([(1, 2), (2, 1), (4, 3), (None, 1)], "i long, j long")
+    uni = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (None,)], "i long")
+    cells = [(1, 2, 1), (2, 1, 1), (3, 4, 1), (1, 3, 0), (1, 1, None), (1, 9, None), (None, 1, None)]
+
+    def coded(rows):
+        return pairs.compact_labels(pos, uni, spark.createDataFrame(rows, "i long, j long, label int"))
+
+    found = sorted((r.kind, r.i, r.j) for r in coded(cells).collect() if r.kind == "positive")
+    assert found == [("positive", 1, 2), ("positive", 3, 4)]
+    assert coded(cells).where("kind = 'universe'").count() == 4
+    for wrong in ((1, 3, 1), (3, 4, 0), (3, 4, None), (1, 9, 0)):
+        with pytest.raises(ValueError, match="another label"):
+            coded([*cells, wrong])
+    with pytest.raises(ValueError, match="outside"):
+        pairs.compact_labels(pos, uni.where("i < 4"))
+    with pytest.raises(ValueError, match="decoded whole"):
+        pairs.decode_labels(coded(cells), most=3)
+
+
+
 def scored(spark):
     s = {(0, 1): 0.9, (1, 3): 0.8, (0, 2): 0.5, (2, 3): 0.3, (1, 2): 0.2, (0, 3): 0.1}
     table = spark.createDataFrame([(a, b, x) for (i, j), x in s.items() for a, b in ((i, j), (j, i))], "i long, j long, s double")
