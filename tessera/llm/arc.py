@@ -6,6 +6,7 @@ version 2 adds result code, checksum, location, offset and file name.  Each reco
 a body of exactly the declared length, and a newline.  The converter synthesises what WARC needs:
 record id, date, type, block and payload digests.  Of records with equal payloads that with the
 smallest id is a ``response``; the others are ``revisit`` records that refer to it and hold no payload.
+Every file begins with a ``warcinfo`` record, which the file's other records name.
 
 Scale: one pass makes and reads the ARC archives and writes their records as a table; digests alone are
 read from it to find equal payloads (a map-side minimum), and payloads move once, in a sort-merge
@@ -20,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import time
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import arrow_map, prepare, write_table
-from tessera.sources.tables import shared_dir
+from tessera.sources.tables import scratch
 
 #: Bytes of the records of one WARC file, but for its last; bytes of a file that are unpacked at a time.
 PART_BYTES, PIECE = 64 << 20, 1 << 20
@@ -38,7 +40,10 @@ PART_BYTES, PIECE = 64 << 20, 1 << 20
 LEAST_REVISIT = 0
 V1 = "URL IP-address Archive-date Content-type Archive-length"
 V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
+#: What a header line says where the table knows no date and no address.
 _DATE, _IP = "19700101000000", "0.0.0.0"
+#: A date of a header line: a year, then pairs of digits down to the second, as far as they are known.
+DATE_PATTERN = r"^\d{4}(\d\d){0,5}$"
 _END = b"\r\n\r\n"
 
 
@@ -50,15 +55,18 @@ class ArcRecord(NamedTuple):
     result_code: str | None
 
 
-def write_arc(records: list[tuple[str, bytes]], version: int = 1, name: str = "pages.arc", date: str = _DATE) -> bytes:
-    """An ARC file of (url, body); white space and controls in a url are percent-encoded, an empty url is ``-``."""
+def write_arc(records: list[tuple[str, bytes]], version: int = 1, name: str = "pages.arc", date: str = _DATE, dates: list[str] | None = None) -> bytes:
+    """An ARC file of (url, body); white space and controls in a url are percent-encoded, an empty url is ``-``.
+
+    ``dates`` are those of the records; without them all have that of the file.
+    """
     fields = V1 if version == 1 else V2
     about = f"{version} 0 tessera\n{fields}\n".encode()
     head = f"filedesc://{name} {_IP} {date} text/plain" + (" 200 - - 0 " + name if version == 2 else "")
     out = [f"{head} {len(about)}\n".encode(), about, b"\n"]
     offset = sum(map(len, out))
-    for url, body in records:
-        line = f"{encode_url(url)} {_IP} {date} text/html"
+    for (url, body), at in zip(records, dates or [date] * len(records)):
+        line = f"{encode_url(url)} {_IP} {at} text/html"
         if version == 2:
             checksum = base64.b32encode(hashlib.sha1(body).digest()).decode()
             line += f" 200 {checksum} - {offset} {name}"
@@ -115,15 +123,17 @@ def record_id(key: object, url: str, payload_digest: str) -> str:
 
 
 def warc_date(date: str) -> str:
-    d = date.ljust(14, "0")
+    d = date + _DATE[len(date) :]
     return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
-def write_warc(key: int | None, url: str, date: str, content_type: str, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
-    """A WARC record without the two line ends that close it."""
+def write_warc(key: int | None, url: str, date: str, content_type: str, payload: bytes, payload_digest: str, refers_to: int | None, info: str | None = None) -> bytes:
+    """A WARC record without the two line ends that close it; ``info`` is the id of its file's first record."""
     block = b"" if refers_to is not None else payload
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(key, url, payload_digest)}", f"WARC-Date: {warc_date(date)}"]
     lines += [f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{payload_digest}", f"WARC-Block-Digest: sha1:{digest(block)}", f"X-Payload-Length: {len(payload)}"]
+    if info is not None:
+        lines.append(f"WARC-Warcinfo-ID: {info}")
     if key is not None:
         lines.append(f"X-Page-Id: {key}")
     if refers_to is not None:
@@ -132,6 +142,14 @@ def write_warc(key: int | None, url: str, date: str, content_type: str, payload:
     return "\r\n".join(lines).encode() + _END + block
 
 
+def write_warcinfo(info: str, date: str) -> bytes:
+    """The record that heads a file, without the two line ends that close it."""
+    block = b"software: tessera\r\nformat: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {info}", f"WARC-Date: {warc_date(date)}", f"WARC-Block-Digest: sha1:{digest(block)}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + _END + block
+
+
 def read_warc(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers in lower case, block) of each record of a file that comes in pieces, by declared lengths; verifies the block digest."""
     held, done = bytearray(), False
@@ -177,16 +195,18 @@ def unpacked(content: bytes) -> Iterator[bytes]:
         content = unzip.unused_data
 
 
-def arc_records(pages: DataFrame, key_col: str, url_col: str, payload_col: str) -> DataFrame:
+def arc_records(pages: DataFrame, key_col: str, url_col: str, payload_col: str, date_col: str | None = None) -> DataFrame:
     """(key, url, date, type, payload, digest) of each page, by way of ARC archives of both versions, written once."""
-    kept = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
+    date = F.col(date_col).cast("string") if date_col else F.lit(None).cast("string")
+    date = F.when(date.rlike(DATE_PATTERN), date).otherwise(_DATE)
+    kept = pages.select(F.col(key_col).cast("long").alias("key"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), date.alias("date"))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         turn = [0]
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             turn[0] += 1
-            archive = write_arc(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())), 1 + turn[0] % 2)
+            archive = write_arc(list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())), 1 + turn[0] % 2, dates=batch.column(3).to_pylist())
             records = list(read_arc(archive))
             columns = [batch.column(0), pa.array([r.url for r in records]), pa.array([r.date for r in records]), pa.array([r.content_type for r in records])]
             columns += [pa.array([r.body for r in records], pa.binary()), pa.array([digest(r.body) for r in records])]
@@ -197,14 +217,17 @@ def arc_records(pages: DataFrame, key_col: str, url_col: str, payload_col: str)
     return write_table(arrow_map(kept, "key long, url string, date string, type string, payload binary, digest string", start), "arc", compression="zstd")
 
 
-def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """(file, key, digest, refers_to, record): the WARC record of each page, and the number of its file among those of its task.
+def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_revisit: int = LEAST_REVISIT, date_col: str | None = None) -> DataFrame:
+    """(file, place, key, digest, refers_to, record): the WARC records, the number of a record's file among those of its task, and its place there.
 
+    Besides a record a page there is one a file, its first, which has neither key nor digest.  ``date_col``
+    holds dates as header lines do (4 to 14 digits); without it, or where it holds something else, a page is of 1970.
     A null payload is empty; a null url is written as ``-``.  A page without a key revisits the smallest
     key of equal payload, and is a response where there is none.  Rows that repeat a key are records of
     their own; a key refers to another only if that is smaller.
     """
-    arc = arc_records(pages, key_col, url_col, payload_col)
+    arc = arc_records(pages, key_col, url_col, payload_col, date_col)
+    now = time.strftime("%Y%m%d%H%M%S", time.gmtime())
     # Digests alone are compared; payloads move once, to meet what they refer to.
     sums = arc.select("key", "digest", F.length("payload").alias("n")).where(F.col("n") >= least_revisit) if least_revisit else arc.select("key", "digest")
     first = write_table(sums.groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first"), "first")
@@ -212,29 +235,37 @@ def convert(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
     joined = arc.join(first, "digest", "left").select("key", "url", "date", "type", "payload", "digest", refers.alias("refers_to"))
 
     def start() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        written = [0]
+        state = {"bytes": 0, "file": -1, "place": 0, "info": ""}
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            rows = [write_warc(*x) for x in zip(*(c.to_pylist() for c in batch.columns))]
-            files = []
-            for row in rows:
-                files.append(written[0] // PART_BYTES)
-                written[0] += len(row)
-            yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), batch.column(0), batch.column(5), batch.column(6), pa.array(rows, pa.binary())], ["file", "key", "digest", "refers_to", "record"])
+            rows = []
+            for key, url, date, kind, payload, payload_digest, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                file = state["bytes"] // PART_BYTES
+                if file != state["file"]:
+                    state.update(file=file, place=0, info=record_id(None, url, f"file:{key}:{payload_digest}"))
+                    rows.append((file, 0, None, None, None, write_warcinfo(state["info"], now)))
+                state["place"] += 1
+                record = write_warc(key, url, date, kind, payload, payload_digest, refers_to, state["info"])
+                state["bytes"] += len(record)
+                rows.append((file, state["place"], key, payload_digest, refers_to, record))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
         return step
 
-    return arrow_map(joined, "file int, key long, digest string, refers_to long, record binary", start)
+    names = ["file", "place", "key", "digest", "refers_to", "record"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    return arrow_map(joined, "file int, place long, key long, digest string, refers_to long, record binary", start)
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write the records of ``convert`` as gzipped WARC files."""
-    text = records.select("file", F.col("record").cast("string").alias("value"))
+    """Write the records of ``convert`` as gzipped WARC files, in their order."""
+    text = records.select("file", "place", F.col("record").cast("string").alias("value")).sortWithinPartitions("file", "place").select("file", "value")
     text.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").partitionBy("file").text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(key, payload_bytes, digest, type, refers_to, url, record_id, date, payload) of the records under ``path``."""
+    """(key, payload_bytes, digest, type, refers_to, url, record_id, date, payload) of the pages' records under ``path``."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("content")
     names = ["key", "payload_bytes", "digest", "type", "refers_to", "url", "record_id", "date", "payload"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
@@ -246,6 +277,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for content in batch.column(0):
             rows, size = [], 0
             for head, block in read_warc(unpacked(content.as_py())):
+                if head["warc-type"] == "warcinfo":
+                    continue
                 key, refers = head.get("x-page-id"), head.get("x-refers-to-page")
                 rows.append((int(key) if key else None, int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha1:"), head["warc-type"], int(refers) if refers else None, head["warc-target-uri"], head["warc-record-id"], head["warc-date"], block))
                 size += len(block)
@@ -258,9 +291,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return arrow_map(files, "key long, payload_bytes long, digest string, type string, refers_to long, url string, record_id string, date string, payload binary", lambda: step)
 
 
-def archive(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None, least_revisit: int = LEAST_REVISIT) -> DataFrame:
-    """Convert ``pages``, write the WARC files to ``path`` (by default in the shared folder), and read them back."""
+def archive(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", path: str | None = None, least_revisit: int = LEAST_REVISIT, date_col: str | None = None) -> DataFrame:
+    """Convert ``pages``, write the WARC files to ``path`` (by default in the shared folder, among the tables that can be dropped), and read them back."""
     spark = prepare(pages.sparkSession)
-    path = path or f"{shared_dir(spark)}/tessera/warc-{uuid.uuid4().hex}"
-    write_archives(convert(pages, key_col, url_col, payload_col, least_revisit), path)
+    path = path or scratch(spark, "warc")
+    write_archives(convert(pages, key_col, url_col, payload_col, least_revisit, date_col), path)
     return read_archives(spark, path)

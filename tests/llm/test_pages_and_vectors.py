@@ -194,3 +194,32 @@ def test_query_recall_on_a_larger_fixture(spark):
     assert len(found) == n and hits / n >= 0.9
     verified = {r.query_id: r.verified for r in found}
     assert sum(verified.values()) / (len(verified) * len(rows)) < 0.2
+
+
+def test_files_begin_with_their_own_record_and_dates_are_kept(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(arc, "PART_BYTES", 2_000)
+    dates = ["20210304050607", "2019", None, "no date", "202012"]
+    pages = spark.createDataFrame([(i, f"http://x.org/{i}", f"page {i} " * 40, dates[i % 5]) for i in range(60)], "page_id long, url string, html string, fetched string")
+    found = arc.archive(pages.repartition(2), path=f"file://{tmp_path}/warc", date_col="fetched").collect()
+    at = ["2021-03-04T05:06:07Z", "2019-01-01T00:00:00Z", "1970-01-01T00:00:00Z", "1970-01-01T00:00:00Z", "2020-12-01T00:00:00Z"]
+    assert sorted((r.key, r.date) for r in found) == [(i, at[i % 5]) for i in range(60)]
+    files = sorted(tmp_path.glob("warc/**/part-*"))
+    assert len(files) > 4
+    infos = set()
+    for file in files:
+        heads = [h for h, _ in arc.read_warc(arc.unpacked(file.read_bytes()))]
+        assert [h["warc-type"] for h in heads].count("warcinfo") == 1 and heads[0]["warc-type"] == "warcinfo"
+        assert {h["warc-warcinfo-id"] for h in heads[1:]} == {heads[0]["warc-record-id"]}
+        infos.add(heads[0]["warc-record-id"])
+    assert len(infos) == len(files)
+
+
+def test_archives_of_the_shared_folder_are_dropped_with_the_tables(spark):
+    from tessera.sources.tables import drop_tables, written
+
+    before = len(written(spark))
+    assert arc.archive(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).count() == 1
+    mine = written(spark)[before:]
+    assert any("/warc-" in path for path in mine)
+    drop_tables(spark, mine)
+    assert len(written(spark)) == before
