@@ -27,6 +27,14 @@ PUSHES = 5
 CLIP = 4.0
 #: The step size of the first epoch; it falls to 0 in a straight line.
 STEP = 0.5
+#: Nodes that one task of the stochastic embedding compares with one another; cells that stand for the nodes of other tasks, at most.
+BLOCK, CELLS = 2048, 1024
+#: The cells reach this many standard deviations to both sides of the mean; the outermost hold what lies beyond.
+REACH = 2.5
+#: Units of a place in the sums of a cell, and of a node's share in the sum over all pairs: sums of whole numbers don't hang on their order.
+PLACE_UNITS, SHARE_UNITS = 1e6, 1e9
+#: By how much attraction is exaggerated in the first epochs, which share of all epochs they are, and the momentum then and later.
+EXAGGERATION, EARLY, MOMENTUM = 12.0, 0.4, (0.5, 0.8)
 
 
 def curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
@@ -229,7 +237,6 @@ def neighbour_embedding(
     aren't of the most frequent size have null places.  Equal inputs give equal places in any partitioning.
     """
     ship(vectors.sparkSession)
-    value = f"v_{uuid4().hex}"
     points, n, size = numbered(vectors, key, vector, leaf, seed)
     if n > k and size >= k:
         near = min(neighbours, n - 1)
@@ -241,16 +248,165 @@ def neighbour_embedding(
         state = layout(fuzzy_weights(graph, near), write_table(start, "layout"), n, min_dist, rounds, epochs, seed=seed)
     else:
         state = points.select("node", F.array(*[F.col("node").cast("double")] * k).alias("at"))
+    return _placed(vectors, key, vector, size, points, state, k)
+
+
+def _placed(vectors: DataFrame, key: str, vector: str, size: int, points: DataFrame, state: DataFrame, k: int) -> DataFrame:
+    """(key, e1..ek): every row of ``vectors`` with the place of its point, null where it has none."""
+    value = f"v_{uuid4().hex}"
     placed = points.join(state, "node").select(F.col("v").alias(value), "at")
     asked = vectors.select(F.col(f"`{key}`"), F.when(_usable(vector, size), F.transform(vector, lambda x: x.cast("double"))).alias(value))
     return asked.join(placed, value, "left").select(f"`{key}`", *[F.col("at")[i].alias(f"e{i + 1}") for i in range(k)])
 
 
-REDUCERS = {"pca": pca, "umap": neighbour_embedding}
+def affinities(graph: DataFrame, n: int, perplexity: float) -> DataFrame:
+    """(i, j, w), both directions: the joint probabilities of ``n`` points, over each one's neighbours in ``graph``; they sum to 1.
+
+    From a node, probabilities fall with the squared distance at the rate that gives them the entropy of
+    ``perplexity`` equal ones; the two directions of a pair are averaged.
+    """
+
+    @F.pandas_udf("array<double>")
+    def shares(distances: pd.Series) -> pd.Series:
+        if distances.empty:
+            return pd.Series([], dtype=object)
+        width = np.array([len(d) for d in distances])
+        there = np.arange(max(1, width.max())) < width[:, None]
+        d = np.zeros(there.shape)
+        d[there] = np.concatenate(distances.to_list())
+        square = np.where(there, d * d - d[:, :1] ** 2, 0.0)
+        square /= np.maximum(square.sum(1) / np.maximum(width, 1), 1e-300)[:, None]
+        low, high, rate = np.zeros(len(d)), np.full(len(d), np.inf), np.ones(len(d))
+        for _ in range(64):
+            e = np.exp(-rate[:, None] * square) * there
+            total = np.maximum(e.sum(1), 1e-300)
+            flat = np.log(total) + rate * (e * square).sum(1) / total > np.log(perplexity)
+            low, high = np.where(flat, rate, low), np.where(flat, high, rate)
+            rate = np.clip(np.where(np.isinf(high), low * 2, (low + high) / 2), 1e-12, 1e12)
+        e = np.exp(-rate[:, None] * square) * there
+        e /= np.maximum(e.sum(1), 1e-300)[:, None]
+        return pd.Series([r[:m] for r, m in zip(e, width)])
+
+    one = graph.where(F.size("j") > 0).select("node", F.explode(F.arrays_zip("j", shares("d").alias("w"))).alias("x")).select("node", F.col("x.j").alias("j"), F.col("x.w").alias("w"))
+    pair = one.groupBy(F.least("node", "j").alias("i"), F.greatest("node", "j").alias("j")).agg((F.sum("w") / (2.0 * n)).alias("w"))
+    return pair.unionByName(pair.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+
+
+def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds: int = 50, epochs: int = 10, most: int = 512, seed: int = 42) -> DataFrame:
+    """(node, at): places whose Student-t similarities come near the probabilities ``links`` (i, j, w), by descent on their divergence.
+
+    A round deals nodes into parts of ``BLOCK`` by number (every other round shifted by half a part).  A task moves one part for ``epochs``
+    epochs: its nodes repel one another exactly, those of other parts by the counts and means of at most ``CELLS`` cells of the layout, which
+    are the only thing that goes through the driver; a part's own nodes are taken out of them first.  The sum over all pairs follows
+    the part's share of it.  Up to ``BLOCK`` nodes are one part, and the descent is exact.  Of a node with more than
+    ``most`` links about that many, chosen anew by hash in every round and weighted up, pull, so that no task holds a hub's links.
+    """
+    total = rounds * epochs
+    if n <= BLOCK:
+        rounds, epochs = 1, total
+    rate = max(n / EXAGGERATION / 4, 50.0)
+    share = links.groupBy("i").agg(F.least(F.lit(1.0), F.lit(float(most)) / F.count("*")).alias("share"))
+    pulls = write_table(links.join(share, "i"), "pulls")
+    zeros = F.array(*[F.lit(0.0)] * k)
+    state = start.select("node", "at", zeros.alias("speed"), F.transform(zeros, lambda x: x + 1.0).alias("gain"), F.lit(float(n - 1)).alias("z"))
+    side = int(round(CELLS ** (1 / k) - 0.5 + 1e-9))
+    for turn in range(rounds):
+        low, wide, cells = np.zeros(k), np.ones(k), {}
+        all_pairs = float(n) * (n - 1)
+        if rounds > 1:
+            z = F.sum(F.rint(F.col("z") / n * SHARE_UNITS).cast("long")).alias("z")
+            bounds = state.agg(z, *[F.round(f(F.col("at")[d]), 9).alias(f"{m}{d}") for d in range(k) for m, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+            all_pairs = bounds.z / SHARE_UNITS * n
+            wide = np.array([max(2 * REACH * bounds[f"std{d}"], 1e-9) / side for d in range(k)])
+            low = np.array([bounds[f"mean{d}"] for d in range(k)]) - wide * side / 2
+            cell = [F.greatest(F.lit(0), F.least(F.floor((F.col("at")[d] - F.lit(float(low[d]))) / F.lit(float(wide[d]))), F.lit(side - 1))) for d in range(k)]
+            sums = [F.sum(F.rint(F.col("at")[d] * PLACE_UNITS).cast("long")).alias(f"s{d}") for d in range(k)]
+            cells = {tuple(r[:k]): np.array(r[k:]) for r in state.groupBy(*[c.alias(f"c{d}") for d, c in enumerate(cell)]).agg(F.count("*").alias("n"), *sums).collect()}
+        part = F.floor((F.col("node") + (turn % 2) * (BLOCK // 2)) / BLOCK)
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "i", "j"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+        ends = pulls.where(drawn).join(state.select(F.col("node").alias("j"), F.col("at").alias("end")), "j").select(F.col("i").alias("node"), "j", (F.col("w") / F.col("share")).alias("w"), "end")
+
+        def others(at: np.ndarray, *, low=low, wide=wide, cells=cells) -> tuple[np.ndarray, np.ndarray]:
+            """(count, mean) of the cells without the nodes at ``at``."""
+            if not cells:
+                return np.zeros(0), np.zeros((0, k))
+            at_cell = np.clip(np.floor((at - low) / wide), 0, side - 1).astype(np.int64)
+            own = np.column_stack([np.ones(len(at), np.int64), np.rint(at * PLACE_UNITS).astype(np.int64)])
+            rest = {c: sums.copy() for c, sums in cells.items()}
+            for c, mine in zip(map(tuple, at_cell.tolist()), own):
+                rest[c] -= mine
+            left = np.array([v for _, v in sorted(rest.items()) if v[0] > 0]).reshape(-1, k + 1)
+            return left[:, 0].astype(float), left[:, 1:] / left[:, :1] / PLACE_UNITS
+
+        def move(own: pd.DataFrame, ends: pd.DataFrame, *, turn=turn, all_pairs=all_pairs, others=others) -> pd.DataFrame:
+            if own.empty:
+                return pd.DataFrame({c: [] for c in ("node", "at", "speed", "gain", "z")})
+            own, ends = own.sort_values("node"), ends.sort_values(["node", "j"])
+            node, z = own["node"].to_numpy(), own["z"].to_numpy()
+            at, speed, gain = (np.stack(own[c].to_list()).astype(float) for c in ("at", "speed", "gain"))
+            count, mean = others(at)
+            scale = all_pairs / max(z.sum(), 1e-300)
+            i, j, w = np.searchsorted(node, ends["node"].to_numpy()), ends["j"].to_numpy(), ends["w"].to_numpy()
+            slot = np.minimum(np.searchsorted(node, j), len(node) - 1)
+            inside = node[slot] == j
+            other = np.stack(ends["end"].to_list()).astype(float) if len(ends) else np.zeros((0, k))
+            for epoch in range(turn * epochs, (turn + 1) * epochs):
+                early = epoch < EARLY * total
+                other[inside] = at[slot[inside]]
+                gap = at[i] - other
+                force = gap * (w / (1 + (gap * gap).sum(1)))[:, None]
+                pull = np.stack([np.bincount(i, f, len(node)) for f in force.T], axis=1)
+                norms = (at * at).sum(1)
+                near = 1 / (1 + np.maximum(norms[:, None] + norms - 2 * at @ at.T, 0))
+                np.fill_diagonal(near, 0)
+                z = near.sum(1)
+                near *= near
+                push = at * near.sum(1)[:, None] - near @ at
+                if len(count):
+                    far = 1 / (1 + np.maximum(norms[:, None] + (mean * mean).sum(1) - 2 * at @ mean.T, 0))
+                    z += far @ count
+                    far *= far * count
+                    push += at * far.sum(1)[:, None] - far @ mean
+                slope = 4 * ((EXAGGERATION if early else 1) * pull - push / max(z.sum() * scale, 1e-300))
+                gain = np.maximum(np.where(slope * speed < 0, gain + 0.2, gain * 0.8), 0.01)
+                speed = np.clip(MOMENTUM[not early] * speed - rate * gain * slope, -CLIP, CLIP)
+                at += speed
+            return pd.DataFrame({"node": node, "at": list(at), "speed": list(speed), "gain": list(gain), "z": z})
+
+        moved = state.groupBy(part.alias("part")).cogroup(ends.groupBy(part.alias("part"))).applyInPandas(move, "node long, at array<double>, speed array<double>, gain array<double>, z double")
+        state = write_table(moved, "layout")
+    return state.select("node", "at")
+
+
+def stochastic_embedding(
+    vectors: DataFrame, key: str, vector: str, k: int = 2, perplexity: float = 30.0, seed: int = 42, rounds: int = 50, epochs: int = 10, leaf: int = LEAF
+) -> DataFrame:
+    """(key, e1..ek): t-distributed stochastic neighbour embedding over three times ``perplexity`` neighbours, started from principal components.
+
+    Rows, copies and unusable vectors are dealt with as in ``neighbour_embedding``.  The perplexity is at most a third of the number of
+    other points.  Equal inputs give equal places in any partitioning.
+    """
+    ship(vectors.sparkSession)
+    points, n, size = numbered(vectors, key, vector, leaf, seed)
+    if n > k and size >= k:
+        near = min(int(3 * perplexity), n - 1)
+        graph = write_table(neighbour_graph(points, n, size, near, leaf=leaf, seed=seed), "graph")
+        first = pca(points, "node", "v", k)
+        spread = first.agg(F.stddev_pop("pc1").alias("s")).first().s
+        # Points of equal components start a little apart.
+        apart = [F.pmod(F.xxhash64(F.lit(seed), F.lit(d), "node"), F.lit(1001)) / 1001 * 1e-6 for d in range(k)]
+        start = first.select("node", F.array(*[F.round(F.col(f"pc{d + 1}") * (1e-4 / max(spread, 1e-9)), 9) + apart[d] for d in range(k)]).alias("at"))
+        state = stochastic_layout(affinities(graph, n, max(1.0, min(perplexity, near / 3))), write_table(start, "layout"), n, k, rounds, epochs, seed=seed)
+    else:
+        state = points.select("node", F.array(*[F.col("node").cast("double")] * k).alias("at"))
+    return _placed(vectors, key, vector, size, points, state, k)
+
+
+REDUCERS = {"pca": pca, "tsne": stochastic_embedding, "umap": neighbour_embedding}
 
 
 def reduce_dimensions(vectors: DataFrame, key: str, vector: str, method: str = "umap", k: int = 2, **kwargs) -> DataFrame:
-    """``vectors`` in ``k`` dimensions by ``method`` (any case): ``pca``, or ``umap``, which takes the options of ``neighbour_embedding``."""
+    """``vectors`` in ``k`` dimensions by ``method`` (any case): ``pca``, or ``tsne`` or ``umap``, which take the options of ``stochastic_embedding`` and ``neighbour_embedding``."""
     if method.lower() not in REDUCERS:
         raise ValueError(f"unknown method {method!r}; known: {sorted(REDUCERS)}")
     return REDUCERS[method.lower()](vectors, key, vector, k, **kwargs)

@@ -177,6 +177,11 @@ def x_neighbour_embedding(spark: SparkSession, d: str) -> DataFrame:
     return embedding.reduce_dimensions(read(spark, d, "embeddings"), "vec_id", "embedding", "umap", 2)
 
 
+@query(None)
+def x_stochastic_embedding(spark: SparkSession, d: str) -> DataFrame:
+    return embedding.reduce_dimensions(read(spark, d, "embeddings"), "vec_id", "embedding", "tsne", 2)
+
+
 @query(f"WITH {ATT} SELECT sample, i, j, round(w, 6) AS w FROM att")
 def w_softmax(spark: SparkSession, d: str) -> DataFrame:
     return fx.attention(spark, d).withColumn("w", F.round("w", 6))

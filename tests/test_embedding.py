@@ -109,3 +109,104 @@ def test_layout_of_the_fixture_and_its_components(spark):
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     np.testing.assert_allclose(np.abs(of["PCA"]), np.abs(centred @ axes[:2].T), atol=1e-6)
     assert trustworthiness(x, of["umap"], 15) > 0.58
+
+
+def joint(d, perplexity):
+    """The joint probabilities of all pairs from a matrix of distances, a row at a time by halving."""
+    n = len(d)
+    p = np.zeros((n, n))
+    for i in range(n):
+        others = np.arange(n) != i
+        low, high = 0.0, 1e6
+        for _ in range(200):
+            rate = (low + high) / 2
+            e = np.exp(-rate * (d[i, others] ** 2 - (d[i, others] ** 2).min()))
+            e /= e.sum()
+            low, high = (rate, high) if -(e * np.log(np.maximum(e, 1e-300))).sum() > np.log(perplexity) else (low, rate)
+        p[i, others] = e
+    return (p + p.T) / (2 * n)
+
+
+def divergence(p, y):
+    q = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
+    np.fill_diagonal(q, 0)
+    q /= q.sum()
+    some = p > 0
+    return (p[some] * np.log(p[some] / np.maximum(q[some], 1e-300))).sum()
+
+
+def links_of(spark, p):
+    i, j = np.nonzero(p)
+    return spark.createDataFrame([(int(a), int(b), float(p[a, b])) for a, b in zip(i, j)], "i long, j long, w double")
+
+
+def test_affinities_equal_brute_force_over_all_points(spark):
+    x = np.random.default_rng(5).normal(size=(40, 6)) + 3 * (np.arange(40) % 2)[:, None]
+    points, n, size = embedding.numbered(table(spark, x), "id", "v")
+    v = np.array([r.v for r in points.orderBy("node").collect()])
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    found = np.zeros((n, n))
+    for r in embedding.affinities(embedding.neighbour_graph(points, n, size, n - 1), n, 8).collect():
+        found[r.i, r.j] = r.w
+    np.testing.assert_allclose(found, joint(d, 8), atol=1e-9)
+    assert found.sum() == pytest.approx(1)
+    # Equal distances share alike, whatever the perplexity; a node without neighbours has no part.
+    same = spark.createDataFrame([(0, [1, 2], [0.0, 0.0]), (1, [0, 2], [2.0, 2.0]), (2, [], [])], "node long, j array<long>, d array<double>")
+    assert {(r.i, r.j): r.w for r in embedding.affinities(same, 3, 1.0).collect() if r.i < r.j} == pytest.approx({(0, 1): 1 / 6, (0, 2): 1 / 12, (1, 2): 1 / 12})
+
+
+def test_descent_equals_its_formula(spark):
+    """Epochs of one part against the gradient of the divergence taken by differences."""
+    draw = np.random.default_rng(8)
+    y, d = draw.normal(size=(30, 2)), np.abs(draw.normal(size=(30, 30))) + 0.1
+    p = joint((d + d.T) / 2, 5)
+    start = spark.createDataFrame([(i, [float(a) for a in r]) for i, r in enumerate(y)], "node long, at array<double>")
+    moved = np.array([r["at"] for r in embedding.stochastic_layout(links_of(spark, p), start, 30, 2, rounds=1, epochs=3).orderBy("node").collect()])
+    speed, gain, at = np.zeros_like(y), np.ones_like(y), y.copy()
+    for epoch in range(3):
+        early = epoch < embedding.EARLY * 3
+        q = 1 / (1 + ((at[:, None] - at[None]) ** 2).sum(-1))
+        np.fill_diagonal(q, 0)
+        slope = 4 * (((p * (12 if early else 1) - q / q.sum()) * q)[:, :, None] * (at[:, None] - at[None])).sum(1)
+        if not early:
+            by_difference = np.zeros_like(at)
+            for i, c in [(0, 0), (7, 1), (29, 0)]:
+                up, down = at.copy(), at.copy()
+                up[i, c] += 1e-5
+                down[i, c] -= 1e-5
+                by_difference[i, c] = (divergence(p, up) - divergence(p, down)) / 2e-5
+                assert slope[i, c] == pytest.approx(by_difference[i, c], rel=1e-4, abs=1e-8)
+        gain = np.maximum(np.where(slope * speed < 0, gain + 0.2, gain * 0.8), 0.01)
+        speed = np.clip((0.5 if early else 0.8) * speed - 50 * gain * slope, -4, 4)
+        at += speed
+    np.testing.assert_allclose(moved, at, atol=1e-9)
+
+
+def test_stochastic_clusters_stay_apart_in_any_partitioning_and_in_many_parts(spark, monkeypatch):
+    x, label = clusters()
+    reduce = lambda v, **more: np.array([r[1:] for r in sorted(embedding.reduce_dimensions(v, "id", "v", "tSNE", perplexity=15.0, **more).collect())])
+    one = reduce(table(spark, x))
+    monkeypatch.setattr(embedding, "BLOCK", 64)
+    many = reduce(table(spark, x))
+    few = [reduce(v, rounds=3) for v in (table(spark, x), table(spark, x[::-1], 7).withColumn("id", 239 - F.col("id")))]
+    np.testing.assert_allclose(*few, atol=1e-6)
+    p = joint(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 15)
+    for y in (one, many):
+        d = ((y[:, None] - y[None]) ** 2).sum(-1)
+        np.fill_diagonal(d, np.inf)
+        near = np.argsort(d, axis=1)[:, :10]
+        assert (label[near] == label[:, None]).mean() > 0.97
+        assert trustworthiness(x, y, 10) > 0.85
+    assert divergence(p, many) < divergence(p, one) * 1.25
+
+
+def test_stochastic_copies_nulls_odd_sizes_and_small_tables(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(100 + i, [0.0, 0.0, 1.0]) for i in range(60)]
+    odd = [(300, None), (301, [1.0, None, 2.0]), (302, [float("nan"), 0.0, 0.0]), (303, [1.0]), (None, [0.0, 0.0, 1.0])]
+    out = embedding.stochastic_embedding(spark.createDataFrame(rows + odd, "`a b` long, v array<double>"), "a b", "v", perplexity=5.0, epochs=3)
+    assert out.columns == ["a b", "e1", "e2"]
+    found = {r[0]: tuple(r[1:]) for r in out.collect()}
+    assert len(found) == 125 and {found[i] for i in range(300, 304)} == {(None, None)}
+    assert len({found[i] for i in [0, 35, *range(100, 160)]} | {found[None]}) == 1 and None not in found[0]
+    for few in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [3.0, 4.0])], [(i, [float(i), 1.0]) for i in range(4)]):
+        assert embedding.stochastic_embedding(spark.createDataFrame(few, "id long, v array<double>"), "id", "v", epochs=2).count() == len(few)
