@@ -292,6 +292,28 @@ def affinities(graph: DataFrame, n: int, perplexity: float) -> DataFrame:
     return pair.unionByName(pair.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
 
 
+def _repulsion(at: np.ndarray, others: np.ndarray, count: np.ndarray, same: bool, rows: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(sum of similarities, sum of pushes before they are divided by that of all pairs) of each place by the ``count`` nodes at each of the others.
+
+    ``same``: the others are the places themselves, and none pushes itself.  A few rows at a time stay in the processor's cache.
+    """
+    z, push, norms = np.empty(len(at)), np.empty_like(at), (others * others).sum(1)
+    for lo in range(0, len(at), rows):
+        a = at[lo : lo + rows]
+        q = a @ (-2 * others.T)
+        q += norms
+        q += (a * a).sum(1)[:, None]
+        np.maximum(q, 0, out=q)
+        q += 1
+        np.reciprocal(q, out=q)
+        if same:
+            q[np.arange(len(a)), lo + np.arange(len(a))] = 0
+        z[lo : lo + rows] = q @ count
+        q *= q
+        push[lo : lo + rows] = a * (q @ count)[:, None] - q @ (others * count[:, None])
+    return z, push
+
+
 def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds: int = 50, epochs: int = 10, most: int = 512, seed: int = 42) -> DataFrame:
     """(node, at): places whose Student-t similarities come near the probabilities ``links`` (i, j, w), by descent on their divergence.
 
@@ -356,17 +378,10 @@ def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds
                 gap = at[i] - other
                 force = gap * (w / (1 + (gap * gap).sum(1)))[:, None]
                 pull = np.stack([np.bincount(i, f, len(node)) for f in force.T], axis=1)
-                norms = (at * at).sum(1)
-                near = 1 / (1 + np.maximum(norms[:, None] + norms - 2 * at @ at.T, 0))
-                np.fill_diagonal(near, 0)
-                z = near.sum(1)
-                near *= near
-                push = at * near.sum(1)[:, None] - near @ at
+                z, push = _repulsion(at, at, np.ones(len(at)), True)
                 if len(count):
-                    far = 1 / (1 + np.maximum(norms[:, None] + (mean * mean).sum(1) - 2 * at @ mean.T, 0))
-                    z += far @ count
-                    far *= far * count
-                    push += at * far.sum(1)[:, None] - far @ mean
+                    far, more = _repulsion(at, mean, count, False)
+                    z, push = z + far, push + more
                 slope = 4 * ((EXAGGERATION if early else 1) * pull - push / max(z.sum() * scale, 1e-300))
                 gain = np.maximum(np.where(slope * speed < 0, gain + 0.2, gain * 0.8), 0.01)
                 speed = np.clip(MOMENTUM[not early] * speed - rate * gain * slope, -CLIP, CLIP)

@@ -109,6 +109,8 @@ def test_layout_of_the_fixture_and_its_components(spark):
     _, _, axes = np.linalg.svd(centred, full_matrices=False)
     np.testing.assert_allclose(np.abs(of["PCA"]), np.abs(centred @ axes[:2].T), atol=1e-6)
     assert trustworthiness(x, of["umap"], 15) > 0.58
+    kept = trustworthiness(x, np.array([r[1:] for r in sorted(embedding.reduce_dimensions(vectors, "vec_id", "embedding", "tsne").collect())]), 15)
+    assert kept > trustworthiness(x, of["PCA"], 15) + 0.05
 
 
 def joint(d, perplexity):
