@@ -202,7 +202,7 @@ def test_softmax_and_reducers(spark):
     w = vectors.softmax(spark.createDataFrame([("a", 0.0), ("a", 0.0), ("b", 5.0)], "g string, x double"), ["g"], "x").orderBy("g").collect()
     assert [r.w for r in w] == [0.5, 0.5, 1.0]
     with pytest.raises(ValueError):
-        embedding.reduce_dimensions(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v", "tsne")
+        embedding.reduce_dimensions(spark.createDataFrame([(1, [1.0])], "k long, v array<double>"), "k", "v", "isomap")
 
 
 def test_model_masks_targets(spark):
