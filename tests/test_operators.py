@@ -135,6 +135,11 @@ def test_compact_labels(spark):
         pairs.decode_labels(coded(cells), most=3)
 
 
+def test_shared_histogram_of_many_members(spark):
+    """50,000 members have more pairs than 32 bits hold; the bucket of none is exact."""
+    found = pairs.shared_histogram(spark.createDataFrame([(1, 2, 3)], "pa long, pb long, shared long"), 50_000).collect()
+    assert {r.shared: r.pairs for r in found} == {0: 50_000 * 49_999 // 2 - 1, 3: 1}
+
 
 def scored(spark):
     s = {(0, 1): 0.9, (1, 3): 0.8, (0, 2): 0.5, (2, 3): 0.3, (1, 2): 0.2, (0, 3): 0.1}
