@@ -135,6 +135,17 @@ def test_compact_labels(spark):
         pairs.decode_labels(coded(cells), most=3)
 
 
+def test_labels_of_a_universe_in_many_blocks(spark):
+    """Every pair of the universe once, whatever the blocks and however many members there are; no default limit."""
+    pos, uni = [(0, 1), (1, 7), (5, 9), (3, 8)], range(11)
+    coded = pairs.label_tables(spark.createDataFrame(pos, "i long, j long"), spark.createDataFrame([(i,) for i in uni], "i long"))
+    for block in (1, 3, 64):
+        found = sorted(map(tuple, pairs.decode_labels(coded, block=block).collect()))
+        assert found == [(i, j, int((min(i, j), max(i, j)) in pos)) for i in uni for j in uni if i != j]
+    large = pairs.label_tables(spark.createDataFrame([(0, 20_001)], "i long, j long"), spark.range(20_002).withColumnRenamed("id", "i"))
+    assert pairs.decode_labels(large).where("i = 0").agg(F.count("*"), F.sum("label")).first() == (20_001, 1)
+
+
 def test_shared_histogram_of_many_members(spark):
     """50,000 members have more pairs than 32 bits hold; the bucket of none is exact."""
     found = pairs.shared_histogram(spark.createDataFrame([(1, 2, 3)], "pa long, pb long, shared long"), 50_000).collect()
