@@ -12,6 +12,13 @@ def micro(predictions: DataFrame, pred: str = "pred", truth: str = "true") -> Da
     return predictions.agg(F.round(F.avg(e * e), 6).alias("mse"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.count(e).alias("n"))
 
 
+def micro_heads(predictions: DataFrame, heads: dict[str, str], truth: str = "true") -> DataFrame:
+    """(head, mse, mae, n) over all targets for each head's column, in one pass over the predictions."""
+    e = {h: F.col(c) - F.col(truth) for h, c in heads.items()}
+    found = [F.struct(F.lit(h).alias("head"), F.round(F.avg(x * x), 6).alias("mse"), F.round(F.avg(F.abs(x)), 6).alias("mae"), F.count(x).alias("n")) for h, x in e.items()]
+    return predictions.agg(F.array(*found).alias("h")).select(F.explode("h").alias("h")).select("h.*")
+
+
 def macro(predictions: DataFrame, pred: str = "pred", truth: str = "true") -> DataFrame:
     """(mse, n_samples): the mean of the samples' own means, over samples that have targets."""
     e = F.col(pred) - F.col(truth)

@@ -1,6 +1,7 @@
 """Hand-computed cases, failures, and results that don't depend on partitions or row order."""
 
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -231,6 +232,47 @@ def test_model_masks_targets(spark):
     assert np.allclose(maps[0].sum(-1), 1) and np.all(maps[0][:, :, 3:] == 0)
 
 
+def test_drawn_weights_are_the_same_and_stay_small():
+    whole, drawn = model.Weights(1000, d=8, seed=3), model.Weights(1000, d=8, seed=3, drawn=True)
+    sent = pickle.loads(pickle.dumps(drawn))
+    for name, x in whole.arrays.items():
+        assert np.array_equal(np.asarray(drawn.arrays[name]), x) and np.array_equal(np.asarray(sent.arrays[name]), x)
+    assert np.array_equal(sent.arrays["feature"][np.array([999, 0, 17])], whole.arrays["feature"][[999, 0, 17]])
+    assert len(pickle.dumps(model.Weights(1_000_000, drawn=True))) < 2_000_000 < 1_000_000 * 32 * 8
+
+
+def test_states_asked_for_equal_forward():
+    w, rng = model.Weights(300, seed=5), np.random.default_rng(0)
+    role, feature, bins = rng.integers(1, 3, 200), rng.permutation(300)[:200], rng.integers(1, 11, 200)
+    x, maps = model.forward(w, role, feature, bins)
+    asks = np.concatenate([[0], 1 + np.flatnonzero(role == 2)])
+    assert np.allclose(model.states(w, role, feature, bins, asks), x[asks], atol=1e-12)
+    at = 1 + np.flatnonzero(role == 1)
+    assert np.allclose(model.context_attention(w, role, feature, bins), np.stack(maps).mean((0, 1))[at][:, at], atol=1e-14)
+    assert np.allclose(model.context_attention(w, role, feature, bins, 1, 2), maps[1][2][at][:, at], atol=1e-14)
+
+
+def test_symmetric_map_equals_pair_sums(spark):
+    from tessera import queries
+
+    packed, weights = queries._packed(spark, "/root/testdata/sf0.001")
+    want = {(r.i, r.j): r["mean"] for r in pairs.symmetrize(pairs.accumulate(model.attention_weights(packed, weights))).collect()}
+    for block in (32, 1024):
+        found = model.symmetric_map(packed, weights, block=block).collect()
+        assert len(found) == len(want) and all(abs(want[r.i, r.j] - r["mean"]) < 1e-12 for r in found)
+
+
+def test_metrics_of_heads_read_predictions_once(spark):
+    from tessera import queries
+
+    d = "/root/testdata/sf0.001"
+    both = queries.m_predict_metrics(spark, d)
+    assert both._jdf.queryExecution().executedPlan().toString().count("MapInPandas") == 1
+    found = queries.m_predict(spark, d)
+    for r in both.collect():
+        assert tuple(r)[1:] == tuple(metrics.micro(found, f"pred_{r['head']}", "true_bin").first())
+
+
 def test_plan_shapes(spark):
     """Co-membership makes no Cartesian product, and top k per row limits its groups before the window."""
     members = spark.createDataFrame([(1, 1), (1, 2)], "t long, p long")
