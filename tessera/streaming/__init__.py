@@ -44,11 +44,11 @@ class PairSums:
         return max((i for i in ids if version_of(self.spark, f"{self.path}/upto-{i}")), default=0)
 
     def merge(self, weights: DataFrame, batch: int) -> bool:
-        """Add a batch (i, j, w); False where it was in already."""
+        """Add a batch, (i, j, w) or sums (i, j, sum, cnt) with a row a pair; False where it was in already."""
         if batch < self.merged_before() or version_of(self.spark, f"{self.path}/batch-{batch}"):
             return False
         try:
-            publish(accumulate(weights), f"{self.path}/batch-{batch}")
+            publish(accumulate(weights) if "w" in weights.columns else weights.select("i", "j", "sum", "cnt"), f"{self.path}/batch-{batch}")
         except FileExistsError:  # another delivery of the same batch was faster
             return False
         return True
@@ -84,5 +84,5 @@ class PairSums:
             folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
     def follow(self, stream: DataFrame, weigh: Callable[[DataFrame], DataFrame], checkpoint: str, **trigger: object) -> StreamingQuery:
-        """Start merging the batches of a stream, each turned into (i, j, w) by ``weigh``."""
+        """Start merging the batches of a stream, each turned into what ``merge`` takes by ``weigh``."""
         return stream.writeStream.foreachBatch(lambda rows, batch: self.merge(weigh(rows), batch) and None).option("checkpointLocation", checkpoint).trigger(**trigger).start()

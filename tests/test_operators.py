@@ -320,6 +320,38 @@ def test_attention_of_long_samples_by_blocks(spark):
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def test_head_sums_equal_pair_sums(spark):
+    """Short and long samples, frequent and rare features, tokens without a value, some rows alone: the sums of all pairs."""
+    rows = [(s, f, None if (s + f) % 13 == 5 else float((f * 7 + s) % 11)) for s, n in ((1, 3), (2, 30), (3, 8), (4, 9), (5, 1), (6, 8)) for f in range(n)]
+    tokens = spark.createDataFrame([*rows, (None, 1, 2.0)], "sample long, feature long, a double")
+    scales = {5: 4.0, 6: -3.0}
+    sums = pairs.accumulate(pairs.head_attention(tokens, scales, block=8), "head")
+    want = {(r.head, r.i, r.j): (r.cnt, r.sum) for r in sums.collect()}
+    same = {h: {(r.i, r.j): r["mean"] for r in pairs.symmetrize(sums.where(F.col("head") == h).drop("head")).collect()} for h in scales}
+
+    def near(a, b):
+        return a == b if a is None or b is None else abs(a - b) < 1e-12
+
+    for block, hot in ((8, 2), (8, 100), (64, 2), (64, 100)):
+        got = {(h, r.i, r.j): (r.cnt, r[f"sum{h}"]) for r in pairs.head_sums(tokens, scales, block=block, hot=hot).collect() for h in scales}
+        assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and near(got[k][1], want[k][1]) for k in want)
+        both = pairs.head_sums(tokens, scales, True, block=block, hot=hot)
+        for h in scales:
+            found = {(r.i, r.j): r["mean"] for r in pairs.symmetric(both, h).collect()}
+            assert found.keys() == same[h].keys() and all(near(found[k], same[h][k]) for k in found)
+        some = {(r.i, r.j): r.cnt for r in pairs.head_sums(tokens, scales, rows=tokens.where("feature < 2").selectExpr("feature AS i"), block=block, hot=hot).collect()}
+        assert some == {(i, j): c for (h, i, j), (c, _) in want.items() if h == 5 and i < 2}
+
+
+def test_attention_sums_shuffle_no_pairs(spark):
+    """The pairs are made behind the last exchange, and only those of rows with a positive for the best head."""
+    from tessera import queries
+
+    plan = queries.x_head_maps(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    top = plan[: plan.index("Exchange")]
+    assert "posexplode(js" in top and "keys=[i" in top
+
+
 def test_attention_of_a_sample_of_20000_tokens(spark):
     """No array of the sample, and no block much larger than what was asked for; the weights of each row add up to 1."""
     n, block = 20_000, 1024
