@@ -143,3 +143,31 @@ def test_best_epoch(spark):
     rows = [(r, e, x if x is None else float(x)) for r, values in runs.items() for e, x in enumerate(values, 1)]
     found = {r.run: tuple(r)[1:] for r in metrics.best_epoch(spark.createDataFrame(rows, "run string, epoch int, loss double"), 0.1, 3).collect()}
     assert found == {"falls": (3, 1.0, 3, False), "stops": (2, 1.0, 5, True), "never": (None, None, 3, True), "late": (2, 5.0, 3, False)}
+
+
+def test_components_of_all_trusted_lines(spark):
+    """The query links lines of 40 or more: the nodes are those of its own brute force, more than lines of 45 give."""
+    from tessera import queries
+    from tessera.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.01"
+    sizes = {}
+    for least in (40.0, 45.0):
+        orders, parent = {}, {}
+        for r in fx.evidence(spark, d, least).collect():
+            orders.setdefault(r.t, set()).add(r.p)
+
+        def root(x, parent=parent):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for own in orders.values():
+            if 2 <= len(own) <= 4:
+                for a, b in itertools.pairwise(sorted(own)):
+                    parent[root(b)] = root(a)
+        count = {}
+        for x in list(parent):
+            count[root(x)] = count.get(root(x), 0) + 1
+        sizes[least] = sum(n for n in count.values() if n >= 3)
+    assert queries.x_components(spark, d).count() == sizes[40.0] > sizes[45.0]
