@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -40,6 +41,14 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay for the next stage, and would hold what this one needed at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str | StructType, start: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]) -> DataFrame:
     """Map the batches of each partition; ``start`` runs once a task and returns the batch function.
 
@@ -54,6 +63,8 @@ def arrow_map(df: DataFrame, schema: str | StructType, start: Callable[[], Calla
         end = getattr(step, "end", None)
         if end:
             yield from end()
+        del step, end
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -128,12 +128,12 @@ def merged_sketch(docs: DataFrame, bits: int, share: tuple[int, int] = (0, 1), w
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            cells = np.sort(np.concatenate(held))
+            cells = np.concatenate(held)
             held.clear()
+            cells.sort()
             new = np.concatenate([[True], cells[1:] != cells[:-1]])
-            at = np.flatnonzero(new)
-            twice = np.diff(np.append(at, len(cells))) > 1
-            cells = cells[at]
+            twice = ~np.append(new[1:], True)[new]  # the next one is the same
+            cells = cells[new]
             bounds = np.searchsorted(cells, np.arange(STRIPES + 1, dtype=np.int64) * stripe_size)
             for s in range(STRIPES):
                 a, b = bounds[s], bounds[s + 1]
