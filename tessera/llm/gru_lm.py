@@ -13,8 +13,7 @@ The state is that of a minimal gated unit over all words before, carried from wi
 the whole text:  h = z * h + (1 - z) * n,  with the gate z and the candidate n learned for each
 member.  It is trained by truncated backpropagation in numpy: in each of ``ROUNDS`` rounds each part
 trains on its training texts from the common weights, and the weights are averaged by their tokens.
-Every training text is read once and every word moves the state; the loss is taken at one in ``EVERY``
-places of a window (another set in the next), which is an unbiased estimate of its gradient.
+Every training text is read once, every word moves the state, and the loss is taken at every place.
 
 Scale: word counts are one map-side reduced aggregation.  Up to ``KNOWN`` of the most frequent words go to the
 tasks (a bounded broadcast); only occurrences of rarer words are shuffled, one row a text and word, to
@@ -40,7 +39,9 @@ from tessera.llm.common import arrow_map, fold, prepare, write_table
 HEADS, SHAPES, BUCKETS = 4, 32, 64
 #: Frequent words at most (a member fits in two bytes), and words that are broadcast with their counts.
 MOST_HEADS, KNOWN = 32_768, 1 << 19
-HIDDEN, STEPS, STREAMS, EVERY, RATE, ROUNDS, GROUPS = 32, 64, 512, 4, 0.07, 2, 4
+HIDDEN, STEPS, STREAMS, RATE, ROUNDS, GROUPS = 32, 64, 512, 0.07, 2, 4
+#: Places of a window from one loss to the next: every place of every training text has its loss.
+EVERY = 1
 PART_TOKENS = 4 << 20
 #: Tokens that are laid in streams together, rows of an output matrix, and words that a count is reduced over.
 GATHER, ROWS, RUN = 2 << 20, 4096, 2 << 20

@@ -319,3 +319,18 @@ def test_probabilities_sum_to_one():
     state = np.random.default_rng(2).normal(size=(1, gru_lm.HIDDEN)).astype(np.float32)
     logs, _ = net.outputs(np.repeat(state, lex.members, 0), np.arange(lex.members), None)
     assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_every_place_of_a_text_is_learned_from():
+    """Each place's word moves its own output bias, whichever place of the window it stands at."""
+    lex = small_lexicon()
+    symbols = np.arange(1, 65) % lex.heads if lex.heads > 64 else np.arange(64) % lex.members
+    seen = []
+
+    class Watched(gru_lm.Network):
+        def outputs(self, states, targets, grads):
+            seen.extend(targets.tolist())
+            return super().outputs(states, targets, grads)
+
+    Watched(gru_lm.initial(lex), lex).run(symbols, np.array([0, len(symbols)]), True)
+    assert sorted(seen) == sorted(symbols.tolist())
