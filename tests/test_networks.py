@@ -78,6 +78,17 @@ def test_communities_of_odd_edges(spark):
     assert graph.communities(odd.limit(0), weight="w").collect() == []
 
 
+def test_a_community_gives_many_nodes_in_a_turn(spark):
+    edges = [e for i in range(1, 9) for e in clique([i, 10 * i, 10 * i + 1], 3)] + [(i, i + 1, 1) for i in range(1, 8)]
+    group = {n: 0 if n < 10 else n // 10 * 10 for a, b, _ in edges for n in (a, b)}
+    links = graph.links_of(spark.createDataFrame(edges, "a long, b long, w long"), "a", "b", "w")
+    of = spark.createDataFrame(list(group.items()), "i long, c long")
+    moves, left = graph._moves(links, links.groupBy("i").agg(F.sum("w").alias("k")).join(of, "i"), 2.0 * sum(w for *_, w in edges), 0)
+    moved = {r.i: r.moved for r in moves.collect()}
+    assert left and len(moved) > 4  # it was one node a turn
+    assert quality(edges, group | moved) > quality(edges, group)
+
+
 def test_small_components_go(spark):
     edges = spark.createDataFrame([(1, 2), (3, 4), (4, 5), (6, 6)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges, least=3).collect())) == [(3, 3), (4, 3), (5, 3)]
