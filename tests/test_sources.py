@@ -147,3 +147,15 @@ def test_weights_as_tables_and_for_another_vocabulary(spark, tmp_path):
     assert np.allclose(other.arrays["feature"][[1, 2]], weights.arrays["feature"][[3, 5]]) and len(other.arrays["feature"]) == 10
     one, two = model.group_states(weights, [np.array([1, 2])]), model.group_states(weights, [np.array([1, 2]), np.array([3, 4, 5])])
     assert one.shape == (1, 8) and np.allclose(two[0], two[0]) and not np.allclose(two[0], two[1])
+
+
+def test_spectrum_counts_deal_lines_by_their_number(spark, monkeypatch):
+    from tessera import queries
+
+    data = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, queries.a_spectrum_counts(spark, data).collect()))
+    n = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    monkeypatch.setattr(queries, "TASK_LINES", 500, raising=False)
+    dealt = queries.a_spectrum_counts(spark, data)
+    assert f", {-(-n // 500)}), REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, dealt.collect())) == whole and whole
