@@ -103,6 +103,17 @@ def _bits(n: int, leaf: int) -> int:
     return min(40, max(0, int(np.ceil(np.log2(n / leaf)))))
 
 
+def _smallest(far: np.ndarray, most: int) -> np.ndarray:
+    """The columns of the ``most`` smallest values of each row, in any order, ties to smaller columns; only rows with a tie at the edge are sorted."""
+    edge = max(most, 1) - 1
+    near = np.argpartition(far, edge, axis=1)
+    tied = (far <= np.take_along_axis(far, near[:, edge : edge + 1], 1)).sum(1) != most
+    near = near[:, :most]
+    if tied.any():
+        near[tied] = np.argsort(far[tied], axis=1, kind="stable")[:, :most]
+    return near
+
+
 def neighbour_graph(points: DataFrame, n: int, size: int, k: int, trees: int = 8, leaf: int = LEAF, seed: int = 42) -> DataFrame:
     """(node, j array, d array): the ``k`` nearest others found of each node by Euclidean distance, nearest first, ties to smaller nodes.
 
@@ -126,7 +137,7 @@ def neighbour_graph(points: DataFrame, n: int, size: int, k: int, trees: int = 8
             rows = np.arange(lo, min(lo + 64, len(node)))
             far = norms - 2 * x[rows] @ x.T
             far[np.arange(len(rows)), rows] = np.inf
-            near = np.argsort(far, axis=1, kind="stable")[:, :most]
+            near = _smallest(far, most)
             gap = x[near] - x[rows, None]
             dist = np.sqrt((gap * gap).sum(-1))
             order = np.lexsort((node[near], dist), axis=1)

@@ -212,3 +212,10 @@ def test_stochastic_copies_nulls_odd_sizes_and_small_tables(spark):
     assert len({found[i] for i in [0, 35, *range(100, 160)]} | {found[None]}) == 1 and None not in found[0]
     for few in ([], [(1, [1.0, 2.0])], [(1, [1.0, 2.0]), (2, [3.0, 4.0])], [(i, [float(i), 1.0]) for i in range(4)]):
         assert embedding.stochastic_embedding(spark.createDataFrame(few, "id long, v array<double>"), "id", "v", epochs=2).count() == len(few)
+
+
+def test_smallest_columns_are_those_of_a_stable_sort():
+    draw = np.random.default_rng(5)
+    for far in (draw.standard_normal((40, 30)), draw.integers(0, 4, (40, 30)).astype(float), np.full((3, 1), np.inf), np.where(draw.random((40, 30)) < 0.5, np.nan, 1.0)):
+        for most in {0, min(7, far.shape[1] - 1), far.shape[1] - 1}:
+            assert (np.sort(embedding._smallest(far, most), 1) == np.sort(np.argsort(far, axis=1, kind="stable")[:, :most], 1)).all()
