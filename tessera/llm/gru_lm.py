@@ -44,7 +44,7 @@ HIDDEN, STEPS, STREAMS, RATE, ROUNDS, GROUPS = 32, 64, 512, 0.07, 2, 4
 EVERY = 1
 PART_TOKENS = 4 << 20
 #: Tokens that are laid in streams together, rows of an output matrix, and words that a count is reduced over.
-GATHER, ROWS, RUN = 2 << 20, 4096, 2 << 20
+GATHER, ROWS, RUN = 2 << 20, 512, 2 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
@@ -171,104 +171,139 @@ class Network:
         self.squares = np.full(len(flat), 1e-6, np.float32)
         self.s = unpack(self.squares, lexicon)
         self.start = lexicon.members
-        self.tables = None
-
-    def gates(self) -> tuple[np.ndarray, np.ndarray]:
-        """(z, n) of each member."""
-        x = self.p["x"]
+        z, n = self.gates(self.p["x"])
+        z[self.start] = n[self.start] = 0  # a start clears the state
+        self.z, self.n, self.add = z, n, n - z * n
+        self.fixed, self.held = None, {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """Memory of a window that the next one uses again, as fresh pages cost a good part of what is computed in them."""
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, self.flat.dtype)
+        return self.held[name][:size].reshape(shape)
+
+    @staticmethod
+    def gates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(z, n) of rows of ``x``."""
         return 0.5 * (np.tanh(0.5 * x[:, :HIDDEN]) + 1), np.tanh(x[:, HIDDEN:])
 
-    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(the state given, then that after each input; z; n) of inputs (steps, streams); a stream's state is cleared where a text starts."""
-        z_of, n_of = self.tables or self.gates()
-        z, n = z_of[inputs], n_of[inputs]
-        begins = inputs == self.start
-        z[begins] = 0
-        n[begins] = 0
-        out = np.empty((len(inputs) + 1, *z.shape[1:]), z.dtype)
+    def states(self, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the state given, then that after each input; z) of inputs (steps, streams); a stream's state is cleared where a text starts.
+
+        Both are overwritten by the next call.
+        """
+        z = np.take(self.z, inputs, axis=0, mode="clip", out=self.room("z", *inputs.shape, HIDDEN))
+        out = self.room("states", len(inputs) + 1, inputs.shape[1], HIDDEN)
         out[0] = h
-        np.subtract(n, z * n, out=out[1:])
+        np.take(self.add, inputs, axis=0, mode="clip", out=out[1:])
         for t in range(len(inputs)):
             out[t + 1] += z[t] * out[t]
-        return out, z, n
+        return out, z
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """(class weights, member weights), a row a column of the softmax, whose last entry is the bias below the softmax's largest."""
+        p, lex = self.p, self.lexicon
+        c = np.column_stack([p["c"].T, p["cb"] - p["cb"].max()])
+        return c, np.column_stack([p["w"], p["wb"] - np.maximum.reduceat(p["wb"], lex.bounds[:-1])[lex.of]])
+
+    @staticmethod
+    def softmax(s: np.ndarray, weights: np.ndarray, own: np.ndarray, back: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(log probability of the column ``own`` at each row of s, with ``back`` the slopes of the weights); adds the rows' slopes to ``back``.
+
+        Slopes are (e - total at the own column) / total: the quotient is taken at the narrow sides of the products.
+        """
+        e = s @ weights.T
+        flat, at = e.reshape(-1), np.arange(0, e.size, e.shape[1]) + own
+        picked = flat.take(at).astype(np.float64)
+        np.exp(e, out=e)
+        total = e @ np.ones(e.shape[1], e.dtype)
+        logs = picked - np.log(total)
+        if back is None:
+            return logs, None
+        flat[at] -= total
+        share = (1 / total)[:, None]
+        back += (e @ weights[:, :HIDDEN]) * share
+        return logs, e.T @ (s * share)
 
     def outputs(self, states: np.ndarray, symbols: np.ndarray, grads: dict | None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log of P(class) * P(member | class) at each state; with grads, also the states' slopes."""
-        lex, p = self.lexicon, self.p
-        cls = lex.of[symbols]
-        out, back = np.empty(len(states)), None
-        bias = p["cb"] - p["cb"].max()
-        for lo in range(0, len(states), ROWS) if grads is None else (0,):
-            mine = slice(lo, lo + ROWS if grads is None else None)
-            logits = states[mine] @ p["c"]
-            logits += bias
-            rows, own = np.arange(len(logits)), cls[mine]
-            picked = logits[rows, own].astype(np.float64)
-            np.exp(logits, out=logits)
-            total = logits.sum(1)
-            out[mine] = picked - np.log(total)
+        """Natural log of P(class) * P(member | class) at each state; with grads, also the states' slopes.
+
+        Rows are laid by member, so those of a class stand together, and go ``ROWS`` at a time, so that what they give stays in the cache.
+        """
+        lex = self.lexicon
+        order = np.argsort(symbols.astype(np.uint16), kind="stable")  # a radix sort
+        own = symbols[order]
+        cls = lex.of[own]
+        s = self.room("sorted", len(own), HIDDEN + 1)
+        s[:, :HIDDEN] = np.take(states, order, axis=0, mode="clip", out=self.room("back", len(own), HIDDEN))
+        s[:, HIDDEN] = 1  # meets the biases
+        c, w = self.fixed or self.weights()
+        logs, back = np.zeros(len(own)), None if grads is None else self.room("back", len(own), HIDDEN)
         if grads is not None:
-            logits /= total[:, None]
-            logits[rows, cls] -= 1
-            grads["c"], grads["cb"] = states.T @ logits, logits.sum(0)
-            grads["w"], grads["wb"] = np.zeros_like(p["w"]), np.zeros_like(p["wb"])
-            back = logits @ p["c"].T
-        order = np.argsort(cls.astype(np.uint16), kind="stable")  # a radix sort
-        cuts = np.searchsorted(cls[order], np.arange(lex.classes + 1))
+            back[:] = 0
+        of_c, of_w = (None, None) if grads is None else (np.zeros_like(c), np.zeros_like(w))
+
+        def add(lo: int, hi: int, weights: np.ndarray, picks: np.ndarray, slopes: np.ndarray | None) -> None:
+            for a in range(lo, hi, ROWS):
+                mine = slice(a, min(a + ROWS, hi))
+                found, more = self.softmax(s[mine], weights, picks[mine], None if back is None else back[mine])
+                logs[mine] += found
+                if slopes is not None:
+                    slopes += more
+
+        add(0, len(own), c, cls, of_c)
+        within, cuts = own - lex.bounds[cls], np.searchsorted(cls, np.arange(lex.classes + 1))
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             lo, hi = lex.bounds[k], lex.bounds[k + 1]
-            if hi - lo < 2:
-                continue
-            at = order[cuts[k] : cuts[k + 1]]
-            s = states[at]
-            bias = p["wb"][lo:hi]
-            inner = s @ p["w"][lo:hi].T
-            inner += bias - bias.max()
-            own, rows = symbols[at] - lo, np.arange(len(at))
-            picked = inner[rows, own].astype(np.float64)
-            np.exp(inner, out=inner)
-            total = inner.sum(1)
-            out[at] += picked - np.log(total)
-            if grads is not None:
-                inner /= total[:, None]
-                inner[rows, own] -= 1
-                grads["w"][lo:hi], grads["wb"][lo:hi] = inner.T @ s, inner.sum(0)
-                back[at] += inner @ p["w"][lo:hi]
-        return out, back
+            if hi - lo > 1:
+                add(cuts[k], cuts[k + 1], w[lo:hi], within, None if grads is None else of_w[lo:hi])
+        place = np.empty(len(own), np.int64)
+        place[order] = np.arange(len(own))
+        if grads is not None:
+            grads["c"], grads["cb"], grads["w"], grads["wb"] = of_c[:, :HIDDEN].T, of_c[:, HIDDEN], of_w[:, :HIDDEN], of_w[:, HIDDEN]
+            back = np.take(back, place, axis=0, mode="clip")
+        return logs[place], back
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray, phase: int) -> np.ndarray:
         """One update by the loss at the places phase, phase + EVERY, ... of the window; the last state."""
-        every, z, n = self.states(inputs, h)
+        every, z = self.states(inputs, h)
         before, states = every[:-1], every[1:]
         places = slice(phase, None, EVERY)
         mine = valid[places]
         if not mine.any():
             return states[-1].copy()
         grads: dict = {}
-        _, back = self.outputs(states[places][mine], targets[places][mine], grads)
-        at_places = np.zeros((*mine.shape, HIDDEN), states.dtype)
-        at_places[mine] = back
-        slope = np.zeros_like(states)
-        slope[places] = at_places
+        if mine.size == valid.size and mine.all():
+            slope = self.outputs(states.reshape(-1, HIDDEN), targets.ravel(), grads)[1].reshape(states.shape)
+        else:
+            slope = np.zeros_like(states)
+            slope[places][mine] = self.outputs(states[places][mine], targets[places][mine], grads)[1]
         for t in range(len(inputs) - 2, -1, -1):  # what a state passes on: z of the next word
             slope[t] += z[t + 1] * slope[t + 1]
-        part = slope * (1 - z)
-        d = np.empty((2 * HIDDEN, inputs.size), states.dtype)
-        d[HIDDEN:] = (part * (1 - n * n)).reshape(-1, HIDDEN).T
-        part *= before - n
-        part *= z
-        d[:HIDDEN] = part.reshape(-1, HIDDEN).T
         scale = np.float32(1 / mine.sum())
         for name in ("c", "cb", "w", "wb"):
             g = grads[name] * scale
             self.s[name][:] += g * g
             self.p[name][:] -= np.float32(RATE) * g / np.sqrt(self.s[name])
+        # The gate and the candidate are those of the word, so its slopes come from two sums over its places.
         symbols = inputs.ravel()
         rows = np.flatnonzero(np.bincount(symbols, minlength=self.start + 1)[: self.start])  # a start has no gate to learn
-        g = np.stack([np.bincount(symbols, x, minlength=self.start + 1)[rows] for x in d], axis=1).astype(states.dtype) * scale
+        at, n = self.z[rows], self.n[rows]
+
+        def sums(values: np.ndarray) -> np.ndarray:
+            columns = self.room("columns", HIDDEN, symbols.size)
+            columns[:] = values.reshape(-1, HIDDEN).T
+            return np.stack([np.bincount(symbols, x, minlength=self.start + 1)[rows] for x in columns], axis=1)
+
+        total = sums(slope)
+        g = np.concatenate([at * (1 - at) * (sums(np.multiply(slope, before, out=z)) - n * total), (1 - at) * (1 - n * n) * total], axis=1).astype(states.dtype) * scale
         square = self.s["x"][rows] + g * g
         self.s["x"][rows] = square
-        self.p["x"][rows] -= np.float32(RATE) * g / np.sqrt(square)
+        x = self.p["x"][rows] - np.float32(RATE) * g / np.sqrt(square)
+        self.p["x"][rows] = x
+        at, n = self.gates(x)
+        self.z[rows], self.n[rows], self.add[rows] = at, n, n - at * n
         return states[-1].copy()
 
     def log_probabilities(self, inputs: np.ndarray, targets: np.ndarray, valid: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +340,7 @@ class Network:
         before[starts[:-1]] = self.start
         inputs[row, column] = before
         h = np.zeros((streams, HIDDEN), np.float32)
-        if not train:
-            self.tables = self.gates()
+        self.fixed = None if train else self.weights()
         for turn, t in enumerate(range(0, depth, STEPS)):
             w = slice(t, t + STEPS)
             valid = owner[w] >= 0
@@ -315,7 +349,7 @@ class Network:
             else:
                 logs, h = self.log_probabilities(inputs[w], targets[w], valid, h)
                 out += np.bincount(owner[w][valid], logs, minlength=len(out))
-        self.tables = None
+        self.fixed = None
         return out
 
 

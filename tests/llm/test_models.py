@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -334,3 +335,46 @@ def test_every_place_of_a_text_is_learned_from():
 
     Watched(gru_lm.initial(lex), lex).run(symbols, np.array([0, len(symbols)]), True)
     assert sorted(seen) == sorted(symbols.tolist())
+
+def test_rows_of_a_block_change_nothing(monkeypatch):
+    """Logs, slopes of states and slopes of weights: equal in blocks of 3 rows and in one, and to the plain formula."""
+    lex = small_lexicon()
+    rng = np.random.default_rng(4)
+    net = gru_lm.Network(rng.normal(0, 0.5, len(gru_lm.initial(lex))), lex)
+    states, symbols = rng.normal(size=(80, gru_lm.HIDDEN)), rng.integers(0, lex.members, 80)
+    symbols[:20] = 7
+    found = []
+    for rows in (3, 1000):
+        monkeypatch.setattr(gru_lm, "ROWS", rows)
+        grads: dict = {}
+        logs, back = net.outputs(states, symbols, grads)
+        found.append([logs, back, *(grads[k] for k in ("c", "cb", "w", "wb"))])
+    p, cls = net.p, lex.of[symbols]
+    c = states @ p["c"] + p["cb"]
+    m = np.where(lex.of == cls[:, None], states @ p["w"].T + p["wb"], -np.inf)
+    one_c, one_m = (x - np.log(np.exp(x).sum(1, keepdims=True)) for x in (c, m))
+    rows = np.arange(80)
+    slope_c, slope_m = np.exp(one_c), np.exp(one_m)
+    slope_c[rows, cls] -= 1
+    slope_m[rows, symbols] -= 1
+    plain = [one_c[rows, cls] + one_m[rows, symbols], slope_c @ p["c"].T + slope_m @ p["w"], states.T @ slope_c, slope_c.sum(0), slope_m.T @ states, slope_m.sum(0)]
+    for a, b, exact in zip(*found, plain):
+        assert a == pytest.approx(b, abs=1e-9) and a == pytest.approx(exact, abs=1e-9)
+
+
+def test_a_window_costs_what_its_words_cost(monkeypatch):
+    """Gates are computed for the words that a window moved, not for all members; the second window is computed in the memory of the first."""
+    lex = small_lexicon()
+    net = gru_lm.Network(gru_lm.initial(lex), lex)
+    targets = np.random.default_rng(5).integers(0, 40, (gru_lm.STEPS, gru_lm.STREAMS))
+    inputs = np.concatenate([np.full((1, gru_lm.STREAMS), lex.members), targets[:-1]])
+    valid, h = np.ones(targets.shape, bool), np.zeros((gru_lm.STREAMS, gru_lm.HIDDEN), np.float32)
+    h = net.learn(inputs, targets, valid, h, 0)
+    sizes, tanh = [], np.tanh
+    monkeypatch.setattr(gru_lm.np, "tanh", lambda x: sizes.append(x.size) or tanh(x))
+    tracemalloc.start()
+    net.learn(inputs, targets, valid, h, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) <= 40 * 2 * gru_lm.HIDDEN
+    assert peak < 3 * targets.size * gru_lm.HIDDEN * 4  # three arrays of the window's states
