@@ -1,5 +1,6 @@
 """Hand-computed cases, failures, and results that don't depend on partitions or row order."""
 
+import itertools
 import math
 import pickle
 
@@ -153,6 +154,35 @@ def test_shared_histogram_of_many_members(spark):
     assert {r.shared: r.pairs for r in found} == {0: 50_000 * 49_999 // 2 - 1, 3: 1}
 
 
+def shared_by_hand(members):
+    terms, shared = {}, {}
+    for t, p in members:
+        if t is not None and p is not None:
+            terms.setdefault(t, set()).add(p)
+    for own in terms.values():
+        for a, b in itertools.combinations(sorted(own), 2):
+            shared[a, b] = shared.get((a, b), 0) + 1
+    return shared
+
+
+@pytest.mark.parametrize("block", [1, 4, 1024])
+def test_terms_of_any_size_are_paired(spark, block):
+    """No term is left out for its size: those of more than a block are paired block by block."""
+    members = [(t, (7 * t + i * i) % 40) for t in range(6) for i in range(4 * t)] + [(9, 1), (9, 1), (None, 1), (None, 2), (9, None), (9, 2)]
+    found = pairs.comembership(spark.createDataFrame(members, "t long, p long"), block=block).collect()
+    assert len(found) == len({(r.pa, r.pb) for r in found}) and {(r.pa, r.pb): r.shared for r in found} == shared_by_hand(members)
+
+
+def test_shared_histogram_counts_orders_of_any_size(spark):
+    from tessera import queries
+    from tessera.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    shared = shared_by_hand([tuple(r) for r in fx.members(spark, d).collect()])
+    found = {r.shared: r.pairs for r in queries.a_shared_hist(spark, d).collect()}
+    assert {k: n for k, n in found.items() if k} == {k: list(shared.values()).count(k) for k in set(shared.values())}
+
+
 def scored(spark):
     s = {(0, 1): 0.9, (1, 3): 0.8, (0, 2): 0.5, (2, 3): 0.3, (1, 2): 0.2, (0, 3): 0.1}
     table = spark.createDataFrame([(a, b, x) for (i, j), x in s.items() for a, b in ((i, j), (j, i))], "i long, j long, s double")
