@@ -182,3 +182,21 @@ def test_components_of_all_trusted_lines(spark):
             count[root(x)] = count.get(root(x), 0) + 1
         sizes[least] = sum(n for n in count.values() if n >= 3)
     assert queries.x_components(spark, d).count() == sizes[40.0] > sizes[45.0]
+
+
+def test_communities_of_orders_of_any_size(spark):
+    """The query links the parts of all orders, those of five parts and more too."""
+    from tessera import queries
+    from tessera.plans import fixtures as fx
+
+    d, orders = "/root/testdata/sf0.01", {}
+    for r in fx.evidence(spark, d, 20.0).collect():
+        orders.setdefault(r.t, set()).add(r.p)
+    nodes = {}
+    for most in (4, 100):
+        near = {}
+        for own in orders.values():
+            for a, b in itertools.permutations(own, 2) if len(own) <= most else ():
+                near.setdefault(a, set()).add(b)
+        nodes[most] = {a for a, others in near.items() if len(others) > 1 or any(len(near[b]) > 1 for b in others)}
+    assert {r.node for r in queries.x_communities(spark, d).collect()} == nodes[100] > nodes[4]
