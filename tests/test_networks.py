@@ -3,6 +3,7 @@
 import itertools
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -89,6 +90,55 @@ def test_a_community_gives_many_nodes_in_a_turn(spark):
     assert quality(edges, group | moved) > quality(edges, group)
 
 
+@pytest.mark.parametrize("name", GRAPHS)
+def test_communities_by_joins_equal_brute_force(spark, name):
+    """A graph of more links than a task holds is searched by joins."""
+    edges, trace = GRAPHS[name], []
+    group = {r.node: r.community for r in graph.communities(spark.createDataFrame(edges, "a long, b long, w long"), weight="w", trace=trace, whole=0).collect()}
+    assert trace == sorted(trace) and len(trace) > 1
+    assert quality(edges, group) == pytest.approx(best_by_brute_force(edges)) and quality(edges, group) == pytest.approx(trace[-1])
+    assert all(min(n for n in group if group[n] == c) == c for c in set(group.values()))
+
+
+def clustered(parts, size):
+    """Components of ``size`` nodes each, whose names are strewn."""
+    return [(x * parts + p, y * parts + p, 1 + (x * y + p) % 4) for p in range(parts) for x in range(size) for y in range(x) if (x * y + p) % 5 == 0 or x // 6 == y // 6]
+
+
+def test_communities_do_not_hang_on_what_a_task_holds(spark):
+    """Components are searched apart or together, in numbers or names, with the same communities; a small graph isn't searched by joins."""
+    edges = clustered(9, 18) + [(500, 501, 1), (502, 502, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long, w long")
+    most = max(sum(2 for a, b, _ in edges if a != b and a % 9 == p) for p in range(9))
+    one, apart = (sorted(map(tuple, graph.communities(f, weight="w", whole=n).collect())) for f, n in ((frame, 1 << 20), (frame.repartition(5), most)))
+    assert one == apart and len({c for _, c in one}) > 9
+    # Some components by joins, the others by tasks, and a search by joins that a task ends.
+    uneven = edges + [(a, 9 * 18 + a % 9, 1) for a in range(0, 81, 9)] + [(9 * 18, 9 * 18 + 9 * k, 1) for k in range(1, 30)]
+    group = dict(map(tuple, graph.communities(spark.createDataFrame(uneven, "a long, b long, w long"), weight="w", whole=most).collect()))
+    assert set(group) == {n for a, b, _ in uneven for n in (a, b) if a != b} and all(group[n] == c for n, c in one if n % 9 and n < 9 * 18)
+    words = spark.createDataFrame([(f"n{a:04}", f"n{b:04}", w) for a, b, w in edges], "a string, b string, w long")
+    named = {int(r.node[1:]): int(r.community[1:]) for r in graph.communities(words, weight="w").collect()}
+    assert set(named) == {n for n, _ in one} and quality([e for e in edges if e[0] != e[1]], named) > 0.98 * quality([e for e in edges if e[0] != e[1]], dict(one))
+
+
+def test_modularity_never_falls_within_a_task():
+    edges = clustered(2, 30)
+    names = sorted({n for a, b, _ in edges for n in (a, b)})
+    rows = sorted((names.index(x), names.index(y), float(w)) for a, b, w in edges for x, y in ((a, b), (b, a)))
+    i, j, w = (np.array(c) for c in zip(*rows))
+    trace = []
+    found = graph._settle(i, j, w, np.arange(len(names)).astype(np.uint64) * np.uint64(7919), w.sum(), trace)
+    measured = [quality(edges, dict(zip(names, map(int, c)))) for c in trace]
+    assert len(measured) > 3 and all(b > a for a, b in itertools.pairwise(measured))
+    assert quality(edges, dict(zip(names, map(int, found)))) == pytest.approx(measured[-1])
+
+
+def test_edges_of_components_of_three_nodes_or_more(spark):
+    edges = [(1, 2), (3, 4), (4, 5), (6, 6), (7, 8), (8, 7), (9, 9), (9, 10), (10, 11), (None, 4), (None, 1)]
+    found = graph.in_threes(spark.createDataFrame(edges, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(3, 4), (4, 5), (9, 10), (10, 11)]
+
+
 def test_small_components_go(spark):
     edges = spark.createDataFrame([(1, 2), (3, 4), (4, 5), (6, 6)], "a long, b long")
     assert sorted(map(tuple, graph.components(edges, least=3).collect())) == [(3, 3), (4, 3), (5, 3)]
