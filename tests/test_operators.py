@@ -148,6 +148,15 @@ def test_labels_of_a_universe_in_many_blocks(spark):
     assert pairs.decode_labels(large).where("i = 0").agg(F.count("*"), F.sum("label")).first() == (20_001, 1)
 
 
+def test_a_row_is_decoded_to_one_block_at_most(spark):
+    """Spark holds all rows that come of one row: above the joins a member is met with the members of one block, not a block with a block."""
+    coded = pairs.label_tables(spark.createDataFrame([(0, 1), (2, 99)], "i long, j long"), spark.range(9).withColumnRenamed("id", "i"))
+    found = pairs.decode_labels(coded, block=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Join")[0].count("Generate explode") == 1 and "SortMergeJoin" in plan
+    assert sorted(map(tuple, found.collect())) == [(i, j, int({i, j} == {0, 1})) for i in range(9) for j in range(9) if i != j]
+
+
 def test_shared_histogram_of_many_members(spark):
     """50,000 members have more pairs than 32 bits hold; the bucket of none is exact."""
     found = pairs.shared_histogram(spark.createDataFrame([(1, 2, 3)], "pa long, pb long, shared long"), 50_000).collect()
