@@ -7,6 +7,7 @@ from uuid import uuid4
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,9 +147,25 @@ def neighbour_graph(points: DataFrame, n: int, size: int, k: int, trees: int = 8
         return pd.DataFrame({"node": node, "j": js, "d": ds})
 
     found = leaves.groupBy("tree", "leaf").applyInPandas(nearest, "node long, j array<long>, d array<double>")
-    pairs = found.select("node", F.arrays_zip("d", "j").alias("near"))
-    best = pairs.groupBy("node").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    return best.select("node", F.col("near.j").alias("j"), F.col("near.d").alias("d"))
+    met = found.groupBy("node").agg(F.flatten(F.collect_list("j")).alias("j"), F.flatten(F.collect_list("d")).alias("d"))
+    return met.mapInArrow(lambda batches: (near for batch in batches for near in _merged(batch, k)), "node long, j array<long>, d array<double>")
+
+
+def _merged(batch: pa.RecordBatch, k: int, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The ``k`` nearest of each node among those that its leaves gave, some nodes at a time; one sort serves them all, as distinct arrays of structs are quadratic."""
+    for lo in range(0, batch.num_rows, rows):
+        node, js, ds = batch.slice(lo, rows).columns
+        n = len(node)
+        owner = np.repeat(np.arange(n), js.value_lengths().to_numpy())
+        j, d = js.flatten().to_numpy(), ds.flatten().to_numpy()
+        order = np.lexsort((j, d, owner))
+        owner, j, d = owner[order], j[order], d[order]
+        new = np.ones(len(j), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (j[1:] != j[:-1]) | (d[1:] != d[:-1])
+        owner, j, d = owner[new], j[new], d[new]
+        kept = np.arange(len(j)) - np.searchsorted(owner, np.arange(n))[owner] < k
+        ends = pa.array(np.append(0, np.cumsum(np.bincount(owner[kept], minlength=n))), pa.int32())
+        yield pa.RecordBatch.from_arrays([node, pa.ListArray.from_arrays(ends, pa.array(j[kept])), pa.ListArray.from_arrays(ends, pa.array(d[kept]))], ["node", "j", "d"])
 
 
 def fuzzy_weights(graph: DataFrame, k: int) -> DataFrame:
@@ -308,21 +325,43 @@ def _repulsion(at: np.ndarray, others: np.ndarray, count: np.ndarray, same: bool
 
     ``same``: the others are the places themselves, and none pushes itself.  A few rows at a time stay in the processor's cache.
     """
-    z, push, norms = np.empty(len(at)), np.empty_like(at), (others * others).sum(1)
+    if same:
+        return _own_repulsion(at, rows)
+    z, sums, norms = np.empty(len(at)), np.empty((len(at), at.shape[1] + 1)), (others * others).sum(1)
+    weights, turned = np.column_stack([count, others * count[:, None]]), -2 * others.T
     for lo in range(0, len(at), rows):
         a = at[lo : lo + rows]
-        q = a @ (-2 * others.T)
+        q = a @ turned
         q += norms
         q += (a * a).sum(1)[:, None]
         np.maximum(q, 0, out=q)
         q += 1
         np.reciprocal(q, out=q)
-        if same:
-            q[np.arange(len(a)), lo + np.arange(len(a))] = 0
         z[lo : lo + rows] = q @ count
         q *= q
-        push[lo : lo + rows] = a * (q @ count)[:, None] - q @ (others * count[:, None])
-    return z, push
+        sums[lo : lo + rows] = q @ weights
+    return z, at * sums[:, :1] - sums[:, 1:]
+
+
+def _own_repulsion(at: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """``_repulsion`` of places by one another: each pair is worked out once, for both."""
+    z, sums, norms = np.zeros(len(at)), np.zeros((len(at), at.shape[1] + 1)), (at * at).sum(1)
+    weights, turned = np.column_stack([np.ones(len(at)), at]), -2 * at.T
+    for lo in range(0, len(at), rows):
+        n = min(rows, len(at) - lo)
+        q = at[lo : lo + n] @ turned[:, lo:]
+        q += norms[lo:]
+        q += norms[lo : lo + n, None]
+        np.maximum(q, 0, out=q)
+        q += 1
+        np.reciprocal(q, out=q)
+        q[np.arange(n), np.arange(n)] = 0
+        z[lo : lo + n] += q.sum(1)
+        z[lo + n :] += q[:, n:].sum(0)
+        q *= q
+        sums[lo : lo + n] += q @ weights[lo:]
+        sums[lo + n :] += q[:, n:].T @ weights[lo : lo + n]
+    return z, at * sums[:, :1] - sums[:, 1:]
 
 
 def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds: int = 50, epochs: int = 10, most: int = 512, seed: int = 42) -> DataFrame:
@@ -357,7 +396,8 @@ def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds
             cells = {tuple(r[:k]): np.array(r[k:]) for r in state.groupBy(*[c.alias(f"c{d}") for d, c in enumerate(cell)]).agg(F.count("*").alias("n"), *sums).collect()}
         part = F.floor((F.col("node") + (turn % 2) * (BLOCK // 2)) / BLOCK)
         drawn = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), "i", "j"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-        ends = pulls.where(drawn).join(state.select(F.col("node").alias("j"), F.col("at").alias("end")), "j").select(F.col("i").alias("node"), "j", (F.col("w") / F.col("share")).alias("w"), "end")
+        there = state.select(F.col("node").alias("j"), *[F.col("at")[d].alias(f"end{d}") for d in range(k)])  # plain columns: arrays are objects in pandas
+        ends = pulls.where(drawn).join(there, "j").select(F.col("i").alias("node"), "j", (F.col("w") / F.col("share")).alias("w"), *there.columns[1:])
 
         def others(at: np.ndarray, *, low=low, wide=wide, cells=cells) -> tuple[np.ndarray, np.ndarray]:
             """(count, mean) of the cells without the nodes at ``at``."""
@@ -374,21 +414,26 @@ def stochastic_layout(links: DataFrame, start: DataFrame, n: int, k: int, rounds
         def move(own: pd.DataFrame, ends: pd.DataFrame, *, turn=turn, all_pairs=all_pairs, others=others) -> pd.DataFrame:
             if own.empty:
                 return pd.DataFrame({c: [] for c in ("node", "at", "speed", "gain", "z")})
-            own, ends = own.sort_values("node"), ends.sort_values(["node", "j"])
+            own = own.sort_values("node")
             node, z = own["node"].to_numpy(), own["z"].to_numpy()
             at, speed, gain = (np.stack(own[c].to_list()).astype(float) for c in ("at", "speed", "gain"))
             count, mean = others(at)
             scale = all_pairs / max(z.sum(), 1e-300)
-            i, j, w = np.searchsorted(node, ends["node"].to_numpy()), ends["j"].to_numpy(), ends["w"].to_numpy()
+            i, j = np.searchsorted(node, ends["node"].to_numpy()), ends["j"].to_numpy()
+            order = np.lexsort((j, i))
+            i, j, w, other = i[order], j[order], ends["w"].to_numpy()[order], [ends[f"end{d}"].to_numpy()[order] for d in range(k)]
             slot = np.minimum(np.searchsorted(node, j), len(node) - 1)
-            inside = node[slot] == j
-            other = np.stack(ends["end"].to_list()).astype(float) if len(ends) else np.zeros((0, k))
+            inside = np.flatnonzero(node[slot] == j)
+            slot = slot[inside]
             for epoch in range(turn * epochs, (turn + 1) * epochs):
                 early = epoch < EARLY * total
-                other[inside] = at[slot[inside]]
-                gap = at[i] - other
-                force = gap * (w / (1 + (gap * gap).sum(1)))[:, None]
-                pull = np.stack([np.bincount(i, f, len(node)) for f in force.T], axis=1)
+                gaps, weight = [], 1.0
+                for x, end in zip(np.ascontiguousarray(at.T), other):
+                    end[inside] = x[slot]
+                    gaps.append(x[i] - end)
+                    weight = weight + gaps[-1] * gaps[-1]
+                weight = w / weight
+                pull = np.stack([np.bincount(i, gap * weight, len(node)) for gap in gaps], axis=1)
                 z, push = _repulsion(at, at, np.ones(len(at)), True)
                 if len(count):
                     far, more = _repulsion(at, mean, count, False)

@@ -1,6 +1,7 @@
 """Neighbour graphs, fuzzy weights and layouts against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,29 @@ def test_smallest_columns_are_those_of_a_stable_sort():
     for far in (draw.standard_normal((40, 30)), draw.integers(0, 4, (40, 30)).astype(float), np.full((3, 1), np.inf), np.where(draw.random((40, 30)) < 0.5, np.nan, 1.0)):
         for most in {0, min(7, far.shape[1] - 1), far.shape[1] - 1}:
             assert (np.sort(embedding._smallest(far, most), 1) == np.sort(np.argsort(far, axis=1, kind="stable")[:, :most], 1)).all()
+
+
+def test_neighbours_of_all_leaves_are_merged_in_one_sort(spark):
+    """Equal to a set sorted by distance and node; the plan compares no structs of an array with one another, which was quadratic."""
+    draw = np.random.default_rng(9)
+    rows = [(i, [int(x) for x in draw.integers(0, 12, m)]) for i, m in enumerate([0, 1, 30, 7, 0, 12])]
+    rows = [(i, j, [float(x % 5) for x in j]) for i, j in rows]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate((pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())))], ["node", "j", "d"])
+    found = [r for part in embedding._merged(batch, 4, rows=4) for r in part.to_pylist()]
+    assert [(r["node"], list(zip(r["d"], r["j"]))) for r in found] == [(i, sorted(set(zip(d, j)))[:4]) for i, j, d in rows]
+    points, n, size = embedding.numbered(table(spark, draw.normal(size=(40, 3))), "id", "v", 16)
+    graph = embedding.neighbour_graph(points, n, size, 5, trees=3, leaf=16)
+    assert "array_distinct" not in graph._jdf.queryExecution().optimizedPlan().toString() and graph.count() == 40
+
+
+def test_a_pair_repels_both_ways_at_once():
+    draw = np.random.default_rng(10)
+    for n, k in ((1, 2), (128, 2), (300, 3)):
+        at, mean, count = draw.normal(size=(n, k)), draw.normal(size=(17, k)), draw.integers(1, 5, 17).astype(float)
+        for others, weights, same in ((at, np.ones(n), True), (mean, count, False)):
+            q = 1 / (1 + ((at[:, None] - others[None]) ** 2).sum(-1))
+            if same:
+                np.fill_diagonal(q, 0)
+            z, push = embedding._repulsion(at, others, weights, same)
+            np.testing.assert_allclose(z, q @ weights, atol=1e-12)
+            np.testing.assert_allclose(push, ((q * q * weights)[:, :, None] * (at[:, None] - others[None])).sum(1), atol=1e-10)
